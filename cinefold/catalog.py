@@ -146,6 +146,11 @@ def genre_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(profile.join(totals, "userId"))
 
 
+def training_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = _ratings(spark, sf_dir)
+    return U.training_table(ratings, U.user_scalars(ratings))
+
+
 def training_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(U.training_table(_ratings(spark, sf_dir), _features(spark, sf_dir), wide=True))
 
@@ -268,15 +273,11 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratings = _ratings(spark, sf_dir)
-    return T.weighted_examples(U.training_table(ratings, U.user_scalars(ratings)))
+    return T.weighted_examples(training_narrow(spark, sf_dir))
 
 
 def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratings = _ratings(spark, sf_dir)
-    model = T.train_logistic(T.model_inputs(
-        U.training_table(ratings, U.user_scalars(ratings))
-    )).stages[-1]
+    model = T.train_logistic(T.model_inputs(training_narrow(spark, sf_dir))).stages[-1]
     rows = [("intercept", float(model.intercept))]
     rows += [(n, float(w)) for n, w in zip(FEATURES, model.coefficients, strict=True)]
     return spark.createDataFrame(rows, "term string, weight double")
@@ -318,7 +319,7 @@ def queries() -> dict[str, Query]:
         "genre_proportions": genre_proportions,
         "genre_profile": genre_profile,
         "user_features": lambda s, d: _flat(_features(s, d)),
-        "training_narrow": lambda s, d: U.training_table(_ratings(s, d), _features(s, d)),
+        "training_narrow": training_narrow,
         "training_wide": training_wide,
         "hot_user_features": hot_user_features,
         "hot_user_training": hot_user_training,

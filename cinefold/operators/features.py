@@ -50,6 +50,15 @@ def genre_tokens(movies: DataFrame) -> DataFrame:
     )
 
 
+def small_movie_genres(movies: DataFrame) -> DataFrame:
+    """As `movie_genres`, for movies small enough to broadcast, in one shuffle."""
+    entries = F.transform(
+        F.filter(tokens("genres"), lambda t: t != NO_GENRES),
+        lambda t: F.struct(t.alias("genre"), F.lit(1).cast("bigint").alias("copies")),
+    )
+    return movies.groupBy("movieId").agg(F.flatten(F.collect_list(entries)).alias("genres"))
+
+
 def movie_genres(movies: DataFrame) -> DataFrame:
     """One row per movie: its genres, each with the number of times it occurs.
 
@@ -90,19 +99,20 @@ def _with_genres(ratings: DataFrame, movies: DataFrame, how: str, broadcast_limi
 
     Columns: userId, n, rating_sum, n_rated, last_ts, genres.
     """
-    genres = movie_genres(movies)
     if movies_fit_broadcast(movies, broadcast_limit):
         return ratings.select(
             "userId", "movieId", F.lit(1).cast("bigint").alias("n"),
             F.col("rating").alias("rating_sum"),
             F.col("rating").isNotNull().cast("bigint").alias("n_rated"),
             F.col("timestamp").alias("last_ts"),
-        ).join(F.broadcast(genres), "movieId", how).drop("movieId")
+        ).join(F.broadcast(small_movie_genres(movies)), "movieId", how).drop("movieId")
     pairs = ratings.groupBy("userId", "movieId").agg(
         F.count("*").alias("n"), F.sum("rating").alias("rating_sum"),
         F.count("rating").alias("n_rated"), F.max("timestamp").alias("last_ts"),
     )
-    return sliced_join(pairs, genres, "movieId", how, min_rows=min_hot_rows).drop("movieId")
+    return sliced_join(
+        pairs, movie_genres(movies), "movieId", how, min_rows=min_hot_rows
+    ).drop("movieId")
 
 
 def user_genre_counts(ratings: DataFrame, movies: DataFrame,
