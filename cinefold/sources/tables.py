@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from cinefold.schemas import MOVIES, RATINGS
@@ -33,11 +32,14 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write_counted(df: DataFrame, path: str, *partition_by: str) -> int:
-    """Overwrite `path` and return the number of rows, counted while they are written."""
-    seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    """Overwrite `path` and return its number of rows, which only reads file footers.
+
+    No `Observation`: once a session has used one, Spark 4.1 cannot serialize the
+    `transform` of a model fitted in that session.
+    """
+    writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return int(seen.get["n"])
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def write_split(df: DataFrame, path: str) -> int:
