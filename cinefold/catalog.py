@@ -100,6 +100,12 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def _text_ids(df: DataFrame) -> DataFrame:
+    """Ids that may be null as text; a data frame would turn them into doubles."""
+    ids = [c for c in ("userId", "movieId") if c in df.columns]
+    return df.withColumns({c: F.col(c).cast("string") for c in ids})
+
+
 def _flat_document(df: DataFrame) -> DataFrame:
     profile = F.map_entries("genre_profile")
     entries = F.sort_array(F.transform(
@@ -119,19 +125,19 @@ def _flat_scored(df: DataFrame) -> DataFrame:
 def ratings_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ratings-csv")
     views.sample_ratings(spark, sf_dir).write.csv(path, header=True)
-    return read_ratings(spark, path, "csv")
+    return _text_ids(read_ratings(spark, path, "csv"))
 
 
 def movies_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "movies-csv")
     views.sample_movies(spark, sf_dir).write.csv(path, header=True, escape='"')
-    return read_movies(spark, path, "csv")
+    return _text_ids(read_movies(spark, path, "csv"))
 
 
 def ratings_parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ratings-parquet")
     write_features(views.sample_ratings(spark, sf_dir), path)
-    return read_ratings(spark, path, "parquet")
+    return _text_ids(read_ratings(spark, path, "parquet"))
 
 
 def genre_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,12 +303,12 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "ratings_scan": views.sample_ratings,
-        "movies_scan": views.sample_movies,
+        "ratings_scan": lambda s, d: _text_ids(views.sample_ratings(s, d)),
+        "movies_scan": lambda s, d: _text_ids(views.sample_movies(s, d)),
         "ratings_csv_scan": ratings_csv_scan,
         "movies_csv_scan": movies_csv_scan,
         "ratings_parquet_scan": ratings_parquet_scan,
-        "label_target": lambda s, d: P.with_target(views.sample_ratings(s, d)),
+        "label_target": lambda s, d: _text_ids(P.with_target(views.sample_ratings(s, d))),
         "clean_ratings": _ratings,
         "clean_movies": _movies,
         "genre_tokens": lambda s, d: U.genre_tokens(_movies(s, d)),
@@ -323,7 +329,7 @@ def queries() -> dict[str, Query]:
         "training_wide": training_wide,
         "hot_user_features": hot_user_features,
         "hot_user_training": hot_user_training,
-        "hash_split": lambda s, d: P.hash_split(views.sample_ratings(s, d)),
+        "hash_split": lambda s, d: _text_ids(P.hash_split(views.sample_ratings(s, d))),
         "random_split_total": random_split_total,
         "store_documents": store_documents,
         "store_upsert": store_upsert,
@@ -443,6 +449,11 @@ def _hot(select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     feats = "userId, avg_rating, num_movies, last_interaction_ts, movie_ids, genre_counts"
+    text_ids = """cast(userId as varchar) as userId, cast(movieId as varchar) as movieId,
+                  rating, timestamp"""
+    ratings = f"with {_PREPARED} select {text_ids} from ratings"
+    movies = f"""with {_PREPARED} select cast(movieId as varchar) as movieId, title, genres
+                 from movies"""
     scored = "select event_id, request_id, feature_key, prediction from scored"
     rejected = "select event_id, value, reason from outcomes where reason is not null"
     narrow = """select userId, movieId, rating, timestamp, target, avg_rating, num_movies,
@@ -453,12 +464,12 @@ def oracle_sql() -> dict[str, str]:
                          num_movies, last_interaction_ts, movie_ids,
                          coalesce(genre_counts, '') as genre_counts"""
     return {
-        "ratings_scan": views.RATINGS_SQL,
-        "movies_scan": views.MOVIES_SQL,
-        "ratings_csv_scan": views.RATINGS_SQL,
-        "movies_csv_scan": views.MOVIES_SQL,
-        "ratings_parquet_scan": views.RATINGS_SQL,
-        "label_target": f"with {_PREPARED} select * from labelled",
+        "ratings_scan": ratings,
+        "movies_scan": movies,
+        "ratings_csv_scan": ratings,
+        "movies_csv_scan": movies,
+        "ratings_parquet_scan": ratings,
+        "label_target": f"with {_PREPARED} select {text_ids}, target from labelled",
         "clean_ratings": f"with {_PREPARED} select * from clean_r",
         "clean_movies": f"with {_PREPARED} select * from clean_m",
         "genre_tokens": f"with {_PREPARED} select movieId, genre from tokens",
@@ -480,7 +491,7 @@ def oracle_sql() -> dict[str, str]:
                              from clean_r join feats using (userId)""",
         "hot_user_features": _hot(f"select {feats} from feats"),
         "hot_user_training": _hot(narrow),
-        "hash_split": f"with {_PREPARED} select *, {_SPLIT} as split from ratings",
+        "hash_split": f"with {_PREPARED} select {text_ids}, {_SPLIT} as split from ratings",
         "random_split_total": f"with {_PREPARED} select count(*) as n from ratings",
         "store_documents": f"with {_TEST} {document} from test_feats",
         "store_upsert": f"""with {_TEST}, merged as (

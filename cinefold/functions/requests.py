@@ -21,14 +21,24 @@ def from_document(text: Column | str) -> Column:
     return F.from_json(text, DOCUMENT)
 
 
-def request_record(value: Column) -> Column:
-    """The request as a struct of strings; null unless the text is one JSON object.
+def request_pair(value: Column) -> Column:
+    """The text parsed as the first of two array elements, the second being a marker.
 
-    The parser stops after the first complete value and would accept text behind it.
-    Parsing the value as the first of two array elements makes such text an error.
+    The parser stops after the first complete value and would accept text behind it; inside
+    an array such text is an error, or makes the marker move.
     """
     wrapped = F.concat(F.lit("["), value, F.lit(f',{{"request_id":"{_END}"}}]'))
-    pair = F.from_json(wrapped, f"array<{REQUEST.simpleString()}>", {"allowSingleQuotes": "false"})
+    return F.from_json(
+        wrapped, f"array<{REQUEST.simpleString()}>", {"allowSingleQuotes": "false"}
+    )
+
+
+def request_record(pair: Column) -> Column:
+    """The request as a struct of strings; null unless the text is one JSON object.
+
+    `pair` should be a column made by `request_pair`, not the expression, which would then
+    be evaluated for each of its uses.
+    """
     whole = (F.size(pair) == 2) & (F.get(pair, F.lit(1))["request_id"] == _END)
     return F.when(whole, F.get(pair, F.lit(0)))
 

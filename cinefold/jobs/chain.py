@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import argparse
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
 from cinefold.jobs.features import build_features
+from cinefold.jobs.options import job_parser, job_session
 from cinefold.jobs.split import split_ratings
 from cinefold.jobs.training import TrainingResult, train_and_register
-from cinefold.session import session
 from cinefold.sources.store import publish_features, read_store
 from cinefold.sources.tables import read_features, read_movies, read_ratings
 
@@ -54,7 +53,7 @@ def run_pipeline(spark: SparkSession, cfg: ChainConfig) -> TrainingResult:
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Run the batch jobs in order")
+    parser = job_parser("Run the batch jobs in order")
     parser.add_argument("--ratings_path", required=True)
     parser.add_argument("--movies_path", required=True)
     parser.add_argument("--output_path", required=True)
@@ -63,7 +62,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--split_method", default="hash", choices=["hash", "random"])
     parser.add_argument("--wide", action="store_true")
     args = parser.parse_args(argv)
-    result = run_pipeline(session(app_name="cinefold-chain"), ChainConfig(
+    result = run_pipeline(job_session("chain", args), ChainConfig(
         args.ratings_path, args.movies_path, args.output_path, args.ratings_format,
         args.movies_format, args.split_method, args.wide,
     ))

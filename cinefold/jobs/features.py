@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import argparse
-
 from pyspark.sql import DataFrame
 
-from cinefold.operators.features import training_table, user_features
+from cinefold.jobs.options import job_parser, job_session
+from cinefold.operators.features import rating_counts, training_table, user_features
 from cinefold.operators.prepare import clean_movies, clean_ratings
-from cinefold.session import session
 from cinefold.sources.tables import read_features, read_movies, read_ratings, write_features
 
 
@@ -24,19 +22,20 @@ def build_features(ratings: DataFrame, movies: DataFrame, out_dir: str,
     ratings = clean_ratings(ratings)
     write_features(user_features(ratings, clean_movies(movies)), paths["user_features"])
     features = read_features(ratings.sparkSession, paths["user_features"])
-    write_features(training_table(ratings, features, wide=wide), paths["training"])
+    training = training_table(ratings, features, wide=wide, counts=rating_counts(features))
+    write_features(training, paths["training"])
     return paths
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Features and training table of one split")
+    parser = job_parser("Features and training table of one split")
     parser.add_argument("--input_path", required=True, help="ratings of the split, Parquet")
     parser.add_argument("--movies_path", required=True)
     parser.add_argument("--movies_format", default="csv", choices=["csv", "parquet"])
     parser.add_argument("--output_path", required=True)
     parser.add_argument("--wide", action="store_true", help="repeat the arrays on every rating")
     args = parser.parse_args(argv)
-    spark = session(app_name="cinefold-features")
+    spark = job_session("features", args)
     paths = build_features(
         read_ratings(spark, args.input_path),
         read_movies(spark, args.movies_path, args.movies_format),

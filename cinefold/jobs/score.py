@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import argparse
-
-from cinefold.session import session
+from cinefold.jobs.options import job_parser, job_session
 from cinefold.sources.requests import request_stream
 from cinefold.streaming.scoring import start_scoring
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Score a request stream")
+    parser = job_parser("Score a request stream")
     parser.add_argument("--format", default="kafka", choices=["kafka", "text"])
     parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE",
                         help="source option, repeatable")
@@ -22,7 +20,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--available_now", action="store_true",
                         help="stop once the requests that exist now are scored")
     args = parser.parse_args(argv)
-    spark = session(app_name="cinefold-score")
+    spark = job_session("score", args)
     options = dict(o.split("=", 1) for o in args.option)
     start_scoring(
         request_stream(spark, args.format, options), args.store_path, args.model_path,

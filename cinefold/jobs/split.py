@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import argparse
-
 from pyspark.sql import DataFrame
 
+from cinefold.jobs.options import job_parser, job_session
 from cinefold.operators.prepare import hash_split, random_split
-from cinefold.session import session
 from cinefold.sources.tables import read_ratings, write_split, write_splits
 
 
@@ -26,13 +24,13 @@ def split_ratings(ratings: DataFrame, out_dir: str, method: str = "hash") -> dic
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Split ratings 80/20")
+    parser = job_parser("Split ratings 80/20")
     parser.add_argument("--input_path", required=True)
     parser.add_argument("--output_path", required=True)
     parser.add_argument("--format", default="csv", choices=["csv", "parquet"])
     parser.add_argument("--method", default="hash", choices=["hash", "random"])
     args = parser.parse_args(argv)
-    spark = session(app_name="cinefold-split")
+    spark = job_session("split", args)
     paths = split_ratings(
         read_ratings(spark, args.input_path, args.format), args.output_path, args.method
     )

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import argparse
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinefold.jobs.options import job_parser, job_session
 from cinefold.operators.training import model_inputs, model_params, train_logistic
 from cinefold.operators.validation import METRICS, confusion, metrics_of, validate, validation_pairs
-from cinefold.session import session
 from cinefold.sources.registry import log_run, register_model
 from cinefold.sources.store import read_store
 from cinefold.sources.tables import read_features
@@ -52,14 +51,14 @@ def train_and_register(train: DataFrame, test: DataFrame, store: DataFrame, mode
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Train, validate and register the model")
+    parser = job_parser("Train, validate and register the model")
     parser.add_argument("--train_path", required=True, help="training table of the train split")
     parser.add_argument("--test_path", required=True, help="training table of the test split")
     parser.add_argument("--store_path", required=True, help="feature store root")
     parser.add_argument("--model_path", required=True, help="model registry root")
     parser.add_argument("--run_path", required=True, help="run log")
     args = parser.parse_args(argv)
-    spark: SparkSession = session(app_name="cinefold-training")
+    spark = job_session("training", args)
     result = train_and_register(
         read_features(spark, args.train_path), read_features(spark, args.test_path),
         read_store(spark, args.store_path), args.model_path, args.run_path,

@@ -1,9 +1,9 @@
 """User features, genre profiles and the training table.
 
 No group here grows with a hot user or movie. Counts and sums combine on the map
-side; movie ids are made distinct by (user, movie) before they are gathered, so one
-user's array holds at most the distinct movies; joins of rows to a user or movie go
-through a measured broadcast or the sliced join.
+side; a hot user's movie ids are made distinct by (user, movie) before they are
+gathered; joins of rows to a user or movie go through a measured broadcast or the
+sliced join.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cinefold.functions.genres import NO_GENRES, tokens
 from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES, fits_broadcast
-from cinefold.plans.skew import MIN_HOT_ROWS, sliced_join
+from cinefold.plans.skew import MIN_HOT_ROWS, has_hot_keys, sliced_join
 
 # Bytes of one array element (offset, struct header, length and padding) beside its text.
 _TOKEN_BYTES = 48
@@ -50,15 +50,6 @@ def genre_tokens(movies: DataFrame) -> DataFrame:
     )
 
 
-def small_movie_genres(movies: DataFrame) -> DataFrame:
-    """As `movie_genres`, for movies small enough to broadcast, in one shuffle."""
-    entries = F.transform(
-        F.filter(tokens("genres"), lambda t: t != NO_GENRES),
-        lambda t: F.struct(t.alias("genre"), F.lit(1).cast("bigint").alias("copies")),
-    )
-    return movies.groupBy("movieId").agg(F.flatten(F.collect_list(entries)).alias("genres"))
-
-
 def movie_genres(movies: DataFrame) -> DataFrame:
     """One row per movie: its genres, each with the number of times it occurs.
 
@@ -80,46 +71,45 @@ def user_scalars(ratings: DataFrame) -> DataFrame:
     )
 
 
-def user_movie_ids(ratings: DataFrame) -> DataFrame:
-    """The distinct movies of each user, ascending."""
-    return (
-        ratings.select("userId", "movieId").distinct()
-        .groupBy("userId").agg(F.sort_array(F.collect_list("movieId")).alias("movie_ids"))
-    )
-
-
-def user_simple_features(ratings: DataFrame) -> DataFrame:
-    """The scalars and the movie ids of each user."""
-    return user_scalars(ratings).join(user_movie_ids(ratings), "userId")
+def user_movie_ids(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The distinct movies of each user, ascending.
 
+    Sets gathered per task are merged per user in one shuffle. That would send a hot user's
+    sets from every task to one, so if there is such a user (one counting job tells), the
+    pairs are first made distinct, which spreads them, and leaves each movie once.
+    """
+    pairs = ratings.select("userId", "movieId")
+    if has_hot_keys(pairs, "userId", min_hot_rows):
+        gathered, pairs = F.collect_list("movieId"), pairs.distinct()
+    else:
+        gathered = F.collect_set("movieId")
+    return pairs.groupBy("userId").agg(F.sort_array(gathered).alias("movie_ids"))
 
-def _with_genres(ratings: DataFrame, movies: DataFrame, how: str, broadcast_limit: int,
-                 min_hot_rows: int) -> DataFrame:
-    """Ratings, or counts of equal (user, movie), with the genre array of their movie.
 
-    Columns: userId, n, rating_sum, n_rated, last_ts, genres.
-    """
-    if movies_fit_broadcast(movies, broadcast_limit):
-        return ratings.select(
-            "userId", "movieId", F.lit(1).cast("bigint").alias("n"),
-            F.col("rating").alias("rating_sum"),
-            F.col("rating").isNotNull().cast("bigint").alias("n_rated"),
-            F.col("timestamp").alias("last_ts"),
-        ).join(F.broadcast(small_movie_genres(movies)), "movieId", how).drop("movieId")
-    pairs = ratings.groupBy("userId", "movieId").agg(
-        F.count("*").alias("n"), F.sum("rating").alias("rating_sum"),
-        F.count("rating").alias("n_rated"), F.max("timestamp").alias("last_ts"),
-    )
-    return sliced_join(
-        pairs, movie_genres(movies), "movieId", how, min_rows=min_hot_rows
-    ).drop("movieId")
+def user_simple_features(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The scalars and the movie ids of each user."""
+    return user_scalars(ratings).join(user_movie_ids(ratings, min_hot_rows), "userId")
 
 
 def user_genre_counts(ratings: DataFrame, movies: DataFrame,
                       broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                       min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Rated rows per (user, genre)."""
-    joined = _with_genres(ratings, movies, "inner", broadcast_limit, min_hot_rows)
+    """Rated rows per (user, genre), which combine on the map side.
+
+    With movies too large to broadcast, equal (user, movie) rows are counted first, and the
+    movies' genres reach them through a shuffle on the movie, hot movies sliced.
+    """
+    if movies_fit_broadcast(movies, broadcast_limit):
+        listed = movies.select(
+            "movieId", F.filter(tokens("genres"), lambda t: t != NO_GENRES).alias("genres")
+        )
+        return (
+            ratings.select("userId", "movieId").join(F.broadcast(listed), "movieId")
+            .select("userId", F.explode("genres").alias("genre"))
+            .groupBy("userId", "genre").agg(F.count("*").alias("genre_count"))
+        )
+    pairs = ratings.groupBy("userId", "movieId").agg(F.count("*").alias("n"))
+    joined = sliced_join(pairs, movie_genres(movies), "movieId", min_rows=min_hot_rows)
     return (
         joined.select("userId", "n", F.explode("genres").alias("g"))
         .groupBy("userId", F.col("g.genre").alias("genre"))
@@ -145,76 +135,44 @@ def genre_profile(proportions: DataFrame) -> DataFrame:
     )
 
 
-def user_genre_rollup(ratings: DataFrame, movies: DataFrame,
-                      broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-                      min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Scalars and genre profile of each user from one scan of the ratings.
-
-    Every rating yields a row without a genre, which carries the scalars, and one row per
-    genre. Grouping by (user, genre) combines on the map side; grouping the few rows left
-    by user gives the total and the shares together, so no join back to the totals is needed.
-    """
-    joined = _with_genres(ratings, movies, "left", broadcast_limit, min_hot_rows)
-    plain = F.struct(F.lit(None).cast("string").alias("genre"),
-                     F.lit(1).cast("bigint").alias("copies"))
-    rows = joined.select(
-        "userId", "n", "rating_sum", "n_rated", "last_ts",
-        F.explode(F.concat(F.array(plain), F.coalesce("genres", F.array()))).alias("g"),
-    )
-    is_total = F.col("genre").isNull()
-    by_genre = (
-        rows.groupBy("userId", F.col("g.genre").alias("genre")).agg(
-            F.sum(F.col("n") * F.col("g.copies")).alias("n"),
-            F.sum("rating_sum").alias("rating_sum"),
-            F.sum("n_rated").alias("n_rated"),
-            F.max("last_ts").alias("last_ts"),
-        )
-    )
-    gathered = by_genre.groupBy("userId").agg(
-        F.max(F.when(is_total, F.col("rating_sum"))).alias("rating_sum"),
-        F.max(F.when(is_total, F.col("n_rated"))).alias("n_rated"),
-        F.max(F.when(is_total, F.col("n"))).alias("num_movies"),
-        F.max(F.when(is_total, F.col("last_ts"))).alias("last_interaction_ts"),
-        F.sort_array(
-            F.collect_list(F.when(~is_total, F.struct("genre", "n")))
-        ).alias("counts"),
-    )
-    profile = F.transform(
-        "counts",
-        lambda c: F.struct(
-            c["genre"].alias("genre"),
-            (c["n"] / F.col("num_movies")).alias("proportion"),
-        ),
-    )
-    return gathered.select(
-        "userId",
-        F.try_divide("rating_sum", "n_rated").alias("avg_rating"),
-        "num_movies",
-        "last_interaction_ts",
-        F.when(F.size("counts") > 0, profile).alias("genre_profile"),
-    )
-
-
 def user_features(ratings: DataFrame, movies: DataFrame,
                   broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                   min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """All features, one row per user; the profile is null for users without genre rows."""
-    rollup = user_genre_rollup(ratings, movies, broadcast_limit, min_hot_rows)
-    return rollup.join(user_movie_ids(ratings), "userId").select(
-        "userId", *SCALARS, "movie_ids", "genre_profile"
+    """All features, one row per user; the profile is null for users without genre rows.
+
+    The counts are gathered per user before the total is at hand, and divided by it where
+    all parts meet. Each part comes out partitioned by user, so the two joins move nothing.
+    """
+    counts = (
+        user_genre_counts(ratings, movies, broadcast_limit, min_hot_rows)
+        .groupBy("userId")
+        .agg(F.sort_array(F.collect_list(F.struct("genre", "genre_count"))).alias("counts"))
+    )
+    shares = F.transform("counts", lambda c: F.struct(
+        c["genre"].alias("genre"), (c["genre_count"] / F.col("num_movies")).alias("proportion")
+    ))
+    return (
+        user_simple_features(ratings, min_hot_rows).join(counts, "userId", "left")
+        .select("userId", *SCALARS, "movie_ids", shares.alias("genre_profile"))
     )
 
 
 def training_table(ratings: DataFrame, features: DataFrame, wide: bool = False,
+                   counts: DataFrame | None = None,
                    min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """One row per cleaned rating with its user's features.
 
     Narrow, it carries the scalars only. Wide, it also repeats each user's arrays on each
-    of the user's rows, whose size grows with the square of the user's activity.
+    of the user's rows, whose size grows with the square of the user's activity. Where the
+    features are a written table, `counts` from `rating_counts` saves counting the ratings.
     """
     arrays = ["movie_ids", "genre_profile"] if wide else []
-    counts = features.select("userId", F.col("num_movies").alias("rows"))
     return sliced_join(
         ratings, features.select("userId", *SCALARS, *arrays), "userId",
         counts=counts, min_rows=min_hot_rows,
     )
+
+
+def rating_counts(features: DataFrame) -> DataFrame:
+    """Ratings per user, as the features have them."""
+    return features.select("userId", F.col("num_movies").alias("rows"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinefold.functions.linear import LinearScorer, scorer_from
-from cinefold.functions.requests import is_blank, request_record, to_document
+from cinefold.functions.requests import is_blank, request_pair, request_record, to_document
 from cinefold.operators.lookup import lookup_features
 from cinefold.plans.skew import MIN_HOT_ROWS
 
@@ -23,7 +23,12 @@ def parse_requests(df: DataFrame) -> DataFrame:
 
     `df` has columns arrival and value. The fields of an invalid request are null.
     """
-    parsed = df.withColumn("__r", request_record(F.col("value")))
+    # Exploding an array of one keeps the parse below any filter on its results; a filter
+    # pushed through a plain column would repeat the parse for each field it tests.
+    pairs = df.select(
+        "arrival", "value", F.explode(F.array(request_pair(F.col("value")))).alias("__pair")
+    )
+    parsed = pairs.withColumn("__r", request_record(F.col("__pair")))
     rid, key = F.col("__r.request_id"), F.col("__r.feature_key")
     reason = (
         F.when(F.col("__r").isNull(), MALFORMED)

@@ -39,6 +39,12 @@ def hot_keys(counts: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS,
     )
 
 
+def has_hot_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS,
+                 max_keys: int = MAX_HOT_KEYS) -> bool:
+    """Whether some key of `df` is hot; one job over the key column."""
+    return not hot_keys(key_counts(df, key), key, min_rows, max_keys).isEmpty()
+
+
 def sliced_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
                 counts: DataFrame | None = None, min_rows: int = MIN_HOT_ROWS,
                 max_keys: int = MAX_HOT_KEYS) -> DataFrame:

@@ -17,6 +17,26 @@ DEFAULTS = {
 }
 
 
+# Bytes one shuffle task should hold, so that it sorts and aggregates in memory.
+SHUFFLE_TASK_BYTES = 256 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def sizing_conf(data_bytes: int) -> dict[str, str]:
+    """Partition settings for a run over so many bytes of input.
+
+    Adaptive execution merges small shuffle partitions but never adds any, so the number to
+    start from has to grow with the data. Beyond 10 TB, scan tasks read 512 MB instead of
+    128 MB, which keeps their number in the low hundred thousands at 100 TB.
+    """
+    partitions = max(200, min(MAX_SHUFFLE_PARTITIONS, -(-data_bytes // SHUFFLE_TASK_BYTES)))
+    scan_mb = 512 if data_bytes > 10 * 1024**4 else 128
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": f"{scan_mb}m",
+    }
+
+
 def object_store_conf(endpoint: str, access_key: str, secret_key: str,
                       path_style: bool = True) -> dict[str, str]:
     """Settings for an S3-compatible object store, to pass to `session`."""

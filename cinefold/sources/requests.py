@@ -20,6 +20,18 @@ def arrival(at: Column | None = None, source: Column | None = None,
     )
 
 
+def kafka_requests(raw: DataFrame) -> DataFrame:
+    """Requests from the columns of the Kafka source."""
+    partition = F.lpad(F.col("partition").cast("string"), 10, "0")
+    return raw.select(
+        arrival(
+            at=F.unix_micros("timestamp"), source=F.concat_ws("/", "topic", partition),
+            seq=F.col("offset"),
+        ).alias("arrival"),
+        F.col("value").cast("string").alias("value"),
+    )
+
+
 def request_stream(spark: SparkSession, fmt: str, options: dict[str, str]) -> DataFrame:
     """A stream of (arrival, value) with UTF-8 values, from `kafka` or `text`.
 
@@ -28,14 +40,8 @@ def request_stream(spark: SparkSession, fmt: str, options: dict[str, str]) -> Da
     `path`; its lines are numbered within each micro-batch by `with_line_order`.
     """
     if fmt == "kafka":
-        raw = spark.readStream.format("kafka").options(**{**KAFKA_DEFAULTS, **options}).load()
-        return raw.select(
-            arrival(
-                at=F.unix_micros("timestamp"),
-                source=F.concat_ws("/", "topic", F.lpad(F.col("partition").cast("string"), 10, "0")),
-                seq=F.col("offset"),
-            ).alias("arrival"),
-            F.col("value").cast("string").alias("value"),
+        return kafka_requests(
+            spark.readStream.format("kafka").options(**{**KAFKA_DEFAULTS, **options}).load()
         )
     if fmt == "text":
         options = dict(options)

@@ -3,7 +3,7 @@ from conftest import MOVIE_ROWS, rows
 
 from cinefold.operators.reports import describe_table, table_counts
 from cinefold.schemas import MOVIES, RATINGS
-from cinefold.session import object_store_conf, scratch_path, session, shared_dir
+from cinefold.session import object_store_conf, scratch_path, session, shared_dir, sizing_conf
 from cinefold.sources import tables
 from cinefold.sources.versions import commit_version, latest_version
 
@@ -57,6 +57,15 @@ def test_session_takes_settings(spark):
     assert same.conf.get("spark.sql.session.timeZone") == "UTC"
 
 
+def test_partitions_grow_with_the_data():
+    gb = 1024**3
+    assert sizing_conf(gb)["spark.sql.shuffle.partitions"] == "200"
+    assert sizing_conf(1024 * gb)["spark.sql.shuffle.partitions"] == "4096"
+    assert sizing_conf(100 * 1024 * gb) == {
+        "spark.sql.shuffle.partitions": "100000", "spark.sql.files.maxPartitionBytes": "512m",
+    }
+
+
 def test_scratch_lies_in_the_named_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark) + "/x-")
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -3,6 +3,7 @@ import os
 
 import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 
 from cinefold.functions.linear import LinearScorer
 from cinefold.operators.documents import feature_keys
@@ -20,7 +21,12 @@ from cinefold.sources.predictions import (
     write_predictions,
 )
 from cinefold.sources.registry import register_model
-from cinefold.sources.requests import request_stream, requests_from, write_requests
+from cinefold.sources.requests import (
+    kafka_requests,
+    request_stream,
+    requests_from,
+    write_requests,
+)
 from cinefold.sources.store import publish_features, read_store
 from cinefold.streaming.scoring import start_scoring
 
@@ -161,6 +167,22 @@ def test_send_a_request_and_await_its_prediction(run, spark):
     assert answer.prediction in (0, 1)
 
 
+def test_kafka_rows_become_requests(spark):
+    raw = spark.createDataFrame(
+        [(bytearray("{\"request_id\":\"\u00e9\"}", "utf-8"), "t", 3, 17, 5)],
+        "value binary, topic string, partition int, offset bigint, s bigint",
+    ).selectExpr("*", "timestamp_seconds(s) as timestamp")
+    made = kafka_requests(raw).first()
+    assert made.value == '{"request_id":"\u00e9"}'
+    assert tuple(made.arrival) == (5_000_000, "t/0000000003", 0, 17)
+
+
+def test_kafka_needs_its_connector(spark):
+    """The connector is not part of this environment; with it, the stream would open."""
+    with pytest.raises(AnalysisException, match="kafka"):
+        request_stream(spark, "kafka", {"subscribe": "t", "kafka.bootstrap.servers": "h:1"})
+
+
 def test_unknown_request_formats_are_refused(spark):
     with pytest.raises(ValueError):
         request_stream(spark, "socket", {})
