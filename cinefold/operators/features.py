@@ -15,20 +15,12 @@ from cinefold.functions.genres import NO_GENRES, tokens
 from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES, fits_broadcast
 from cinefold.plans.skew import MIN_HOT_ROWS, has_hot_keys, sliced_join
 
-# Bytes of one array element (offset, struct header, length and padding) beside its text.
-_TOKEN_BYTES = 48
 SCALARS = ["avg_rating", "num_movies", "last_interaction_ts"]
 
 
-def _genre_bytes() -> Column:
-    """Upper estimate of a movie's genre array: per-token overhead plus the text."""
-    separators = F.length("genres") - F.length(F.replace("genres", F.lit("|"), F.lit("")))
-    return F.octet_length("genres") + (separators + 1) * _TOKEN_BYTES
-
-
 def movies_fit_broadcast(movies: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
     """Whether the movies' genres are small enough to broadcast; one small aggregate."""
-    return fits_broadcast(movies, _genre_bytes(), limit)
+    return fits_broadcast(movies, F.octet_length("genres"), limit)
 
 
 def ratings_with_movies(ratings: DataFrame, movies: DataFrame,
@@ -50,70 +42,67 @@ def genre_tokens(movies: DataFrame) -> DataFrame:
     )
 
 
-def movie_genres(movies: DataFrame) -> DataFrame:
-    """One row per movie: its genres, each with the number of times it occurs.
-
-    Repeated movie rows and repeated tokens add up, as they would in a row-by-row join.
-    """
-    return (
-        genre_tokens(movies).groupBy("movieId", "genre").agg(F.count("*").alias("copies"))
-        .groupBy("movieId")
-        .agg(F.collect_list(F.struct("genre", "copies")).alias("genres"))
-    )
-
-
 def user_scalars(ratings: DataFrame) -> DataFrame:
     """Mean rating, number of rows and latest timestamp per user; one combined shuffle."""
-    return ratings.groupBy("userId").agg(
+    return ratings.groupBy("userId").agg(*_scalars())
+
+
+def _scalars() -> list[Column]:
+    return [
         F.avg("rating").alias("avg_rating"),
         F.count("movieId").alias("num_movies"),
         F.max("timestamp").alias("last_interaction_ts"),
-    )
+    ]
 
 
-def user_movie_ids(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """The distinct movies of each user, ascending.
+def user_simple_features(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The scalars of each user, and the distinct movies, ascending, in one scan.
 
-    Sets gathered per task are merged per user in one shuffle. That would send a hot user's
-    sets from every task to one, so if there is such a user (one counting job tells), the
-    pairs are first made distinct, which spreads them, and leaves each movie once.
+    Sets gathered per task are merged per user. That would send a hot user's sets from every
+    task to one, so if there is such a user (one counting job tells), equal (user, movie)
+    rows are combined first: that spreads a user over all tasks and leaves each movie once.
     """
-    pairs = ratings.select("userId", "movieId")
-    if has_hot_keys(pairs, "userId", min_hot_rows):
-        gathered, pairs = F.collect_list("movieId"), pairs.distinct()
-    else:
-        gathered = F.collect_set("movieId")
-    return pairs.groupBy("userId").agg(F.sort_array(gathered).alias("movie_ids"))
-
-
-def user_simple_features(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """The scalars and the movie ids of each user."""
-    return user_scalars(ratings).join(user_movie_ids(ratings, min_hot_rows), "userId")
+    if not has_hot_keys(ratings, "userId", min_hot_rows):
+        return ratings.groupBy("userId").agg(
+            *_scalars(), F.sort_array(F.collect_set("movieId")).alias("movie_ids")
+        )
+    pairs = ratings.groupBy("userId", "movieId").agg(
+        F.count("*").alias("n"), F.sum("rating").alias("rating_sum"),
+        F.count("rating").alias("n_rated"), F.max("timestamp").alias("last_ts"),
+    )
+    return pairs.groupBy("userId").agg(
+        F.try_divide(F.sum("rating_sum"), F.sum("n_rated")).alias("avg_rating"),
+        F.sum("n").alias("num_movies"),
+        F.max("last_ts").alias("last_interaction_ts"),
+        F.sort_array(F.collect_list("movieId")).alias("movie_ids"),
+    )
 
 
 def user_genre_counts(ratings: DataFrame, movies: DataFrame,
                       broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                       min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Rated rows per (user, genre), which combine on the map side.
+    """Rated rows per (user, genre).
+
+    A user's rows are counted per whole genre string before the strings are cut, so a rating
+    moves at most once through the shuffle, and fewer rows are multiplied by their genres.
 
     With movies too large to broadcast, equal (user, movie) rows are counted first, and the
     movies' genres reach them through a shuffle on the movie, hot movies sliced.
     """
     if movies_fit_broadcast(movies, broadcast_limit):
-        listed = movies.select(
-            "movieId", F.filter(tokens("genres"), lambda t: t != NO_GENRES).alias("genres")
-        )
-        return (
-            ratings.select("userId", "movieId").join(F.broadcast(listed), "movieId")
-            .select("userId", F.explode("genres").alias("genre"))
-            .groupBy("userId", "genre").agg(F.count("*").alias("genre_count"))
-        )
-    pairs = ratings.groupBy("userId", "movieId").agg(F.count("*").alias("n"))
-    joined = sliced_join(pairs, movie_genres(movies), "movieId", min_rows=min_hot_rows)
+        listed = F.broadcast(movies.select("movieId", "genres"))
+        rated = ratings.select("userId", "movieId").join(listed, "movieId")
+        n = F.count("*")
+    else:
+        pairs = ratings.groupBy("userId", "movieId").agg(F.count("*").alias("n"))
+        listed = movies.groupBy("movieId", "genres").agg(F.count("*").alias("copies"))
+        rated = sliced_join(pairs, listed, "movieId", min_rows=min_hot_rows)
+        n = F.sum(F.col("n") * F.col("copies"))
     return (
-        joined.select("userId", "n", F.explode("genres").alias("g"))
-        .groupBy("userId", F.col("g.genre").alias("genre"))
-        .agg(F.sum(F.col("n") * F.col("g.copies")).alias("genre_count"))
+        rated.groupBy("userId", "genres").agg(n.alias("n"))
+        .select("userId", "n", F.explode(tokens("genres")).alias("genre"))
+        .filter(F.col("genre") != NO_GENRES)
+        .groupBy("userId", "genre").agg(F.sum("n").alias("genre_count"))
     )
 
 
@@ -141,7 +130,7 @@ def user_features(ratings: DataFrame, movies: DataFrame,
     """All features, one row per user; the profile is null for users without genre rows.
 
     The counts are gathered per user before the total is at hand, and divided by it where
-    all parts meet. Each part comes out partitioned by user, so the two joins move nothing.
+    both parts meet. Both come out partitioned by user, so the join moves nothing.
     """
     counts = (
         user_genre_counts(ratings, movies, broadcast_limit, min_hot_rows)
