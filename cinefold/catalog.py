@@ -24,9 +24,10 @@ from cinefold.operators import validation as V
 from cinefold.session import scratch_path
 from cinefold.sources import sample_views as views
 from cinefold.sources.predictions import read_predictions, read_rejects
-from cinefold.sources.requests import requests_from
+from cinefold.sources.registry import read_runs
+from cinefold.sources.requests import arrival, requests_from, write_requests
 from cinefold.sources.store import publish_features, read_store
-from cinefold.sources.tables import read_movies, read_ratings, write_features
+from cinefold.sources.tables import read_features, read_movies, read_ratings, write_features
 from cinefold.streaming.scoring import start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FIXED_MODEL = LinearScorer(-2.78, (1.0, 0.001))
 # Low enough that the slicing of hot keys and the join without a broadcast run on samples.
 SAMPLE_HOT_ROWS = 1_000
+SAMPLE_WARM_ROWS = 20
 NO_BROADCAST = 0
 
 
@@ -202,7 +204,7 @@ def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = views.sample_requests(spark, sf_dir)
     parsed = S.valid_requests(S.parse_requests(requests_from(keys, "event_id")))
     hits, _ = L.split_hits(L.lookup_features(
-        parsed, _store(spark, sf_dir), min_hot_rows=SAMPLE_HOT_ROWS
+        parsed, _store(spark, sf_dir), min_hot_rows=SAMPLE_WARM_ROWS
     ))
     return hits.select(F.col("arrival.seq").alias("event_id"), "feature_key", *FEATURES)
 
@@ -226,7 +228,8 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_requests_small_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_scored(S.scored_rows(_outcomes(spark, sf_dir, small_batch=True)))
+    rows = _requests(spark, sf_dir).count()
+    return _flat_scored(S.scored_rows(_outcomes(spark, sf_dir, batch_rows=rows)))
 
 
 def latest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,15 +293,32 @@ def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batch jobs on the written tables; the rows that each of them made."""
     root = scratch_path(spark, "run")
     write_features(views.sample_ratings(spark, sf_dir), f"{root}/ratings")
     write_features(views.sample_movies(spark, sf_dir), f"{root}/movies")
     result = run_pipeline(spark, ChainConfig(
         f"{root}/ratings", f"{root}/movies", f"{root}/out", "parquet", "parquet"
     ))
-    rows = [(name, value) for name, value in result.metrics.items()]
-    rows += [("missing", float(result.missing)), ("unscored", float(result.unscored))]
-    return spark.createDataFrame(rows, "metric string, value double")
+    made = R.table_counts({
+        "train_ratings": read_ratings(spark, f"{root}/out/splits/split=train"),
+        "test_ratings": read_ratings(spark, f"{root}/out/splits/split=test"),
+        "train_rows": read_features(spark, f"{root}/out/features/train/training"),
+        "test_rows": read_features(spark, f"{root}/out/features/test/training"),
+        "published": read_store(spark, f"{root}/out/store"),
+        "runs": read_runs(spark, f"{root}/out/runs"),
+    })
+    ends = [("model_version", result.model_version), ("missing", result.missing),
+            ("unscored", result.unscored)]
+    return made.unionByName(spark.createDataFrame(ends, "name string, n bigint"))
+
+
+def request_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Send one request per published key as text, read them back and parse them."""
+    path = scratch_path(spark, "requests")
+    write_requests(S.make_requests(D.feature_keys(_store(spark, sf_dir))), "text", {"path": path})
+    sent = spark.read.text(path).select(arrival().alias("arrival"), "value")
+    return S.valid_requests(S.parse_requests(sent)).select("feature_key")
 
 
 def queries() -> dict[str, Query]:
@@ -314,13 +334,13 @@ def queries() -> dict[str, Query]:
         "genre_tokens": lambda s, d: U.genre_tokens(_movies(s, d)),
         "ratings_with_movies": lambda s, d: U.ratings_with_movies(_ratings(s, d), _movies(s, d)),
         "ratings_with_movies_sliced": lambda s, d: U.ratings_with_movies(
-            _ratings(s, d), _movies(s, d), NO_BROADCAST, 20
+            _ratings(s, d), _movies(s, d), NO_BROADCAST, SAMPLE_WARM_ROWS
         ),
         "user_scalars": lambda s, d: U.user_scalars(_ratings(s, d)),
         "user_simple_features": lambda s, d: _flat(U.user_simple_features(_ratings(s, d))),
         "user_genre_counts": lambda s, d: U.user_genre_counts(_ratings(s, d), _movies(s, d)),
         "user_genre_counts_sliced": lambda s, d: U.user_genre_counts(
-            _ratings(s, d), _movies(s, d), NO_BROADCAST, 20
+            _ratings(s, d), _movies(s, d), NO_BROADCAST, SAMPLE_WARM_ROWS
         ),
         "genre_proportions": genre_proportions,
         "genre_profile": genre_profile,
@@ -354,6 +374,7 @@ def queries() -> dict[str, Query]:
         "weighted_examples": weighted_examples,
         "train_logistic": train_logistic,
         "full_run": full_run,
+        "request_round_trip": request_round_trip,
     }
 
 
@@ -530,6 +551,18 @@ def oracle_sql() -> dict[str, str]:
             select 'clean_movies', count(*) from clean_m union all
             select 'train', count(*) from train_r union all
             select 'test', count(*) from test_r""",
+        "request_round_trip": f"with {_TEST} select feature_key from store",
+        "full_run": f"""with {_TEST}
+            select 'train_ratings' as name, count(*) as n from ratings where {_SPLIT} = 'train'
+            union all select 'test_ratings', count(*) from ratings where {_SPLIT} = 'test'
+            union all select 'train_rows', count(*) from train_r
+            union all select 'test_rows', count(*) from test_r
+            union all select 'published', count(*) from store
+            union all select 'runs', 1 union all select 'model_version', 1
+            union all select 'missing', 0
+            union all select 'unscored', count(*) from
+              (select distinct userId, target from test_r) join test_simple using (userId)
+              where avg_rating is null""",
         "weighted_examples": f"""with {_ALL} select avg_rating, num_movies, target,
             cast(count(*) as double) as weight from clean_r join simple using (userId)
             where avg_rating is not null group by avg_rating, num_movies, target""",

@@ -13,17 +13,19 @@ SMALL_BATCH_ROWS = 1_000_000
 
 
 def lookup_features(keys: DataFrame, store: DataFrame, key: str = "feature_key",
-                    small_batch: bool = False, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                    batch_rows: int | None = None,
+                    min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Every row of `keys` with the stored model inputs of its key.
 
     `found` tells a key that is absent from one that is stored with null inputs. Any number
-    of rows may share a key. For a batch known to hold at most SMALL_BATCH_ROWS rows, the
-    store is first cut down to the batch's keys by a broadcast, and is never shuffled.
+    of rows may share a key. `batch_rows` is the counted number of rows, where known: up to
+    SMALL_BATCH_ROWS of them, the store is first cut down to their keys by a broadcast, and
+    is never shuffled. Beyond, or without a count, the join shuffles and slices hot keys.
     """
     wanted = store.select(
         F.col("feature_key").alias(key), *FEATURES, F.lit(True).alias("__found")
     )
-    if small_batch:
+    if batch_rows is not None and batch_rows <= SMALL_BATCH_ROWS:
         present = F.broadcast(keys.filter(F.col(key).isNotNull()).select(key).distinct())
         wanted = F.broadcast(wanted.join(present, key, "left_semi"))
         joined = keys.join(wanted, key, "left")

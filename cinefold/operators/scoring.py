@@ -48,14 +48,16 @@ def valid_requests(parsed: DataFrame) -> DataFrame:
 
 
 def score_batch(df: DataFrame, store: DataFrame, model: PipelineModel | LinearScorer,
-                small_batch: bool = False, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                batch_rows: int | None = None, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """What becomes of each request, one row per row of `df`, in one pass.
 
+    `batch_rows` is the number of rows of `df`, if it was counted; see `lookup_features`.
+
     A scored request has a prediction and the time of processing; a rejected one has a
     reason. A row that cannot be scored never fails the others.
     """
     looked_up = lookup_features(
-        parse_requests(df), store, small_batch=small_batch, min_hot_rows=min_hot_rows
+        parse_requests(df), store, batch_rows=batch_rows, min_hot_rows=min_hot_rows
     )
     prediction = scorer_from(model).predict()
     scored = looked_up.withColumn("prediction", F.when(F.col("found"), prediction))

@@ -14,8 +14,9 @@ from pyspark.sql.types import LongType
 
 # A key with fewer rows than this is never worth slicing.
 MIN_HOT_ROWS = 1_000_000
-# No more keys than this can be hot: each owns over 1/MAX_HOT_KEYS of all rows.
-MAX_HOT_KEYS = 10_000
+# No more keys than this can be hot: each owns over 1/MAX_HOT_KEYS of all rows, which is more
+# than an even share of the most shuffle tasks a run may have.
+MAX_HOT_KEYS = 100_000
 
 _SLICE = "__slice"
 

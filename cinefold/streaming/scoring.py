@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from cinefold.functions.linear import LinearScorer, scorer_from
-from cinefold.operators.lookup import SMALL_BATCH_ROWS
 from cinefold.operators.scoring import score_batch
 from cinefold.sources.predictions import write_outcomes
 from cinefold.sources.registry import load_latest_model, load_model
@@ -41,7 +40,7 @@ def start_scoring(stream: DataFrame, store_dir: str, model: PipelineModel | Line
         try:
             outcomes = score_batch(
                 requests, read_store(batch.sparkSession, store_dir), scorer,
-                small_batch=requests.count() <= SMALL_BATCH_ROWS,
+                batch_rows=requests.count(),
             )
             write_outcomes(outcomes, out_dir, batch_id)
         finally:

@@ -10,8 +10,8 @@ SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("lineitem", "orders", "customer", "part", "events")
 QUERIES = driver.queries()
 ORACLE = driver.oracle_sql()
-# Fits of a model; the solver's path is not SQL. tests/test_training.py checks their values.
-WITHOUT_SQL = {"train_logistic", "full_run"}
+# The fit of a model, an iteration that is not SQL. tests/test_training.py checks its values.
+WITHOUT_SQL = {"train_logistic"}
 
 
 @pytest.fixture(scope="module")

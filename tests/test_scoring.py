@@ -79,7 +79,7 @@ def requests(spark):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"small_batch": True}, {"min_hot_rows": 1}],
+    "options", [{}, {"batch_rows": len(CASES)}, {"min_hot_rows": 1}],
     ids=["shuffle", "small_batch", "sliced"],
 )
 def test_every_request_has_its_outcome(requests, store, options):

@@ -11,7 +11,12 @@ from cinefold.operators.documents import (
     store_documents,
 )
 from cinefold.operators.features import training_table, user_features
-from cinefold.operators.lookup import lookup_features, missing_keys, split_hits
+from cinefold.operators.lookup import (
+    SMALL_BATCH_ROWS,
+    lookup_features,
+    missing_keys,
+    split_hits,
+)
 from cinefold.sources.store import publish_features, read_store
 
 
@@ -101,7 +106,7 @@ def test_feature_keys_with_and_without_limit(features):
     assert feature_keys(store, 1).count() == 1
 
 
-@pytest.mark.parametrize("options", [{}, {"small_batch": True}, {"min_hot_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"batch_rows": 5}, {"min_hot_rows": 1}])
 def test_lookup(spark, features, options):
     store = store_documents(features)
     keys = spark.createDataFrame(
@@ -116,6 +121,21 @@ def test_lookup(spark, features, options):
     assert (hits.count(), misses.count()) == (3, 2)
 
 
+def test_only_a_counted_small_batch_is_broadcast(spark):
+    store = spark.createDataFrame(
+        [("1", 2.0, 3)], "feature_key string, avg_rating double, num_movies bigint"
+    )
+    keys = spark.createDataFrame([("1",)], "feature_key string")
+
+    def hinted(**options):
+        plan = lookup_features(keys, store, **options)._jdf.queryExecution().logical().toString()
+        return "broadcast" in plan.lower()
+
+    assert hinted(batch_rows=1)
+    assert not hinted()
+    assert not hinted(batch_rows=SMALL_BATCH_ROWS + 1)
+
+
 def test_missing_keys(spark, features):
     pairs = spark.createDataFrame([(1, 0), (1, 1), (7, 1)], "userId bigint, target int")
     assert rows(missing_keys(pairs, store_documents(features))) == [(7, 1)]
