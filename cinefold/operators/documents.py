@@ -17,8 +17,13 @@ def store_columns(df: DataFrame) -> DataFrame:
 
 
 def latest_user_rows(df: DataFrame) -> DataFrame:
-    """One row per user. The columns depend on the user alone, so any row serves."""
-    return store_columns(df).dropDuplicates(["userId"])
+    """One row per user. The columns depend on the user alone, so any row serves.
+
+    Equal rows are combined by hash first; dropping duplicates by key alone would sort all
+    rows, arrays included, on the map side. The repartition is the shuffle the second step
+    needs anyway, and keeps the optimizer from merging the two steps.
+    """
+    return store_columns(df).distinct().repartition("userId").dropDuplicates(["userId"])
 
 
 def store_documents(df: DataFrame) -> DataFrame:

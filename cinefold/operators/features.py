@@ -81,10 +81,12 @@ def user_simple_features(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -
 def user_genre_counts(ratings: DataFrame, movies: DataFrame,
                       broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                       min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Rated rows per (user, genre).
+    """Rated rows per (user, genre), partitioned by user.
 
     A user's rows are counted per whole genre string before the strings are cut, so a rating
-    moves at most once through the shuffle, and fewer rows are multiplied by their genres.
+    moves at most once, and fewer rows are multiplied by their genres. The counts left, no
+    more per user than there are genre strings, then move to their user, where cutting and
+    counting them, and what callers do by user, needs no further shuffle.
 
     With movies too large to broadcast, equal (user, movie) rows are counted first, and the
     movies' genres reach them through a shuffle on the movie, hot movies sliced.
@@ -100,6 +102,7 @@ def user_genre_counts(ratings: DataFrame, movies: DataFrame,
         n = F.sum(F.col("n") * F.col("copies"))
     return (
         rated.groupBy("userId", "genres").agg(n.alias("n"))
+        .repartition("userId")
         .select("userId", "n", F.explode(tokens("genres")).alias("genre"))
         .filter(F.col("genre") != NO_GENRES)
         .groupBy("userId", "genre").agg(F.sum("n").alias("genre_count"))

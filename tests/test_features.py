@@ -1,10 +1,13 @@
+import re
+
 import pytest
-from conftest import rows
+from conftest import plan_of, rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cinefold.operators import features as U
+from cinefold.operators.documents import latest_user_rows
 from cinefold.operators.prepare import clean_ratings
 from cinefold.schemas import MOVIES, RATINGS
 
@@ -160,6 +163,23 @@ def test_features_against_brute_force(spark, data, catalogue):
         } == brute_force(data, catalogue)
 
 
+def test_features_take_three_shuffles_by_user(spark, ratings, movies):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(U.user_features(ratings, movies))
+        assert plan.count("Exchange hashpartitioning") == 3
+        assert plan.count("BroadcastHashJoin") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_row_per_user_is_found_by_hash(spark, ratings, movies, work):
+    U.training_table(ratings, U.user_features(ratings, movies), wide=True).write.parquet(work + "/w")
+    plan = plan_of(latest_user_rows(spark.read.parquet(work + "/w")))
+    by_hash = re.search(r"HashAggregate\(keys=.*genre_profile.*functions=\[\]", plan)
+    assert by_hash and by_hash.start() > plan.index("SortAggregate")
+
+
 def test_broadcast_only_when_measured_small(ratings, movies):
     assert U.movies_fit_broadcast(movies)
     assert not U.movies_fit_broadcast(movies, limit=100)
