@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinefold.llm import quality
+from cinefold.llm import minhash_forest, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_quality_rules": quality.query,
+        "op10_minhash_forest": minhash_forest.query,
     }
 
 
