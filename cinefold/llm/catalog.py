@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinefold.llm import minhash_forest, quality
+from cinefold.llm import minhash_forest, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.query,
         "op7_quality_rules": quality.query,
         "op10_minhash_forest": minhash_forest.query,
     }
