@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinefold.llm import minhash_forest, mixing, quality, substring_dedup
+from cinefold.llm import minhash_forest, mixing, pieces, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op3_mixing": mixing.query,
+        "op6_sentencepiece": pieces.query,
         "op7_quality_rules": quality.query,
         "op10_minhash_forest": minhash_forest.query,
     }
