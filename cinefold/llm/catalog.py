@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinefold.llm import minhash_forest, mixing, pieces, quality, substring_dedup
+from cinefold.llm import (
+    minhash_forest,
+    mixing,
+    pieces,
+    quality,
+    substring_dedup,
+    url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op2_url_filter": url_filter.query,
         "op3_mixing": mixing.query,
         "op6_sentencepiece": pieces.query,
         "op7_quality_rules": quality.query,
@@ -20,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.ORACLE_SQL}
