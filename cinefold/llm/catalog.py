@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinefold.llm import (
+    katz,
     license_scan,
     minhash_forest,
     mixing,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": url_filter.query,
         "op3_mixing": mixing.query,
         "op4_license_scan": license_scan.query,
+        "op5_katz": katz.query,
         "op6_sentencepiece": pieces.query,
         "op7_quality_rules": quality.query,
         "op10_minhash_forest": minhash_forest.query,
