@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinefold.llm import (
+    html_text,
     katz,
     license_scan,
     minhash_forest,
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": pieces.query,
         "op7_quality_rules": quality.query,
         "op10_minhash_forest": minhash_forest.query,
+        "op8_html_text": html_text.query,
     }
 
 
