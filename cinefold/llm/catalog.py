@@ -12,6 +12,7 @@ from cinefold.llm import (
     license_scan,
     minhash_forest,
     mixing,
+    neighbours,
     pieces,
     quality,
     substring_dedup,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": quality.query,
         "op10_minhash_forest": minhash_forest.query,
         "op8_html_text": html_text.query,
+        "op9_neighbours": neighbours.query,
     }
 
 
