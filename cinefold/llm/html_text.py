@@ -278,6 +278,18 @@ LABELLED: tuple[tuple[tuple[bool, str], ...], ...] = (
              f"<div class='newsletter'><p>{_say(15)}</p></div></article><footer>{_say(6)}</footer>")),
     ((False, f"<div class='banner'><p>{_say(20)}</p></div><article>"), (True, f"<p>{_say(3)}</p>"),
      (False, f"</article><footer>{_say(9)}</footer>")),
+    ((True, f"<article><p>{_say(1)}</p></article>"),),
+    ((True, f"<article><h1>{_say(4)}</h1>{_paragraphs((30, 2, 1))}</article>"),),
+    ((True, f"<main><p>{_say(2)}</p><p>{_say(3)}</p></main>"),),
+    *(((False, f"<nav><a href='/a'>{_say(1)}</a> <a href='/b'>{_say(n)}</a></nav><{tag}>"),
+       (True, f"<h1>{_say(n)}</h1>{_paragraphs((n + 2, 1, 20 * n))}"),
+       (False, f"</{tag}><aside>{_say(8)}</aside><footer>{_say(n)}</footer>"))
+      for n in (1, 2, 4) for tag in ("article", "main")),
+    *(((False, f"<div><a href='/a'>{_say(n)}</a></div><div>{_say(n)}</div>"),
+       (True, f"<div>{_say(45 + n)}</div><div>{_say(70)}</div>"),
+       (False, f"<div>{_say(n)}</div><div><a href='/b'>{_say(2)}</a> {_say(1)}</div>"))
+      for n in (1, 2, 3, 5)),
+    ((False, f"<ul>{_links(5, 2)}</ul>"), (True, f"<div>{_say(62)}</div><div>{_say(37)}</div>")),
     ((False, "<article>"), (True, f"<h1>{_say(2)}</h1><p>{_say(5)} <a href='/y'>{_say(9)}</a></p>"
                                   f"<p><a href='/z'>{_say(6)}</a></p>"),
      (False, f"</article><div class='related'>{_links(3, 7)}</div><footer>{_say(30)}</footer>")),
