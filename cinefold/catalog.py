@@ -163,6 +163,11 @@ def training_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(U.training_table(_ratings(spark, sf_dir), _features(spark, sf_dir), wide=True))
 
 
+def training_wide_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = U.training_table(_ratings(spark, sf_dir), _features(spark, sf_dir), wide=True)
+    return wide.select("userId", F.inline("genre_profile"))
+
+
 def hot_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(U.user_features(
         _hot_ratings(spark, sf_dir), _movies(spark, sf_dir),
@@ -175,6 +180,14 @@ def hot_user_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.training_table(ratings, U.user_scalars(ratings), min_hot_rows=SAMPLE_HOT_ROWS)
 
 
+def training_wide_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table with a user of a third of all rows; arrays by their digest."""
+    ratings = _hot_ratings(spark, sf_dir)
+    features = U.user_features(ratings, _movies(spark, sf_dir), min_hot_rows=SAMPLE_HOT_ROWS)
+    wide = U.training_table(ratings, features, wide=True, min_hot_rows=SAMPLE_HOT_ROWS)
+    return _flat(wide).withColumns({c: F.md5(c) for c in ("movie_ids", "genre_counts")})
+
+
 def random_split_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = P.random_split(views.sample_ratings(spark, sf_dir))
     counts = R.table_counts({"train": train, "test": test})
@@ -271,14 +284,16 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.table_counts({
-        "ratings": views.sample_ratings(spark, sf_dir),
-        "clean_ratings": _ratings(spark, sf_dir),
-        "movies": views.sample_movies(spark, sf_dir),
-        "clean_movies": _movies(spark, sf_dir),
-        "train": _split(spark, sf_dir, "train"),
-        "test": _split(spark, sf_dir, "test"),
-    })
+    usable = F.col("userId").isNotNull() & F.col("movieId").isNotNull()
+    ratings = P.hash_split(views.sample_ratings(spark, sf_dir))
+    every = F.lit(True)
+    return R.count_parts(ratings, {
+        "ratings": every, "clean_ratings": usable,
+        "train": usable & (F.col("split") == "train"), "test": usable & (F.col("split") == "test"),
+    }).unionByName(R.count_parts(views.sample_movies(spark, sf_dir), {
+        "movies": every,
+        "clean_movies": F.col("movieId").isNotNull() & F.col("genres").isNotNull(),
+    }))
 
 
 def weighted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,10 +360,13 @@ def queries() -> dict[str, Query]:
         "genre_proportions": genre_proportions,
         "genre_profile": genre_profile,
         "user_features": lambda s, d: _flat(_features(s, d)),
+        "user_feature_shares": lambda s, d: _features(s, d).select("userId", F.inline("genre_profile")),
+        "training_wide_shares": training_wide_shares,
         "training_narrow": training_narrow,
         "training_wide": training_wide,
         "hot_user_features": hot_user_features,
         "hot_user_training": hot_user_training,
+        "training_wide_hot": training_wide_hot,
         "hash_split": lambda s, d: _text_ids(P.hash_split(views.sample_ratings(s, d))),
         "random_split_total": random_split_total,
         "store_documents": store_documents,
@@ -481,6 +499,8 @@ def oracle_sql() -> dict[str, str]:
                        last_interaction_ts from clean_r join simple using (userId)"""
     joined = """select r.movieId, userId, rating, timestamp, target, title, genres
                 from clean_r r join clean_m m on r.movieId = m.movieId"""
+    shares = f"""with {_ALL} select userId, genre, genre_count / num_movies as proportion
+                 from counts join {{}} using (userId)"""
     document = """select cast(userId as varchar) as feature_key, userId as user_id, avg_rating,
                          num_movies, last_interaction_ts, movie_ids,
                          coalesce(genre_counts, '') as genre_counts"""
@@ -507,11 +527,16 @@ def oracle_sql() -> dict[str, str]:
         "genre_profile": f"""with {_ALL} select userId, num_movies, genre_counts
                              from profile join simple using (userId)""",
         "user_features": f"with {_ALL} select {feats} from feats",
+        "user_feature_shares": shares.format("simple"),
+        "training_wide_shares": shares.format("clean_r join simple using (userId)"),
         "training_narrow": f"with {_ALL} {narrow}",
         "training_wide": f"""with {_ALL} select movieId, rating, timestamp, target, {feats}
                              from clean_r join feats using (userId)""",
         "hot_user_features": _hot(f"select {feats} from feats"),
         "hot_user_training": _hot(narrow),
+        "training_wide_hot": _hot("""select movieId, rating, timestamp, target, userId, avg_rating,
+            num_movies, last_interaction_ts, md5(movie_ids) as movie_ids,
+            md5(genre_counts) as genre_counts from clean_r join feats using (userId)"""),
         "hash_split": f"with {_PREPARED} select {text_ids}, {_SPLIT} as split from ratings",
         "random_split_total": f"with {_PREPARED} select count(*) as n from ratings",
         "store_documents": f"with {_TEST} {document} from test_feats",

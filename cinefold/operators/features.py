@@ -49,7 +49,7 @@ def user_scalars(ratings: DataFrame) -> DataFrame:
 
 def _scalars() -> list[Column]:
     return [
-        F.avg("rating").alias("avg_rating"),
+        F.try_divide(F.sum("rating"), F.count("rating")).alias("avg_rating"),
         F.count("movieId").alias("num_movies"),
         F.max("timestamp").alias("last_interaction_ts"),
     ]
@@ -58,8 +58,8 @@ def _scalars() -> list[Column]:
 def user_simple_features(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """The scalars of each user, and the distinct movies, ascending, in one scan.
 
-    Sets gathered per task are merged per user. That would send a hot user's sets from every
-    task to one, so if there is such a user (one counting job tells), equal (user, movie)
+    Both ways below give the same schema and the same sums. Sets gathered per task are merged per
+    user. That would send a hot user's sets from every task to one, so if there is such a user (one counting job tells), equal (user, movie)
     rows are combined first: that spreads a user over all tasks and leaves each movie once.
     """
     if not has_hot_keys(ratings, "userId", min_hot_rows):
@@ -72,7 +72,7 @@ def user_simple_features(ratings: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -
     )
     return pairs.groupBy("userId").agg(
         F.try_divide(F.sum("rating_sum"), F.sum("n_rated")).alias("avg_rating"),
-        F.sum("n").alias("num_movies"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("num_movies"),
         F.max("last_ts").alias("last_interaction_ts"),
         F.sort_array(F.collect_list("movieId")).alias("movie_ids"),
     )
@@ -155,16 +155,32 @@ def training_table(ratings: DataFrame, features: DataFrame, wide: bool = False,
     """One row per cleaned rating with its user's features.
 
     Narrow, it carries the scalars only. Wide, it also repeats each user's arrays on each
-    of the user's rows, whose size grows with the square of the user's activity. Where the
+    of the user's rows, whose size grows with the square of the user's activity: users are then
+    cut into slices by the bytes of their output, as `output_rows` counts them. Where the
     features are a written table, `counts` from `rating_counts` saves counting the ratings.
     """
     arrays = ["movie_ids", "genre_profile"] if wide else []
+    if wide:
+        counts = output_rows(features)
     return sliced_join(
         ratings, features.select("userId", *SCALARS, *arrays), "userId",
         counts=counts, min_rows=min_hot_rows,
     )
 
 
+# Bytes of a training row without arrays, and of an array element.
+ROW_BYTES, ELEMENT_BYTES, ENTRY_BYTES = 64, 8, 32
+
+
+def output_rows(features: DataFrame) -> DataFrame:
+    """The wide output of each user's ratings, counted in rows of ROW_BYTES."""
+    arrays = (F.coalesce(F.size("movie_ids"), F.lit(0)).cast("bigint") * ELEMENT_BYTES
+              + F.greatest(F.coalesce(F.size("genre_profile"), F.lit(0)), F.lit(0)).cast("bigint")
+              * ENTRY_BYTES)
+    return features.select(
+        "userId", (F.col("num_movies") * (1 + F.ceil(arrays / ROW_BYTES))).alias("rows"))
+
+
 def rating_counts(features: DataFrame) -> DataFrame:
     """Ratings per user, as the features have them."""
     return features.select("userId", F.col("num_movies").alias("rows"))
