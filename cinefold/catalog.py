@@ -6,6 +6,9 @@ engines print doubles differently.
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +24,33 @@ from cinefold.operators import reports as R
 from cinefold.operators import scoring as S
 from cinefold.operators import training as T
 from cinefold.operators import validation as V
-from cinefold.session import scratch_path
+from cinefold.schemas import RATINGS
+from cinefold.session import cut_lineage, scratch_path
 from cinefold.sources import sample_views as views
-from cinefold.sources.predictions import read_predictions, read_rejects
-from cinefold.sources.registry import read_runs
-from cinefold.sources.requests import arrival, requests_from, write_requests
+from cinefold.sources.predictions import (
+    compact_predictions,
+    read_latest,
+    read_prediction,
+    read_predictions,
+    read_rejects,
+    write_outcomes,
+)
+from cinefold.sources.registry import load_latest_model, log_run, read_runs, register_model
+from cinefold.sources.requests import (
+    arrival,
+    kafka_requests,
+    request_stream,
+    requests_from,
+    write_requests,
+)
 from cinefold.sources.store import publish_features, read_store
-from cinefold.sources.tables import read_features, read_movies, read_ratings, write_features
+from cinefold.sources.tables import (
+    read_features,
+    read_movies,
+    read_ratings,
+    unparsed_cells,
+    write_features,
+)
 from cinefold.streaming.scoring import start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +153,30 @@ def ratings_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_ids(read_ratings(spark, path, "csv"))
 
 
+def ratings_csv_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ratings-csv")
+    views.sample_ratings(spark, sf_dir).select(
+        "timestamp", "movieId", F.lit("x").alias("note"), "rating", "userId",
+    ).write.csv(path, header=True)
+    return _text_ids(read_ratings(spark, path, "csv"))
+
+
+def movies_csv_extra_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "movies-csv")
+    views.sample_movies(spark, sf_dir).select("genres", "title", F.lit(1).alias("year"), "movieId").write.csv(
+        path, header=True, escape='"')
+    return _text_ids(read_movies(spark, path, "csv"))
+
+
+def csv_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings whose every seventh movie id is text."""
+    path = scratch_path(spark, "ratings-csv")
+    views.sample_ratings(spark, sf_dir).withColumn("movieId", F.when(
+        F.col("movieId") % 7 == 0, "seven").otherwise(F.col("movieId").cast("string"))).write.csv(
+        path, header=True)
+    return unparsed_cells(spark, path, RATINGS)
+
+
 def movies_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "movies-csv")
     views.sample_movies(spark, sf_dir).write.csv(path, header=True, escape='"')
@@ -240,9 +287,44 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_scored(S.scored_rows(_outcomes(spark, sf_dir)))
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(S.parse_requests(_requests(spark, sf_dir)))
+
+
 def score_requests_small_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _requests(spark, sf_dir).count()
-    return _flat_scored(S.scored_rows(_outcomes(spark, sf_dir, batch_rows=rows)))
+    parsed = _parsed(spark, sf_dir)
+    return _flat_scored(S.scored_rows(S.score_parsed(
+        parsed, _store(spark, sf_dir), FIXED_MODEL, L.key_bytes(parsed))))
+
+
+def score_requests_long_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys together take more bytes than may be broadcast."""
+    parsed = _parsed(spark, sf_dir)
+    size = L.key_bytes(parsed)
+    return _flat_scored(S.scored_rows(S.score_parsed(
+        parsed, _store(spark, sf_dir), FIXED_MODEL, size, broadcast_limit=size - 1)))
+
+
+def latest_predictions_kafka_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four partitions whose offsets rise while their times run backwards."""
+    raw = views.sample_requests(spark, sf_dir).selectExpr(
+        "cast(value as binary) as value", "'requests' as topic", "cast(event_id % 4 as int) as partition",
+        "event_id as offset", "timestamp_seconds(2000000000 - event_id) as timestamp")
+    scored = S.score_requests(kafka_requests(raw), _store(spark, sf_dir), FIXED_MODEL)
+    return S.latest_predictions(scored).drop("processed_at")
+
+
+def latest_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, the last one run twice, compacted after the second."""
+    root, outcomes = scratch_path(spark, "log"), cut_lineage(_outcomes(spark, sf_dir))
+    place = F.pmod(F.ceil(F.col("arrival.seq") / 1000), F.lit(1 << 40))
+    edges = outcomes.agg(F.min(place).alias("a"), F.max(place).alias("b")).first()
+    step = (edges["b"] - edges["a"]) // 3 + 1
+    for n, batch in enumerate((0, 1, 2, 2)):
+        write_outcomes(outcomes.filter(F.floor((place - edges["a"]) / step) == batch), root, batch)
+        if n == 1:
+            compact_predictions(spark, root)
+    return read_latest(spark, root).drop("processed_at")
 
 
 def latest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,9 +333,11 @@ def latest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The point lookup itself: one request id of the whole log."""
-    scored = S.scored_rows(_outcomes(spark, sf_dir))
-    return S.prediction_for(scored, "r1").drop("processed_at")
+    """The point lookup itself: one request id of the whole compacted log."""
+    root = scratch_path(spark, "log")
+    write_outcomes(_outcomes(spark, sf_dir), root, 0)
+    compact_predictions(spark, root)
+    return read_prediction(spark, root, "r1").drop("processed_at")
 
 
 def prediction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +367,97 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.select(F.col("arrival.seq").alias("event_id"), "value", "reason")
 
 
+def _text_stream(spark: SparkSession, sf_dir: str, parts: int) -> str:
+    """Requests sent as text in parts, the query started anew for each; the log's folder."""
+    root = scratch_path(spark, "stream")
+    features = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
+    publish_features(features, f"{root}/store", unique_users=True)
+    sent = views.sample_requests(spark, sf_dir)
+    for part in range(parts):
+        write_requests(sent.filter(F.col("event_id") % parts == part), "text", {"path": f"{root}/in"})
+        _score_text(spark, root)
+    return f"{root}/out"
+
+
+def _score_text(spark: SparkSession, root: str) -> None:
+    start_scoring(
+        request_stream(spark, "text", {"path": f"{root}/in"}), f"{root}/store", FIXED_MODEL,
+        f"{root}/out", f"{root}/checkpoint", available_now=True, number_lines=True,
+    ).awaitTermination()
+
+
+def stream_text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read_predictions(spark, _text_stream(spark, sf_dir, 1))
+    return log.select("request_id", "feature_key", "prediction")
+
+
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each start goes on where the one before ended."""
+    log = read_predictions(spark, _text_stream(spark, sf_dir, 2))
+    return log.select("request_id", "feature_key", "prediction")
+
+
+def request_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each published key, sent, awaited and read back."""
+    root = scratch_path(spark, "stream")
+    features = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
+    publish_features(features, f"{root}/store", unique_users=True)
+    keys = D.feature_keys(read_store(spark, f"{root}/store"))
+    write_requests(S.make_requests(keys), "text", {"path": f"{root}/in"})
+    _score_text(spark, root)
+    return read_latest(spark, f"{root}/out").select("feature_key", "prediction")
+
+
+def processed_at_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many predictions carry a time of processing of now."""
+    now = F.unix_timestamp(F.current_timestamp())
+    scored = S.scored_rows(_outcomes(spark, sf_dir))
+    return scored.agg(F.count("*").alias("scored"),
+                      F.count_if(F.abs(F.col("processed_at") - now) < 600).alias("in_range"))
+
+
+def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.describe_table(P.with_target(views.sample_ratings(spark, sf_dir))).drop("nullable")
+
+
+def run_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hyperparameters of a fit, from the run log."""
+    root = scratch_path(spark, "runs")
+    model = T.train_logistic(T.model_inputs(training_narrow(spark, sf_dir)))
+    log_run(spark, root, "run", T.model_params(model), {"accuracy": None})
+    return read_runs(spark, root).select(F.explode("params").alias("name", "value")).filter(
+        F.col("name").isin("maxIter", "tol", "fitIntercept", "elasticNetParam", "standardization"))
+
+
+def model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs on which a model read back from the registry agrees with the one saved."""
+    root = scratch_path(spark, "models")
+    model = T.train_logistic(T.model_inputs(training_narrow(spark, sf_dir)))
+    register_model(model, root)
+    pairs, store = _pairs(spark, sf_dir), _store(spark, sf_dir)
+    saved = V.validate(model, pairs, store).filter("found")
+    again = V.validate(load_latest_model(root), pairs, store).filter("found").select(
+        "userId", "target", F.col("prediction").alias("other"))
+    both = saved.join(again, ["userId", "target"])
+    return both.agg(F.count("*").alias("pairs"),
+                    F.count_if(F.col("prediction").eqNullSafe(F.col("other"))).alias("equal"))
+
+
+def store_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a writer outside Spark was given, read back from its files."""
+    root = scratch_path(spark, "store")
+    folder = f"{root}/written".removeprefix("file://")
+
+    def write(rows) -> None:
+        os.makedirs(folder, exist_ok=True)
+        with open(f"{folder}/{uuid.uuid4().hex}.json", "w") as file:
+            file.writelines(json.dumps({"feature_key": r.feature_key}) + "\n" for r in rows)
+
+    features = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
+    publish_features(features, root, unique_users=True, writer=write)
+    return spark.read.schema("feature_key string").json(folder)
+
+
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = F.col("userId").isNotNull() & F.col("movieId").isNotNull()
     ratings = P.hash_split(views.sample_ratings(spark, sf_dir))
@@ -300,10 +475,15 @@ def weighted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.weighted_examples(training_narrow(spark, sf_dir))
 
 
+def user_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.user_examples(_ratings(spark, sf_dir))
+
+
 def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = T.train_logistic(T.model_inputs(training_narrow(spark, sf_dir))).stages[-1]
     rows = [("intercept", float(model.intercept))]
     rows += [(n, float(w)) for n, w in zip(FEATURES, model.coefficients, strict=True)]
+    rows = [(term, round(weight, 3)) for term, weight in rows]
     return spark.createDataFrame(rows, "term string, weight double")
 
 
@@ -390,9 +570,24 @@ def queries() -> dict[str, Query]:
         "prediction_by_id": prediction_by_id,
         "table_counts": table_counts,
         "weighted_examples": weighted_examples,
+        "user_examples": user_examples,
         "train_logistic": train_logistic,
         "full_run": full_run,
         "request_round_trip": request_round_trip,
+        "score_requests_long_keys": score_requests_long_keys,
+        "latest_predictions_kafka_order": latest_predictions_kafka_order,
+        "latest_after_compaction": latest_after_compaction,
+        "ratings_csv_reordered": ratings_csv_reordered,
+        "movies_csv_extra_column": movies_csv_extra_column,
+        "csv_unparsed": csv_unparsed,
+        "stream_text_requests": stream_text_requests,
+        "stream_restart": stream_restart,
+        "request_answered": request_answered,
+        "processed_at_in_range": processed_at_in_range,
+        "schema_report": schema_report,
+        "run_params": run_params,
+        "model_reload": model_reload,
+        "store_writer": store_writer,
     }
 
 
@@ -481,6 +676,29 @@ latest as (
 """
 
 
+def _newton(steps: int = 14) -> str:
+    """The fit by Newton's method from zero: one table of coefficients per step."""
+    parts = ["b0 as (select cast(0 as double) as c, cast(0 as double) as u, cast(0 as double) as v)"]
+    for i in range(1, steps + 1):
+        parts.append(f"""
+p{i} as materialized (select x, z, weight, target, c, u, v, 1 / (1 + exp(-(c + u * x + v * z))) as p
+  from examples, b{i - 1}),
+h{i} as materialized (select max(c) as c, max(u) as u, max(v) as v,
+  sum(weight * (p - target)) as g0, sum(weight * (p - target) * x) + max(u) as g1,
+  sum(weight * (p - target) * z) + max(v) as g2,
+  sum(weight * p * (1 - p)) as k, sum(weight * p * (1 - p) * x) as l,
+  sum(weight * p * (1 - p) * z) as m, sum(weight * p * (1 - p) * x * x) + 1 as n,
+  sum(weight * p * (1 - p) * x * z) as o, sum(weight * p * (1 - p) * z * z) + 1 as q from p{i}),
+b{i} as materialized (select
+  c - (g0 * (n * q - o * o) - l * (g1 * q - o * g2) + m * (g1 * o - n * g2)) / det as c,
+  u - (k * (g1 * q - g2 * o) - g0 * (l * q - o * m) + m * (l * g2 - g1 * m)) / det as u,
+  v - (k * (n * g2 - o * g1) - l * (l * g2 - g1 * m) + g0 * (l * o - n * m)) / det as v
+  from (select *, k * (n * q - o * o) - l * (l * q - o * m) + m * (l * o - n * m) as det from h{i}))""")
+    return ", ".join(parts) + f""" select 'intercept' as term, round(c, 3) as weight from b{steps}
+      union all select 'avg_rating', round(u, 3) from b{steps}
+      union all select 'num_movies', round(v, 3) from b{steps}"""
+
+
 def _hot(select: str) -> str:
     hot = _PREPARED.replace(views.RATINGS_SQL, views.HOT_USER_RATINGS_SQL)
     return f"with {hot}, {_feature_ctes('clean_r')} {select}"
@@ -494,6 +712,10 @@ def oracle_sql() -> dict[str, str]:
     movies = f"""with {_PREPARED} select cast(movieId as varchar) as movieId, title, genres
                  from movies"""
     scored = "select event_id, request_id, feature_key, prediction from scored"
+    weighted = """select avg_rating, num_movies, target, cast(count(*) as double) as weight
+                  from clean_r join simple using (userId)
+                  where avg_rating is not null group by avg_rating, num_movies, target"""
+    untimed = "select request_id, feature_key, prediction from scored"
     rejected = "select event_id, value, reason from outcomes where reason is not null"
     narrow = """select userId, movieId, rating, timestamp, target, avg_rating, num_movies,
                        last_interaction_ts from clean_r join simple using (userId)"""
@@ -588,7 +810,38 @@ def oracle_sql() -> dict[str, str]:
             union all select 'unscored', count(*) from
               (select distinct userId, target from test_r) join test_simple using (userId)
               where avg_rating is null""",
-        "weighted_examples": f"""with {_ALL} select avg_rating, num_movies, target,
-            cast(count(*) as double) as weight from clean_r join simple using (userId)
-            where avg_rating is not null group by avg_rating, num_movies, target""",
+        "score_requests_long_keys": f"with {_SCORED} {scored}",
+        "latest_predictions_kafka_order": f"""with {_SCORED}, per as (
+            select request_id, arg_max(feature_key, event_id) as feature_key,
+                   arg_max(prediction, event_id) as prediction, max(event_id) as place
+            from scored group by request_id, event_id % 4)
+            select request_id, arg_min(feature_key, place) as feature_key,
+                   arg_min(prediction, place) as prediction from per group by request_id""",
+        "latest_after_compaction": f"with {_SCORED} select * from latest",
+        "ratings_csv_reordered": ratings,
+        "movies_csv_extra_column": movies,
+        "csv_unparsed": f"""with {_PREPARED}
+            select 'userId' as column, 0 as n union all select 'rating', 0 union all
+            select 'timestamp', 0 union all
+            select 'movieId', count(*) from ratings where movieId % 7 = 0""",
+        "stream_text_requests": f"with {_SCORED} {untimed}",
+        "stream_restart": f"with {_SCORED} {untimed}",
+        "request_answered": f"""with {_TEST} select feature_key, {_PREDICT} as prediction
+            from store where avg_rating is not null""",
+        "processed_at_in_range": f"""with {_SCORED} select count(*) as scored, count(*) as in_range
+            from scored""",
+        "schema_report": f"""with {_PREPARED} select * from (values ('userId', 'bigint'),
+            ('movieId', 'bigint'), ('rating', 'double'), ('timestamp', 'bigint'),
+            ('target', 'int')) as t("column", type)""",
+        "run_params": """select * from (values ('maxIter', '100'), ('tol', '1e-08'),
+            ('fitIntercept', 'True'), ('elasticNetParam', '0.0'), ('standardization', 'False'))
+            as t(name, value)""",
+        "model_reload": f"""with {_VALIDATED} select count(*) as pairs, count(*) as equal
+            from checked""",
+        "store_writer": f"with {_TEST} select feature_key from store",
+        "weighted_examples": f"with {_ALL} {weighted}",
+        "user_examples": f"with {_ALL} {weighted}",
+        "train_logistic": f"""with {_ALL}, examples as materialized (
+            select avg_rating as x, num_movies as z, target, weight from ({weighted})),
+            {_newton()}""",
     }

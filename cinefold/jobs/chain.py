@@ -10,6 +10,7 @@ from cinefold.jobs.features import build_features
 from cinefold.jobs.options import job_parser, job_session
 from cinefold.jobs.split import split_ratings
 from cinefold.jobs.training import TrainingResult, train_and_register
+from cinefold.operators.prepare import clean_ratings
 from cinefold.sources.store import publish_features, read_store
 from cinefold.sources.tables import read_features, read_movies, read_ratings
 
@@ -44,9 +45,9 @@ def run_pipeline(spark: SparkSession, cfg: ChainConfig) -> TrainingResult:
     publish_features(
         read_features(spark, built["test"]["user_features"]), cfg.path("store"), unique_users=True
     )
+    train, test = (clean_ratings(read_ratings(spark, splits[name])) for name in ("train", "test"))
     return train_and_register(
-        read_features(spark, built["train"]["training"]),
-        read_features(spark, built["test"]["training"]),
+        train, test,
         read_store(spark, cfg.path("store")),
         cfg.path("models"), cfg.path("runs"),
     )

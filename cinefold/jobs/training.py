@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinefold.jobs.options import job_parser, job_session
-from cinefold.operators.training import model_inputs, model_params, train_logistic
+from cinefold.operators.training import model_inputs, model_params, skipped_rows, train_logistic
 from cinefold.operators.validation import METRICS, confusion, metrics_of, validate, validation_pairs
 from cinefold.sources.registry import log_run, register_model
 from cinefold.sources.store import read_store
@@ -23,17 +23,22 @@ class TrainingResult:
     metrics: dict[str, float | None]
     missing: int
     unscored: int
+    skipped: int
 
 
 def train_and_register(train: DataFrame, test: DataFrame, store: DataFrame, model_dir: str,
                        run_dir: str, run_id: str | None = None) -> TrainingResult:
     """Fit on `train`, validate the pairs of `test` through the store, log, register.
 
+    Both may be training tables or labelled ratings; the latter are read without any join.
+
     Any failure is raised; a model is registered only after it was validated and logged.
     """
     spark = train.sparkSession
     run_id = run_id or uuid.uuid4().hex
-    model = train_logistic(model_inputs(train))
+    ratings = "avg_rating" not in train.columns
+    skipped = skipped_rows(train) if ratings else train.filter("avg_rating IS NULL").count()
+    model = train_logistic(train if ratings else model_inputs(train))
     checked = validate(model, validation_pairs(test), store)
     # One pass: the four confusion counts, and the pairs that could not be scored.
     absent = ~F.col("found")
@@ -45,9 +50,9 @@ def train_and_register(train: DataFrame, test: DataFrame, store: DataFrame, mode
         "missing", "unscored",
     ).first()
     metrics = {name: summary[name] for name in METRICS}
-    log_run(spark, run_dir, run_id, model_params(model), metrics)
+    log_run(spark, run_dir, run_id, model_params(model) | {"skippedRows": str(skipped)}, metrics)
     version = register_model(model, model_dir)
-    return TrainingResult(run_id, version, metrics, summary["missing"], summary["unscored"])
+    return TrainingResult(run_id, version, metrics, summary["missing"], summary["unscored"], skipped)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -64,7 +69,8 @@ def main(argv: list[str] | None = None) -> None:
         read_store(spark, args.store_path), args.model_path, args.run_path,
     )
     print(f"run {result.run_id}: model version {result.model_version}, {result.metrics}, "
-          f"{result.missing} pairs not in the store, {result.unscored} without inputs")
+          f"{result.missing} pairs not in the store, {result.unscored} without inputs, "
+          f"{result.skipped} training rows skipped")
 
 
 if __name__ == "__main__":

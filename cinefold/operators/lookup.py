@@ -6,26 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinefold.functions.linear import FEATURES
+from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES, measured_bytes
 from cinefold.plans.skew import MIN_HOT_ROWS, sliced_join
 
-# A batch with no more rows than this has few enough keys to broadcast (about 100 MB).
-SMALL_BATCH_ROWS = 1_000_000
+
+def key_bytes(keys: DataFrame, key: str = "feature_key") -> int:
+    """Bytes that all keys of a batch would take in a broadcast; one aggregate."""
+    return measured_bytes(keys, F.octet_length(key))
 
 
 def lookup_features(keys: DataFrame, store: DataFrame, key: str = "feature_key",
-                    batch_rows: int | None = None,
-                    min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                    key_bytes: int | None = None, min_hot_rows: int = MIN_HOT_ROWS,
+                    broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Every row of `keys` with the stored model inputs of its key.
 
     `found` tells a key that is absent from one that is stored with null inputs. Any number
-    of rows may share a key. `batch_rows` is the counted number of rows, where known: up to
-    SMALL_BATCH_ROWS of them, the store is first cut down to their keys by a broadcast, and
-    is never shuffled. Beyond, or without a count, the join shuffles and slices hot keys.
+    of rows may share a key. `key_bytes` is the measured size of the keys, where known: up to
+    `broadcast_limit`, the store is first cut down to the keys by a broadcast, and is never
+    shuffled. Beyond, or unmeasured, the join shuffles and slices hot keys.
     """
     wanted = store.select(
         F.col("feature_key").alias(key), *FEATURES, F.lit(True).alias("__found")
     )
-    if batch_rows is not None and batch_rows <= SMALL_BATCH_ROWS:
+    if key_bytes is not None and key_bytes <= broadcast_limit:
         present = F.broadcast(keys.filter(F.col(key).isNotNull()).select(key).distinct())
         wanted = F.broadcast(wanted.join(present, key, "left_semi"))
         joined = keys.join(wanted, key, "left")

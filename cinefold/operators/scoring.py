@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from cinefold.functions.linear import LinearScorer, scorer_from
 from cinefold.functions.requests import is_blank, request_pair, request_record, to_document
 from cinefold.operators.lookup import lookup_features
+from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES
 from cinefold.plans.skew import MIN_HOT_ROWS
+from cinefold.session import cut_lineage
 
 MALFORMED = "malformed"
 MISSING_FIELD = "missing_field"
@@ -48,17 +50,26 @@ def valid_requests(parsed: DataFrame) -> DataFrame:
 
 
 def score_batch(df: DataFrame, store: DataFrame, model: PipelineModel | LinearScorer,
-                batch_rows: int | None = None, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """What becomes of each request, one row per row of `df`, in one pass.
+                min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """What becomes of each request, one row per row of `df`.
 
-    `batch_rows` is the number of rows of `df`, if it was counted; see `lookup_features`.
+    The parsed requests go to the checkpoint folder once, as the lookup reads them twice.
+    """
+    return score_parsed(cut_lineage(parse_requests(df)), store, model, min_hot_rows=min_hot_rows)
+
+
+def score_parsed(parsed: DataFrame, store: DataFrame, model: PipelineModel | LinearScorer,
+                 key_bytes: int | None = None, min_hot_rows: int = MIN_HOT_ROWS,
+                 broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """What becomes of each parsed request, one row each.
+
+    `key_bytes` is the size of their keys, if it was measured; see `lookup_features`.
 
     A scored request has a prediction and the time of processing; a rejected one has a
     reason. A row that cannot be scored never fails the others.
     """
-    looked_up = lookup_features(
-        parse_requests(df), store, batch_rows=batch_rows, min_hot_rows=min_hot_rows
-    )
+    looked_up = lookup_features(parsed, store, key_bytes=key_bytes, min_hot_rows=min_hot_rows,
+                                broadcast_limit=broadcast_limit)
     prediction = scorer_from(model).predict()
     scored = looked_up.withColumn("prediction", F.when(F.col("found"), prediction))
     reason = (
@@ -101,22 +112,34 @@ def prediction_records(scored: DataFrame) -> DataFrame:
     )
 
 
-def latest_predictions(log: DataFrame) -> DataFrame:
-    """The last prediction per request id, by batch and then by arrival.
+def latest_rows(log: DataFrame) -> DataFrame:
+    """The last prediction per request id, with its place in the source.
 
-    The maximum combines on the map side, so a request id repeated any number of times
-    costs one row per task.
+    Within one partition or file of the source its own order holds, whatever the times say: by
+    batch and sequence. Only what different ones sent is put in order by batch and time. Both
+    maxima combine on the map side, so a request id repeated any number of times costs one row
+    per task.
     """
-    order = [c for c in ("batch_id", "arrival") if c in log.columns]
-    last = F.max_by(
-        F.struct("feature_key", "prediction", "processed_at"), F.struct(*order)
-    )
+    batch = F.col("batch_id") if "batch_id" in log.columns else F.lit(0)
+    kept = F.struct("feature_key", "prediction", "processed_at", "arrival", batch.alias("batch_id"))
+    per_source = log.groupBy("request_id", "arrival.source", "arrival.block").agg(
+        F.max_by(kept, F.struct(batch, "arrival.seq", "arrival.at")).alias("last"))
+    last = F.max_by("last", F.struct("last.batch_id", "last.arrival.at", "source", "block"))
     return (
-        log.groupBy("request_id").agg(last.alias("last"))
-        .select("request_id", "last.feature_key", "last.prediction", "last.processed_at")
+        per_source.groupBy("request_id").agg(last.alias("last"))
+        .select("request_id", "last.*")
     )
 
 
+def latest_predictions(log: DataFrame) -> DataFrame:
+    """The last prediction per request id, as a reader gets it."""
+    return published_predictions(latest_rows(log))
+
+
+def published_predictions(latest: DataFrame) -> DataFrame:
+    return latest.select("request_id", "feature_key", "prediction", "processed_at")
+
+
 def prediction_for(log: DataFrame, request_id: str) -> DataFrame:
     """The latest prediction of one request; the filter reaches the scan."""
     return latest_predictions(log.filter(F.col("request_id") == request_id))

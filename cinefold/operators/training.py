@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinefold.functions.linear import FEATURES
@@ -34,14 +34,45 @@ def weighted_examples(df: DataFrame) -> DataFrame:
     )
 
 
+def user_examples(ratings: DataFrame) -> DataFrame:
+    """The same weighted rows from labelled ratings alone, without joining features to them: a
+    user's inputs and numbers of positive and negative ratings are sums over the user."""
+    sums = ratings.groupBy("userId").agg(
+        *user_inputs(), F.sum("target").alias("positive"), F.count("*").alias("rows"))
+    kept = sums.filter("avg_rating IS NOT NULL").select(*FEATURES, F.inline(F.array(
+        F.struct(F.lit(1).alias("target"), F.col("positive").cast("double").alias("weight")),
+        F.struct(F.lit(0).alias("target"),
+                 (F.col("rows") - F.col("positive")).cast("double").alias("weight")))))
+    return kept.filter("weight > 0").groupBy(*FEATURES, "target").agg(F.sum("weight").alias("weight"))
+
+
+def user_inputs() -> list[Column]:
+    return [F.try_divide(F.sum("rating"), F.count("rating")).alias("avg_rating"),
+            F.count("movieId").alias("num_movies")]
+
+
+def skipped_rows(ratings: DataFrame) -> int:
+    """Ratings that training leaves out, their user having no rating value."""
+    users = ratings.groupBy("userId").agg(F.count("rating").alias("rated"), F.count("*").alias("rows"))
+    return users.filter("rated = 0").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
+def examples_of(df: DataFrame) -> DataFrame:
+    """Weighted rows of a training table, or of labelled ratings."""
+    if "weight" in df.columns:
+        return df
+    return weighted_examples(df) if "avg_rating" in df.columns else user_examples(df)
+
+
 def train_logistic(df: DataFrame, C: float = 1.0, max_iter: int = 100,
                    tol: float = 1e-8) -> PipelineModel:
-    """L2-regularised logistic regression minimising C * sum(loss) + |w|^2 / 2.
+    """L2-regularised logistic regression on a training table, labelled ratings or weighted rows,
+    minimising C * sum(loss) + |w|^2 / 2.
 
     Spark ML divides the loss by the summed weight, hence the regularisation 1 / (C * n).
     The solver starts from fixed values and draws nothing at random, so it has no seed.
     """
-    examples = cut_lineage(weighted_examples(df))
+    examples = cut_lineage(examples_of(df))
     seen = examples.agg(
         F.sum("weight").alias("n"), F.countDistinct("target").alias("classes")
     ).first()

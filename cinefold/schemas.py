@@ -61,7 +61,7 @@ REQUEST = T.StructType([
     T.StructField("feature_key", T.StringType()),
 ])
 
-# What became of each request; `batch_id` and `outcome` are partition columns.
+# What became of each request; `batch_id`, `attempt` and `outcome` are partition columns.
 OUTCOMES = T.StructType([
     T.StructField("arrival", ARRIVAL),
     T.StructField("value", T.StringType()),
@@ -71,9 +71,21 @@ OUTCOMES = T.StructType([
     T.StructField("processed_at", T.LongType()),
     T.StructField("reason", T.StringType()),
     T.StructField("batch_id", T.LongType()),
+    T.StructField("attempt", T.LongType()),
     T.StructField("outcome", T.StringType()),
 ])
 
+# The latest prediction per request, by the hashed bucket of its id.
+LATEST = T.StructType([
+    T.StructField("request_id", T.StringType()),
+    T.StructField("feature_key", T.StringType()),
+    T.StructField("prediction", T.IntegerType()),
+    T.StructField("processed_at", T.LongType()),
+    T.StructField("arrival", ARRIVAL),
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("bucket", T.IntegerType()),
+])
+
 RUNS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("params", T.MapType(T.StringType(), T.StringType())),

@@ -11,25 +11,30 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Final aggregates that collect arrays stay hashed for more than the default
-    # 128 keys per task before they fall back to sorting (and spilling).
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
 }
 
 
 # Bytes one shuffle task should hold, so that it sorts and aggregates in memory.
 SHUFFLE_TASK_BYTES = 256 * 1024 * 1024
+# More reduce tasks than this cost more in shuffle blocks than smaller tasks save: from 25 TB on
+# tasks grow instead, to 1 GB at 100 TB.
 MAX_SHUFFLE_PARTITIONS = 100_000
 
 
+def shuffle_task_bytes(data_bytes: int) -> int:
+    """Bytes of a shuffle task in a run over so many bytes of input."""
+    return max(SHUFFLE_TASK_BYTES, -(-data_bytes // MAX_SHUFFLE_PARTITIONS))
+
+
 def sizing_conf(data_bytes: int) -> dict[str, str]:
     """Partition settings for a run over so many bytes of input.
 
-    Adaptive execution merges small shuffle partitions but never adds any, so the number to
-    start from has to grow with the data. Beyond 10 TB, scan tasks read 512 MB instead of
+    A task holds `shuffle_task_bytes`, for which executors need memory. Adaptive execution merges
+    small shuffle partitions but never adds any, so the number to start from has to grow with the
+    data. Beyond 10 TB, scan tasks read 512 MB instead of
     128 MB, which keeps their number in the low hundred thousands at 100 TB.
     """
-    partitions = max(200, min(MAX_SHUFFLE_PARTITIONS, -(-data_bytes // SHUFFLE_TASK_BYTES)))
+    partitions = max(200, -(-data_bytes // shuffle_task_bytes(data_bytes)))
     scan_mb = 512 if data_bytes > 10 * 1024**4 else 128
     return {
         "spark.sql.shuffle.partitions": str(partitions),

@@ -1,30 +1,76 @@
-"""The log of request outcomes, one directory per micro-batch."""
+"""The log of request outcomes, and the latest prediction per request kept from it.
+
+A micro-batch is written to a directory of its own attempt, `data/batch_id=N/attempt=K`, and only
+then named in the small table `commits`. A reader takes the last committed attempt of each batch, so
+it never sees a part of one, and no file that someone reads is replaced. One writer at a time.
+
+`compact_predictions` keeps the latest predictions in `BUCKETS` hashed buckets, as a version of
+`latest`, together with the last batch in it; a lookup reads one bucket and the batches since.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cinefold.operators.scoring import (
+    latest_rows,
+    published_predictions,
+    rejects,
+    scored_rows,
+)
+from cinefold.schemas import LATEST, OUTCOMES
+from cinefold.sources.versions import commit_version, latest_version, version_path
+
+BUCKETS = 256
+_COMMIT = "batch_id bigint, attempt bigint"
+
 
-from cinefold.operators.scoring import rejects, scored_rows
-from cinefold.schemas import OUTCOMES
+def _read(spark: SparkSession, schema: str | StructType, path: str) -> DataFrame:
+    """A table that may not have been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _commits(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The valid attempt of each batch."""
+    return _read(spark, _COMMIT, f"{out_dir.rstrip('/')}/commits").groupBy("batch_id").agg(
+        F.max("attempt").alias("attempt"))
 
 
 def write_outcomes(outcomes: DataFrame, out_dir: str, batch_id: int) -> None:
-    """Write scored and rejected rows of a batch in one pass.
+    """Write scored and rejected rows of a batch in one pass, then commit them.
 
-    A batch that is run again replaces its own directory, so a retry adds nothing twice.
+    A batch that is run again becomes another attempt, which replaces the one before.
     """
+    spark, root = outcomes.sparkSession, out_dir.rstrip("/")
+    done = _commits(spark, root).filter(F.col("batch_id") == batch_id).first()
+    attempt = done["attempt"] + 1 if done else 0
     outcomes.write.mode("overwrite").partitionBy("outcome").parquet(
-        f"{out_dir.rstrip('/')}/batch_id={batch_id}"
-    )
+        f"{root}/data/batch_id={batch_id}/attempt={attempt}")
+    spark.createDataFrame([(batch_id, attempt)], _COMMIT).coalesce(1).write.mode("append").parquet(
+        f"{root}/commits")
 
 
-def read_outcomes(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.schema(OUTCOMES).parquet(out_dir)
+def read_outcomes(spark: SparkSession, out_dir: str, after: int | None = None) -> DataFrame:
+    """All committed outcomes, or those of the batches after one; no rows before the first."""
+    root = out_dir.rstrip("/")
+    log = _read(spark, OUTCOMES, f"{root}/data")
+    commits = _commits(spark, root)
+    if after is not None:
+        log, commits = log.filter(F.col("batch_id") > after), commits.filter(F.col("batch_id") > after)
+    # A row per micro-batch: a small table that prunes the directories read.
+    return log.join(F.broadcast(commits), ["batch_id", "attempt"], "left_semi").drop("attempt")
 
 
 def read_predictions(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Every prediction made, with its batch; see `latest_predictions` for the last ones."""
+    """Every prediction made, with its batch; see `read_latest` for the last ones."""
     return scored_rows(read_outcomes(spark, out_dir))
 
 
@@ -32,6 +78,57 @@ def read_rejects(spark: SparkSession, out_dir: str) -> DataFrame:
     return rejects(read_outcomes(spark, out_dir))
 
 
+def _kept(spark: SparkSession, out_dir: str) -> tuple[DataFrame, int]:
+    """The newest compacted table and its last batch, -1 before the first compaction."""
+    root = f"{out_dir.rstrip('/')}/latest"
+    version = latest_version(spark, root)
+    if not version:
+        return spark.createDataFrame([], LATEST), -1
+    # The version is the last batch and one, as batches count from 0 and versions from 1.
+    return spark.read.schema(LATEST).parquet(version_path(root, version)), version - 1
+
+
+def _bucket(request_id: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(request_id), F.lit(BUCKETS)).cast("int")
+
+
+def _merged(kept: DataFrame, newer: DataFrame) -> DataFrame:
+    newer = newer.select("request_id", "feature_key", "prediction", "processed_at", "arrival",
+                         "batch_id")
+    return latest_rows(kept.drop("bucket").unionByName(newer))
+
+
+def compact_predictions(spark: SparkSession, out_dir: str) -> int:
+    """Merge all committed batches into the kept table; returns the last batch in it."""
+    kept, last = _kept(spark, out_dir)
+    newest = _commits(spark, out_dir).agg(F.coalesce(F.max("batch_id"), F.lit(-1)).alias("b")).first()["b"]
+    if newest <= last:
+        return last
+    newer = scored_rows(read_outcomes(spark, out_dir, last)).filter(F.col("batch_id") <= newest)
+    root = f"{out_dir.rstrip('/')}/latest"
+    _merged(kept, newer).withColumn("bucket", _bucket(F.col("request_id"))).write.mode(
+        "overwrite").option("parquet.bloom.filter.enabled#request_id", "true").partitionBy(
+        "bucket").parquet(version_path(root, newest + 1))
+    commit_version(spark, root, newest + 1)
+    return newest
+
+
+def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The latest prediction of every request, compacted or not."""
+    kept, last = _kept(spark, out_dir)
+    return published_predictions(_merged(kept, scored_rows(read_outcomes(spark, out_dir, last))))
+
+
+def read_prediction(spark: SparkSession, out_dir: str, request_id: str) -> DataFrame:
+    """The latest prediction of one request, or no row; reads one bucket and the newer batches."""
+    kept, last = _kept(spark, out_dir)
+    wanted = F.col("request_id") == request_id
+    bucket = spark.range(1).select(_bucket(F.lit(request_id)).alias("b")).first()["b"]
+    newer = scored_rows(read_outcomes(spark, out_dir, last)).filter(wanted)
+    return published_predictions(_merged(
+        kept.filter(wanted & (F.col("bucket") == bucket)), newer))
+
+
 def write_predictions(batch_df: DataFrame, batch_id: int, out_dir: str) -> None:
     """Sink for scored rows alone."""
     write_outcomes(

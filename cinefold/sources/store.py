@@ -39,8 +39,11 @@ def publish_features(df: DataFrame, store_dir: str, version: int | None = None,
     version = version or newest + 1
     if version <= newest:
         raise ValueError(f"version {version} is not above the published {newest}")
-    documents = store_documents(store_columns(df) if unique_users else latest_user_rows(df))
-    merged = documents
+    made = store_documents(store_columns(df) if unique_users else latest_user_rows(df))
+    # Written once, so that the snapshot and the writer get the same documents from one pass.
+    delta = f"{store_dir.rstrip('/')}/deltas/v={version}"
+    made.write.mode("overwrite").parquet(delta)
+    documents = merged = spark.read.schema(SNAPSHOT).parquet(delta)
     if newest:
         merged = merge_documents(read_store(spark, store_dir, newest), documents)
     # Bloom filters let a lookup of one key skip the row groups that lack it.

@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cinefold.schemas import MOVIES, RATINGS
 
+SPLITS = ("train", "test")
+
+
+def _cells(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The columns of a CSV file that the schema names, as text; found by the file's header."""
+    # Quotes inside a quoted title are doubled, not escaped by a backslash.
+    cells = spark.read.csv(path, header=True, escape='"', inferSchema=False)
+    missing = [f.name for f in schema.fields if f.name not in cells.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return cells.select(*schema.names)
+
+
+def _parsed(field: StructField) -> Column:
+    return F.col(field.name).try_cast(field.dataType)
+
 
 def _read(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
-    reader = spark.read.schema(schema)
     if fmt == "csv":
-        # Quotes inside a quoted title are doubled, not escaped by a backslash.
-        return reader.csv(path, header=True, escape='"')
+        cells = _cells(spark, path, schema)
+        return cells.select(*(_parsed(f).alias(f.name) for f in schema.fields))
     if fmt == "parquet":
-        return reader.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def unparsed_cells(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One row (column, n) per column of a CSV file: cells that hold text but no such value, which
+    are read as null. One scan."""
+    cells = _cells(spark, path, schema)
+    counts = cells.agg(*(F.count_if(F.col(f.name).isNotNull() & _parsed(f).isNull()).alias(f.name)
+                         for f in schema.fields))
+    rows = F.array(*(F.struct(F.lit(n).alias("column"), F.col(n).alias("n")) for n in schema.names))
+    return counts.select(F.inline(rows))
+
+
 def read_ratings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return _read(spark, path, fmt, RATINGS)
 
@@ -48,8 +75,18 @@ def write_split(df: DataFrame, path: str) -> int:
 
 
 def write_splits(df: DataFrame, path: str) -> int:
-    """Write all parts of a `split` column in one pass, as path/split=train and so on."""
-    return _write_counted(df, path, "split")
+    """Write all parts of a `split` column in one pass, as path/split=train and so on; a part
+    without rows becomes an empty table."""
+    n = _write_counted(df, path, "split")
+    for name in SPLITS:
+        part = f"{path.rstrip('/')}/split={name}"
+        try:
+            df.sparkSession.read.schema(df.schema).parquet(part)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            df.drop("split").limit(0).write.parquet(part)
+    return n
 
 
 def write_features(df: DataFrame, path: str) -> int:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from cinefold.functions.linear import LinearScorer, scorer_from
-from cinefold.operators.scoring import score_batch
+from cinefold.operators.lookup import key_bytes
+from cinefold.operators.scoring import parse_requests, score_parsed
 from cinefold.sources.predictions import write_outcomes
 from cinefold.sources.registry import load_latest_model, load_model
 from cinefold.sources.requests import with_line_order
@@ -36,15 +37,14 @@ def start_scoring(stream: DataFrame, store_dir: str, model: PipelineModel | Line
 
     def score(batch: DataFrame, batch_id: int) -> None:
         requests = with_line_order(batch) if number_lines else batch
-        requests = requests.persist()
+        parsed = parse_requests(requests).persist()
         try:
-            outcomes = score_batch(
-                requests, read_store(batch.sparkSession, store_dir), scorer,
-                batch_rows=requests.count(),
+            outcomes = score_parsed(
+                parsed, read_store(batch.sparkSession, store_dir), scorer, key_bytes(parsed)
             )
             write_outcomes(outcomes, out_dir, batch_id)
         finally:
-            requests.unpersist()
+            parsed.unpersist()
 
     writer = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     if available_now:

@@ -14,6 +14,7 @@ from cinefold.operators.scoring import (
     prediction_records,
     rejects,
     score_batch,
+    score_parsed,
     score_requests,
     scored_rows,
     valid_requests,
@@ -79,13 +80,13 @@ def requests(spark):
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"batch_rows": len(CASES)}, {"min_hot_rows": 1}],
-    ids=["shuffle", "small_batch", "sliced"],
+    "options", [{}, {"key_bytes": 500}, {"key_bytes": 500, "broadcast_limit": 499}, {"min_hot_rows": 1}],
+    ids=["shuffle", "small_batch", "long_keys", "sliced"],
 )
 def test_every_request_has_its_outcome(requests, store, options):
     before = int(time.time())
     found = {}
-    for r in score_batch(requests, store, MODEL, **options).collect():
+    for r in score_parsed(parse_requests(requests), store, MODEL, **options).collect():
         if r.outcome == "scored":
             assert r.reason is None
             assert before <= r.processed_at <= time.time() + 1
@@ -122,15 +123,24 @@ def test_a_later_prediction_wins(spark, store):
     assert prediction_for(scored, "c").count() == 0
 
 
+LOG = ("request_id string, feature_key string, prediction int, processed_at bigint,"
+       "batch_id bigint, arrival struct<at:bigint,source:string,block:bigint,seq:bigint>")
+
+
 def test_a_later_batch_wins_over_arrival(spark):
     log = spark.createDataFrame(
-        [("a", "1", 1, 5, 0, 9), ("a", "2", 0, 6, 1, 1)],
-        "request_id string, feature_key string, prediction int, processed_at bigint,"
-        "batch_id bigint, arrival bigint",
-    )
+        [("a", "1", 1, 5, 0, (9, "", 0, 9)), ("a", "2", 0, 6, 1, (1, "", 0, 1))], LOG)
     assert rows(latest_predictions(log)) == [("a", "2", 0, 6)]
 
 
+def test_offsets_win_over_times_within_a_partition(spark):
+    log = spark.createDataFrame([
+        ("a", "1", 1, 5, 0, (10, "t/0", 0, 1)), ("a", "2", 0, 6, 0, (5, "t/0", 0, 2)),
+        ("b", "1", 1, 5, 0, (10, "t/0", 0, 1)), ("b", "2", 0, 6, 0, (5, "t/1", 0, 2)),
+    ], LOG)
+    assert rows(latest_predictions(log)) == [("a", "2", 0, 6), ("b", "1", 1, 5)]
+
+
 def test_prediction_records(spark):
     scored = spark.createDataFrame(
         [("x", "1", 1, 5)],
@@ -154,6 +164,7 @@ def test_the_prediction_filter_reaches_the_scan(spark, work):
     spark.createDataFrame(
         [("a", "1", 1, 5)],
         "request_id string, feature_key string, prediction int, processed_at bigint",
-    ).withColumn("arrival", F.lit(1)).write.parquet(work + "/log")
+    ).withColumn("arrival", F.expr(
+        "named_struct('at', 1L, 'source', '', 'block', 0L, 'seq', 1L)")).write.parquet(work + "/log")
     one = prediction_for(spark.read.parquet(work + "/log"), "a")
     assert "EqualTo(request_id,a)" in one._jdf.queryExecution().executedPlan().toString()

@@ -16,6 +16,26 @@ def test_ratings_csv(spark, work):
     assert rows(df) == [(None, 11, None, 7), (1, 10, 4.0, 100), (2, None, 3.5, None)]
 
 
+def test_csv_columns_are_found_by_name(spark, work):
+    with open(f"{work}/r.csv", "w") as f:
+        f.write("note,rating,movieId,timestamp,userId\nx,4.0,10,100,1\ny,bad,1e,7,2\n")
+    assert rows(tables.read_ratings(spark, f"{work}/r.csv", "csv")) == [
+        (1, 10, 4.0, 100), (2, None, None, 7)]
+    report = {r.column: r.n for r in tables.unparsed_cells(spark, f"{work}/r.csv", RATINGS).collect()}
+    assert report == {"userId": 0, "movieId": 1, "rating": 1, "timestamp": 0}
+    with open(f"{work}/m.csv", "w") as f:
+        f.write("movieId,genres\n1,Comedy\n")
+    with pytest.raises(ValueError, match="title"):
+        tables.read_movies(spark, f"{work}/m.csv")
+
+
+def test_an_empty_part_of_a_split_is_a_table(spark, raw_ratings, work):
+    one = raw_ratings.limit(1).selectExpr("*", "'train' as split")
+    assert tables.write_splits(one, f"{work}/s") == 1
+    assert tables.read_ratings(spark, f"{work}/s/split=test").count() == 0
+    assert tables.read_ratings(spark, f"{work}/s/split=train").count() == 1
+
+
 def test_movies_csv_with_quotes_and_empty_cells(spark, work):
     with open(f"{work}/movies.csv", "w") as f:
         f.write('movieId,title,genres\n2,"Foo ""bar"", baz (2000)",Comedy\n4,E,\n')

@@ -12,11 +12,11 @@ from cinefold.operators.documents import (
 )
 from cinefold.operators.features import training_table, user_features
 from cinefold.operators.lookup import (
-    SMALL_BATCH_ROWS,
     lookup_features,
     missing_keys,
     split_hits,
 )
+from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES
 from cinefold.sources.store import publish_features, read_store
 
 
@@ -106,7 +106,7 @@ def test_feature_keys_with_and_without_limit(features):
     assert feature_keys(store, 1).count() == 1
 
 
-@pytest.mark.parametrize("options", [{}, {"batch_rows": 5}, {"min_hot_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"key_bytes": 5}, {"min_hot_rows": 1}])
 def test_lookup(spark, features, options):
     store = store_documents(features)
     keys = spark.createDataFrame(
@@ -121,7 +121,7 @@ def test_lookup(spark, features, options):
     assert (hits.count(), misses.count()) == (3, 2)
 
 
-def test_only_a_counted_small_batch_is_broadcast(spark):
+def test_only_measured_small_keys_are_broadcast(spark):
     store = spark.createDataFrame(
         [("1", 2.0, 3)], "feature_key string, avg_rating double, num_movies bigint"
     )
@@ -131,9 +131,9 @@ def test_only_a_counted_small_batch_is_broadcast(spark):
         plan = lookup_features(keys, store, **options)._jdf.queryExecution().logical().toString()
         return "broadcast" in plan.lower()
 
-    assert hinted(batch_rows=1)
+    assert hinted(key_bytes=1)
     assert not hinted()
-    assert not hinted(batch_rows=SMALL_BATCH_ROWS + 1)
+    assert not hinted(key_bytes=BROADCAST_LIMIT_BYTES + 1)
 
 
 def test_missing_keys(spark, features):

@@ -4,6 +4,7 @@ import os
 import pytest
 from conftest import rows
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from cinefold.functions.linear import LinearScorer
 from cinefold.operators.documents import feature_keys
@@ -15,6 +16,9 @@ from cinefold.operators.scoring import (
 )
 from cinefold.operators.training import train_logistic
 from cinefold.sources.predictions import (
+    compact_predictions,
+    read_latest,
+    read_prediction,
     read_outcomes,
     read_predictions,
     read_rejects,
@@ -122,6 +126,44 @@ def test_a_batch_run_again_replaces_its_rows(spark, work):
     assert rows(read_predictions(spark, work).select("request_id", "batch_id")) == [("a", 4)]
 
 
+def test_a_batch_is_seen_when_it_is_committed(spark, work):
+    log = spark.createDataFrame(
+        [((0, "", 0, 1), "v", "a", "1", 1, 5)],
+        "arrival struct<at:bigint,source:string,block:bigint,seq:bigint>, value string,"
+        "request_id string, feature_key string, prediction int, processed_at bigint",
+    )
+    assert read_predictions(spark, work).count() == 0
+    assert read_prediction(spark, work, "a").count() == 0
+    # Written but not committed, as when the driver was lost in between.
+    log.withColumn("outcome", F.lit("scored")).write.partitionBy("outcome").parquet(
+        f"{work}/data/batch_id=0/attempt=0")
+    assert read_predictions(spark, work).count() == 0
+    write_predictions(log, 1, work)
+    opened = read_predictions(spark, work)
+    write_predictions(log.withColumn("prediction", F.lit(0)), 1, work)
+    assert rows(opened.select("prediction")) == [(1,)]
+    assert rows(read_predictions(spark, work).select("prediction")) == [(0,)]
+
+
+def test_compaction_keeps_the_latest(spark, work):
+    schema = ("arrival struct<at:bigint,source:string,block:bigint,seq:bigint>, value string,"
+              "request_id string, feature_key string, prediction int, processed_at bigint")
+    batch = lambda *ids: spark.createDataFrame(
+        [((0, "", 0, n), "v", i, str(n), n % 2, 5) for n, i in enumerate(ids)], schema)
+    write_predictions(batch("a", "b", "a"), 0, work)
+    assert compact_predictions(spark, work) == 0
+    assert compact_predictions(spark, work) == 0
+    write_predictions(batch("b", "c"), 1, work)
+    want = [("a", "2"), ("b", "0"), ("c", "1")]
+    assert rows(read_latest(spark, work).select("request_id", "feature_key")) == want
+    assert compact_predictions(spark, work) == 1
+    assert rows(read_latest(spark, work).select("request_id", "feature_key")) == want
+    one = read_prediction(spark, work, "b")
+    assert rows(one.select("feature_key")) == [("0",)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1]
+
+
 def test_features_are_those_of_the_time_of_processing(run, spark):
     run.send("a", request("x", "7"))
     assert run.score().count() == 0
