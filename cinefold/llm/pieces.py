@@ -32,7 +32,9 @@ from cinefold.llm.words import _hash_spans, blocks, mix, text_bytes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 # Distinct units whose pieces a task remembers.
-KNOWN_UNITS = 1_000_000
+KNOWN_UNITS = 500_000
+# The search costs less per unit the more units advance together.
+BLOCK = 4 << 20
 MARK = "▁"
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -263,31 +265,42 @@ class Encoder:
         chars = heads[edge] - heads[edge - size]
         codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         first = np.cumsum(chars) - chars
-        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(starts)
+        count, order, pool = np.zeros(len(starts), np.int64), [], [self.pool]
         for length in np.unique(chars).tolist():
             units = np.flatnonzero(chars == length)
-            step = max(1, (1 << 21) // length)
+            step = max(1, (1 << 18) // length)
             for low in range(0, len(units), step):
                 part = units[low:low + step]
                 grid = codes[first[part][:, None] + np.arange(length)]
                 out, filled = self._search(grid, length)
-                odd = (out < -1).any(axis=1) if (out.min(initial=0) < -1) else np.zeros(len(part), bool)
-                for k, u in enumerate(part.tolist()):
-                    ids = out[k, length - filled[k]:]
-                    if odd[k]:
-                        ids = np.concatenate([
-                            [i] if i >= 0 else m.byte_ids[list(chr(-2 - i).encode())]
-                            for i in ids.tolist()])
-                    found[u] = ids
-        count = np.array([len(x) for x in found], np.int64)
-        start = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate([self.pool, *found]).astype(np.int32)
+                used = np.arange(length) >= length - filled[:, None]
+                ids, unit = out[used], np.repeat(part, filled)
+                if ids.min() < -1:
+                    ids, unit = self._with_bytes(ids, unit)
+                order.append(part)
+                count[part] = np.bincount(unit - part[0], minlength=part[-1] - part[0] + 1)[
+                    part - part[0]]
+                pool.append(ids.astype(np.int32))
+        order = np.concatenate(order)
+        start = np.empty(len(starts), np.int64)
+        start[order] = len(self.pool) + np.cumsum(count[order]) - count[order]
+        self.pool = np.concatenate(pool)
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known)
         self.known = known[order]
         self.start = np.concatenate([self.start, start])[order]
         self.count = np.concatenate([self.count, count])[order]
 
+    def _with_bytes(self, ids: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte pieces for the characters without a piece."""
+        odd = np.flatnonzero(ids < -1)
+        raw = [chr(-2 - c).encode() for c in ids[odd].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[odd] = [len(x) for x in raw]
+        ids, unit = np.repeat(ids, times), np.repeat(unit, times)
+        ids[ids < -1] = self.model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return ids, unit
+
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The piece ids of each text."""
         m = self.model
@@ -378,7 +391,7 @@ def encode_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
-        for batch in blocks(batches):
+        for batch in blocks(batches, block_bytes=BLOCK):
             ids = encoder.encode(batch.column("text"))
             exact = pc.equal(encoder.decode(ids), pc.fill_null(batch.column("text"), ""))
             yield pa.RecordBatch.from_arrays(

@@ -1,7 +1,7 @@
 """Words of a batch of texts as flat numpy arrays, and 64-bit hashes of words and word runs.
 
 A word is a run of bytes outside `[\\x20\\x09-\\x0D]`, or outside another set of ASCII
-separators; multi-byte characters are never cut. Texts are handled in blocks of a few MB, so
+separators; multi-byte characters are never cut. Texts are handled in blocks of a MB, so
 memory follows the longest single text and not the size of a batch.
 """
 
@@ -24,7 +24,7 @@ NOT_ALNUM[0x00:0x30] = NOT_ALNUM[0x3A:0x61] = NOT_ALNUM[0x7B:0x80] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _LONG_WORD = 64
 _TAIL = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +146,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
            block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds few MB of text, or one longer text."""
+    """The batches cut so that each holds about a MB of text, or one longer text."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         group = np.cumsum(np.asarray(size, np.int64)) // block_bytes
