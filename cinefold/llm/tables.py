@@ -26,6 +26,32 @@ def documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                        docs[text_column].cast("string").alias("text"))
 
 
+# Words of 64 bits in the filters below: at most 4 MB, whatever is put in.
+FILTER_WORDS = 1 << 18
+
+
+def _bit(key: F.Column) -> tuple[F.Column, F.Column]:
+    mark = F.xxhash64(key)
+    return (F.pmod(mark, F.lit(FILTER_WORDS)),
+            F.shiftright(mark, 40).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def maybe_in(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """`df` with a boolean `maybe`: false only for rows whose `key` is not in `found`, which has
+    one column. The filter is a bitmap of fixed size, broadcast as a table of its words, so rows
+    that a join would drop need not be shuffled; an exact join has to follow."""
+    word, bit = _bit(found[found.columns[0]])
+    bits = found.select(word.alias("filter_word"), F.expr("1L").alias("one"), bit.alias("bit"))
+    bits = bits.groupBy("filter_word").agg(
+        F.bit_or(F.expr("shiftleft(one, bit)")).alias("filter_bits"))
+    word, bit = _bit(df[key])
+    rows = df.withColumns({"filter_at": word, "filter_bit": bit})
+    rows = rows.join(F.broadcast(bits), F.col("filter_at") == F.col("filter_word"), "left")
+    hit = F.expr("coalesce(shiftright(filter_bits, filter_bit) & 1, 0) = 1")
+    return rows.withColumn("maybe", hit).drop(
+        "filter_at", "filter_bit", "filter_word", "filter_bits")
+
+
 def same(df: DataFrame) -> tuple:
     """A digest of all rows of an edge table, for telling whether a round changed anything."""
     mark = F.xxhash64("child", "parent")
