@@ -36,4 +36,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE_SQL}
+    """Where SQL can say it on whole tables; the others are tested against plain versions."""
+    return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op2_url_filter": url_filter.ORACLE_SQL,
+        "op4_license_scan": license_scan.ORACLE_SQL,
+        "op7_quality_rules": quality.ORACLE_SQL,
+    }

@@ -248,3 +248,33 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
+
+
+def _rows(pairs: Sequence[tuple[str, str]]) -> str:
+    return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in pairs)
+
+
+ORACLE_SQL = rf"""
+WITH phrases(phrase, label) AS (VALUES {_rows(PHRASES)}),
+templates(raw, label) AS (VALUES {_rows(TEMPLATES)}),
+w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+places AS (SELECT row, i - 1 AS place, label FROM w, unnest(range(1, len(ws) + 1)) AS u(i)
+           JOIN phrases ON ws[i:i + len(phrase) - 1] = phrase),
+base AS (SELECT row, count(*) AS n, min(place) AS low, max(place) AS high,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row),
+blocks AS (SELECT row, list_distinct(ws[k + 1:k + {BLOCK_WORDS}]) AS block
+           FROM w, unnest(range(0, len(ws), {BLOCK_WORDS // 2})) AS u(k)),
+alike AS (SELECT row, label, len(list_intersect(block, list_distinct(raw))) AS common,
+                 len(list_distinct(raw)) AS size FROM blocks, templates),
+met AS (SELECT row, label, common / size AS share FROM alike
+        WHERE common >= ceil({THRESHOLD} * size - 1e-9)),
+every AS (SELECT row, label FROM met UNION SELECT row, label FROM places),
+labelled AS (SELECT row, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY row),
+best AS (SELECT row, max(share) AS share FROM met GROUP BY row)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(labelled.labels, '') AS labels,
+       cast(coalesce(share, 0) AS double) AS score
+FROM w LEFT JOIN base USING (row) LEFT JOIN labelled USING (row) LEFT JOIN best USING (row)
+"""

@@ -237,3 +237,33 @@ def assess(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(read(spark, sf_dir, "documents"))
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+_NOT_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_INSULT_LIST = ", ".join(f"'{x}'" for x in INSULTS)
+ORACLE_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, text, regexp_extract_all(text, '{_WORD}+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls,
+             len(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '{_NOT_ALNUM}'), lambda x: x IN ({_INSULT_LIST}))) AS bad FROM t),
+runs AS (SELECT row, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS run
+         FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) AS u(i)),
+again AS (SELECT row, run FROM runs GROUP BY row, run HAVING count(*) > 1),
+covered AS (SELECT row, count(DISTINCT i + o) AS n
+            FROM runs JOIN again USING (row, run), range({WINDOW}) AS r(o) GROUP BY row),
+m AS (SELECT w.row, doc_id, len(ws) AS n_words,
+             coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+             length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct, bad
+      FROM w LEFT JOIN covered USING (row)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, cast(word_chars AS bigint) AS word_chars, n_symbols, n_dup_lines,
+       n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words
+            OR word_chars > 10 * n_words OR 100 * n_dup_lines > 40 * n_lines
+            OR 100 * n_distinct < 20 * n_words OR bad >= 2 OR (bad = 1 AND n_words <= 500)) AS kept
+FROM b
+"""
