@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.llm.tables import components, documents, read, stored
+from cinefold.llm.tables import components, documents, maybe_in, read, stored
 from cinefold.llm.words import Words, blocks, mix, run_hashes
 
 SHINGLE_WORDS = 2
@@ -252,8 +252,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
     distinct = stored(usable.join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id",
                                   "left_semi").dropDuplicates(["doc_id", "low", "high"]), "distinct")
     candidates = stored(regions(distinct), "candidates")
-    wanted = candidates.select("doc_id").distinct()
-    confirmed = links(candidates, sets(docs.join(wanted, "doc_id", "left_semi"), words), percent)
+    wanted = maybe_in(docs, "doc_id", candidates.select("doc_id")).filter("maybe")
+    confirmed = links(candidates, sets(wanted.select("doc_id", "text"), words), percent)
     found = components(confirmed)
     # Different sets under one id make that id their common node.
     return (
@@ -270,8 +270,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
 def drop_near_duplicates(docs: DataFrame, percent: int = 80,
                          words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of `docs`, all columns as they are, less the near-duplicates of a kept one."""
-    gone = near_duplicates(docs, percent, words).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, percent, words).filter("NOT kept").select(
+        F.col("doc_id").alias("id")).distinct()
+    gone = stored(gone, "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"),
+                       docs["doc_id"].cast("bigint").alias("id"))
+    rows = maybe_in(rows, "id", gone)
+    left = rows.filter("maybe").join(gone, "id", "left_anti")
+    return rows.filter("NOT maybe").select("row.*").union(left.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
