@@ -38,6 +38,7 @@ SEED = 11
 # The source table and the counts by shard pass the driver; both are bounded here.
 MAX_SOURCES = 100_000
 MAX_SHARDS, MIN_SHARD_SLOTS = 1 << 14, 1 << 12
+TASK_SLOTS = 1 << 16
 # Documents of one source are placed in chunks of so many words, or more of them where a source
 # would get more than MAX_CHUNKS.
 CHUNK_WORDS, MAX_CHUNKS = 1 << 18, 1 << 16
@@ -183,7 +184,8 @@ class Mix:
             counts, "shard bigint, s int, n bigint, before bigint, at bigint, blocks bigint")
         parts = rows.withColumn("part", F.explode(F.sequence(
             F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(step).cast("bigint"))))
-        parts = parts.repartition("shard", "s", "part")
+        tasks = 1 + int(counts["n"].sum()) // TASK_SLOTS
+        parts = parts.repartition(tasks, "shard", "s", "part")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -203,7 +205,8 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """The mix: each slot's block as parts of documents, in order of shard, slot, start."""
-        return self.slots().join(self.pieces(), ["s", "block"])
+        # The planner does not see how far documents are cut up, so it must not choose to broadcast.
+        return self.slots().join(self.pieces().hint("merge"), ["s", "block"])
 
     def taken(self) -> DataFrame:
         """Per row of `docs`: how many words the mix takes, repeats counted."""
@@ -233,7 +236,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["text"].alias("text"),
                        docs["doc_id"].cast("bigint").alias("doc_id"),
                        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("low"))
-    rows = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("low") == F.col("digest")))
+    rows = rows.join(parts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("low") == F.col("digest")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
