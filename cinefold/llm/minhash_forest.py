@@ -11,10 +11,13 @@ at MIN_DEPTH and grows while more than REGION_ROWS texts share the prefix. Regio
 texts are taken once, whatever trees they come from. Inside a region all intersections are exact
 counts, and only a spanning forest of its links leaves it.
 
-Nothing is capped: a region that is too large at MIN_DEPTH is, besides being cut deeper, dealt
-into blocks that each meet the region's hub (the text nearest to the most common minima), so that
-a family of any size hangs together through the text its members were copied from; and one too
-large at full depth is dealt into blocks as well.
+Nothing is capped. A region that is too large at MIN_DEPTH is taken in two passes. The first finds
+most of its links cheaply: besides being cut deeper, it is dealt into blocks that each meet the
+region's hub (the text nearest to the most common minima), and so is one too large at full depth.
+The second leaves out only what can tell nothing new: all texts of the region that the first did
+not put into the region's largest component meet each other and that component, pair of blocks by
+pair of blocks, except sets too different in size to be alike. So two alike texts that share
+MIN_DEPTH minima in some tree are in one component, however many others share them too.
 
 Rows with a null id, a null text or no words are linked with nothing and kept. Rows that share an
 id are one document. A null id has a null component.
@@ -22,6 +25,7 @@ id are one document. A null id has a null component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,8 @@ TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 REGION_ROWS = 256
 # Members of all sets of a region that are multiplied at a time.
 _COLUMNS = 4_096
+# Members of all sets of a block in the second pass, about.
+_BLOCK_MEMBERS = 1 << 17
 
 
 def shingle_sets(texts: pa.Array, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +126,19 @@ def _prefixes(signed: DataFrame) -> DataFrame:
 
 def _block(seed: int) -> F.Column:
     """The block of a text in a region of `n` texts, none above REGION_ROWS on average."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n") / REGION_ROWS))
+    return F.pmod(F.xxhash64("key", "doc_id", F.lit(seed)), F.ceil(F.col("n") / REGION_ROWS))
 
 
-def regions(signed: DataFrame) -> DataFrame:
-    """Candidates as (region, doc_id), at least two texts a region."""
+def forest(signed: DataFrame) -> DataFrame:
+    """A row per tree for each text that shares its first MIN_DEPTH minima: doc_id, tree, keys,
+    key (the first of keys) and n (the texts that have it)."""
     rows = _prefixes(signed).withColumn("key", F.col("keys")[0])
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = stored(rows.join(counts, "key"), "forest")
+    return rows.join(counts, "key")
+
+
+def regions(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Candidates of the first pass as (region, doc_id), at least two texts a region."""
     sparse = rows.filter(F.col("n") <= REGION_ROWS).select(F.col("key").alias("region"), "doc_id")
     dense = rows.filter(F.col("n") > REGION_ROWS)
 
@@ -191,6 +202,52 @@ def _usual_minima(rows: pa.Table) -> pa.Table:
     return pa.table({"key": rows.column("key")[:1], "usual": pa.array([usual.tobytes()], pa.binary())})
 
 
+def unmet(rows: DataFrame, signed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Candidates of the second pass as (region, doc_id): of each dense region, all pairs of texts
+    in different components of `found` of which one is not in the region's largest component.
+
+    Texts are graded by size, so that alike ones are in the same grade or the next. A region here is
+    a pair of blocks, each of one grade, inside or outside of the largest component.
+    """
+    # A hair wider than the ratio of the sizes of two alike sets, and never 0.
+    width = max(math.log(100 / percent), 1e-3) * (1 + 1e-9) if percent > 0 else math.inf
+    grade = F.floor(F.log("n_shingles") / F.lit(width)).cast("int")
+    texts = signed.select("doc_id", grade.alias("grade")).join(
+        found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    member = stored(
+        rows.filter(F.col("n") > REGION_ROWS).select("key", "doc_id").join(texts, "doc_id")
+        .withColumn("component_id", F.coalesce("component_id", "doc_id")).distinct(), "dense")
+    families = member.groupBy("key", "component_id").agg(F.count("*").alias("n"))
+    largest = families.groupBy("key").agg(
+        F.count("*").alias("families"), F.max(F.struct("n", "component_id")).alias("most")
+    ).filter("families > 1").select("key", F.col("most.component_id").alias("largest"))
+    member = member.join(largest, "key").select(
+        "key", "doc_id", "grade", (F.col("component_id") != F.col("largest")).alias("outside"))
+    cell = ["key", "outside", "grade"]
+    # As many texts of the grade's size as a block may hold.
+    size = F.exp(F.col("grade") * F.lit(width if math.isfinite(width) else 0.0))
+    per = F.greatest(F.lit(1), F.least(F.lit(REGION_ROWS), F.floor(_BLOCK_MEMBERS / size)))
+    cells = member.groupBy(cell).agg(F.count("*").alias("n")).withColumn(
+        "parts", F.ceil(F.col("n") / per))
+    name = F.xxhash64(*cell, F.col("part").cast("bigint"))
+    dealt = member.join(cells, cell).withColumn(
+        "part", F.pmod(F.xxhash64("key", "doc_id", F.lit(4)), "parts")
+    ).select(name.alias("block"), "doc_id")
+    every = stored(
+        cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        .select(*cell, name.alias("block")), "blocks")
+    a, b = every.filter("outside").alias("a"), every.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key"))
+                   & (F.abs(F.col("a.grade") - F.col("b.grade")) <= 1)
+                   & (~F.col("b.outside") | (F.col("a.block") <= F.col("b.block"))))
+    region = F.xxhash64("a.block", "b.block")
+    return (
+        pairs.select(region.alias("region"),
+                     F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
+        .join(dealt, "block").select("region", "doc_id").distinct()
+    )
+
+
 def sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """Each text's whole set, as sorted 64-bit hashes in a binary."""
 
@@ -208,16 +265,22 @@ def sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def similar(members: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of sets have 100 * intersection >= percent * union."""
     sizes = np.array([len(m) for m in members])
-    _, place = np.unique(np.concatenate(members), return_inverse=True)
+    keys = np.concatenate(members)
     owner = np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    # What only one set has is in no intersection but that with itself.
+    equal = keys[1:] == keys[:-1]
+    shared = np.append(equal, False) | np.append(False, equal)
+    keys, owner = keys[shared], owner[shared]
+    place = np.cumsum(np.append(False, keys[1:] != keys[:-1])[:len(keys)])
     common = np.zeros((len(members), len(members)), np.int64)
     for low in range(0, int(place[-1]) + 1 if len(place) else 0, _COLUMNS):
         part = slice(*np.searchsorted(place, (low, low + _COLUMNS)))
         grid = np.zeros((len(members), _COLUMNS), np.float32)
         grid[owner[part], place[part] - low] = 1
         common += (grid @ grid.T).astype(np.int64)
+    np.fill_diagonal(common, sizes)
     return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
@@ -251,10 +314,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
     firsts = stored(firsts, "firsts")
     distinct = stored(usable.join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id",
                                   "left_semi").dropDuplicates(["doc_id", "low", "high"]), "distinct")
-    candidates = stored(regions(distinct), "candidates")
-    wanted = maybe_in(docs, "doc_id", candidates.select("doc_id")).filter("maybe")
-    confirmed = links(candidates, sets(wanted.select("doc_id", "text"), words), percent)
-    found = components(confirmed)
+    rows = stored(forest(distinct), "forest")
+
+    def confirmed(candidates: DataFrame) -> DataFrame:
+        wanted = maybe_in(docs, "doc_id", candidates.select("doc_id")).filter("maybe")
+        return links(candidates, sets(wanted.select("doc_id", "text"), words), percent)
+
+    found = components(confirmed(stored(regions(rows, distinct), "candidates")))
+    if not rows.filter(F.col("n") > REGION_ROWS).isEmpty():
+        rest = stored(unmet(rows, distinct, found, percent), "unmet")
+        more = stored(confirmed(rest), "more-links")
+        if not more.isEmpty():
+            found = components(more.union(found.select("component_id", "node")))
     # Different sets under one id make that id their common node.
     return (
         signed.select("doc_id", "n_shingles", "low", "high")

@@ -79,6 +79,32 @@ def test_a_large_family_hangs_together(spark, monkeypatch):
     assert sum(want[r.doc_id][1] != r.component_id for r in found) == 0
 
 
+def _crowd():
+    """A template that all share, too little of it to be alike, and two texts for each rest."""
+    base, texts = [f"t{i}" for i in range(100)], []
+    for k in range(150):
+        own = [f"o{k}x{i}" for i in range(14)]
+        twin = [f"y{k}x{i}" if i % 2 and i > 2 else w for i, w in enumerate(own)]
+        texts += [" ".join(base + own), " ".join(base + twin)]
+    return texts
+
+
+def _chain():
+    """Each text alike to the next one only; all share the head."""
+    head = [f"h{i}" for i in range(60)]
+    return [" ".join(head + [f"c{i}" for i in range(10 * k, 10 * k + 44)]) for k in range(150)]
+
+
+@pytest.mark.parametrize("texts", [_crowd(), _chain()], ids=["crowd", "chain"])
+def test_dense_regions_are_joined_whole(spark, monkeypatch, texts):
+    monkeypatch.setattr(minhash_forest, "REGION_ROWS", 16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = minhash_forest.near_duplicates(docs).select("doc_id", "component_id").collect()
+    want = near_duplicates(list(enumerate(texts)))
+    assert len({c for _, c in want.values()}) in (150, 1)
+    assert sum(want[r.doc_id][1] != r.component_id for r in found) == 0
+
+
 def test_near_duplicates_without_rows_or_ids(nobody, unnamed):
     assert minhash_forest.near_duplicates(nobody).count() == 0
     assert [(r.component_id, r.kept) for r in minhash_forest.near_duplicates(unnamed).collect()] == [
