@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cinefold.llm import minhash_forest, mixing, pieces, quality, substring_dedup
 from cinefold.llm.tables import read, stored
 
+# Words of a shingle in the near-duplicate stage; the two of op10 are that query's contract.
+SHINGLE_WORDS = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -19,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates."""
-    return minhash_forest.drop_near_duplicates(docs)
+    return minhash_forest.drop_near_duplicates(docs, words=SHINGLE_WORDS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

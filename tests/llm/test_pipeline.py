@@ -52,6 +52,32 @@ def test_quality_near_duplicates_and_passages(spark, folder, stages):
         i: rest[i][3] if rest[i][1] else t for i, t in single.items() if rest[i][0] != rest[i][1]}
 
 
+def kept_by_five_words(rows):
+    """Ids of the smallest document of each group that is alike in runs of five words."""
+    sets, root = {}, {}
+    for i, t in rows:
+        w = [x.lower() for x in words(t)]
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+        root[i] = i
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_near_duplicates_are_alike_in_five_words(spark, folder, stages):
+    base = [f"w{i}" for i in range(100)]
+    scattered = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(base)]
+    made = [(101, " ".join(base)), (102, " ".join(scattered)), (103, " ".join(base + ["more"]))]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    left = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert {r.doc_id for r in left.collect()} == {101, 102} == kept_by_five_words(made)
+    good = texts(stages[0])
+    assert set(texts(stages[1])) == kept_by_five_words(list(good.items()))
+
+
 def test_the_mix_takes_words_of_the_stage_before(stages):
     before = texts(stages[2])
     taken = {r.doc_id: r.taken for r in mixing.Mix(stages[2]).taken().collect()}
