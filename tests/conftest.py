@@ -3,21 +3,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from cinefold.operators.prepare import clean_movies, clean_ratings  # noqa: E402
 from cinefold.schemas import MOVIES, RATINGS  # noqa: E402
 from cinefold.session import session  # noqa: E402
-
-RATING_ROWS = [
-    (1, 10, 4.0, 100), (1, 11, 3.5, 200), (1, 11, 5.0, 300), (1, 99, 2.0, 50),
-    (2, 12, None, 400), (2, 13, 4.5, 500), (3, 14, 1.0, 600),
-    (None, 10, 5.0, 1), (4, None, 5.0, 2), (5, 12, None, 700),
-]
-MOVIE_ROWS = [
-    (10, "a", "Action|Comedy"), (11, "b", "Comedy"), (12, "c", "(no genres listed)"),
-    (13, "d", "Drama|"), (14, "e", None),
-]
+from support import MOVIE_ROWS, RATING_ROWS  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -59,13 +51,3 @@ def movies(raw_movies):
 @pytest.fixture
 def work(tmp_path):
     return str(tmp_path)
-
-
-def rows(df, *order):
-    """Rows as a sorted list of tuples, nulls first."""
-    found = [tuple(r) for r in df.collect()]
-    return sorted(found, key=lambda r: tuple((x is not None, str(type(x)), x) for x in r))
-
-
-def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import plan_of
+from support import plan_of
 
 import __spark_entry__ as driver
 from cinefold import catalog

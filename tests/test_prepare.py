@@ -1,4 +1,4 @@
-from conftest import rows
+from support import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

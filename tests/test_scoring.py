@@ -2,7 +2,7 @@ import json
 import time
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from cinefold.functions.linear import LinearScorer

@@ -1,5 +1,5 @@
 import pytest
-from conftest import MOVIE_ROWS, rows
+from support import MOVIE_ROWS, rows
 
 from cinefold.operators.reports import describe_table, table_counts
 from cinefold.schemas import MOVIES, RATINGS

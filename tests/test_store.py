@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from support import rows
 
 from cinefold.operators.documents import (
     feature_keys,

@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
