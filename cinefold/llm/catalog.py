@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinefold.llm import (
+    fill_in_middle,
     html_text,
     katz,
     license_scan,
     minhash_forest,
     mixing,
     neighbours,
+    packing,
     pieces,
     quality,
     substring_dedup,
@@ -32,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_minhash_forest": minhash_forest.query,
         "op8_html_text": html_text.query,
         "op9_neighbours": neighbours.query,
+        "op11_fill_in_middle": fill_in_middle.query,
+        "op12_packing": packing.query,
     }
 
 
@@ -42,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": url_filter.ORACLE_SQL,
         "op4_license_scan": license_scan.ORACLE_SQL,
         "op7_quality_rules": quality.ORACLE_SQL,
+        "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
