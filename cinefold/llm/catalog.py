@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cinefold.llm import (
     fill_in_middle,
+    hard_negatives,
     html_text,
     katz,
     license_scan,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neighbours": neighbours.query,
         "op11_fill_in_middle": fill_in_middle.query,
         "op12_packing": packing.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
 
 
@@ -47,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": license_scan.ORACLE_SQL,
         "op7_quality_rules": quality.ORACLE_SQL,
         "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }
