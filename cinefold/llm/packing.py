@@ -7,7 +7,10 @@ bucket, that of all pieces of one length. Sequences are numbered within their bu
 is a range of numbers.
 
 Ids are the tokenizer's. White space separates what it tokenizes, so each distinct stretch between
-ASCII white space is tokenized once by a task and remembered, up to a bound.
+ASCII white space is tokenized once by a task and remembered, up to a bound. A stretch of Latin
+letters, digits and signs is cut by the tokenizer's own pattern here, and only its distinct parts go
+through the merges; every other stretch, and one that may hold a special token, goes through the
+whole tokenizer.
 
 A null or empty text has only the end id: one piece of one id. Rows with a null id and rows that
 repeat an id or a whole row are documents of their own, equal ones with equal pieces under other
@@ -35,35 +38,85 @@ SEQUENCE = 4096
 END_ID = 2
 # What a task remembers of stretches: their number, and the bytes and ids they take together.
 KNOWN, KNOWN_SIZE = 400_000, 1 << 23
-# Longer stretches are not remembered.
+# A block with a longer stretch is forgotten at once.
 LONG = 256
 # Pieces that are numbered by one task.
 CHUNK_PIECES = 1 << 17
 
 
+# The pattern by which the tokenizer's file cuts a text, and the characters for which
+# its other steps are only lower-casing and bytes as characters.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = "[!-~\u00a1-\u012f\u0131-\u024f]+"
+
+
+def _byte_characters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class Numbers(dict):
+    """Numbers stretches as they are first asked for; `fresh` lists the new ones."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Tokens:
     """Ids of texts, through the stretches that a task has met so far."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
+        self.parts, self.latin = regex.compile(PARTS), regex.compile(LATIN)
+        self.characters = _byte_characters()
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
+        self.place = Numbers()
+        self.part_ids: dict[str, list[int]] = {}
         self.pool, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.count, self.size = np.zeros(0, np.int64), 0
 
+    def _part(self, part: str) -> list[int]:
+        ids = self.part_ids.get(part)
+        if ids is None:
+            written = part.encode().decode("latin-1").translate(self.characters)
+            ids = self.part_ids[part] = [t.id for t in self.tokenizer.model.tokenize(written)]
+        return ids
+
+    def _ids(self, fresh: list[bytes]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        for word in map(bytes.decode, fresh):
+            if self.latin.fullmatch(word) and not self.special.search(word):
+                out.append([i for part in self.parts.findall(word.lower()) for i in self._part(part)])
+            else:
+                out.append(None)
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        found = self.tokenizer.encode_batch([fresh[k].decode() for k in rest], add_special_tokens=False)
+        for k, x in zip(rest, found):
+            out[k] = x.ids
+        return out
+
     def _learn(self, fresh: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-        ids = [np.array(x.ids, np.uint32) for x in found]
+        ids = self._ids(fresh)
         count = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, count.sum())
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.pool = np.concatenate([self.pool, *ids])
-        self.size += sum(map(len, fresh)) + int(count.sum())
+        self.pool = np.concatenate([self.pool, flat])
+        self.size += sum(map(len, fresh)) + len(flat)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind, and how many each text has."""
@@ -72,17 +125,10 @@ class Tokens:
         if len(self.place) > KNOWN or self.size > KNOWN_SIZE:
             self._forget()
         units = [raw[a:b].split() for a, b in zip(cuts, cuts[1:])]
-        place, fresh, once = self.place, [], []
         at: list[int] = []
         for words in units:
-            for w in words:
-                k = place.get(w)
-                if k is None:
-                    place[w] = k = len(place)
-                    fresh.append(w)
-                    if len(w) > LONG:
-                        once.append(w)
-                at.append(k)
+            at.extend(map(self.place.__getitem__, words))
+        fresh, self.place.fresh = self.place.fresh, []
         if fresh:
             self._learn(fresh)
         at = np.array(at, np.int64)
@@ -95,7 +141,7 @@ class Tokens:
         inner = np.ones(len(ids), bool)
         inner[np.cumsum(size + 1) - 1] = False
         ids[inner] = self.pool[np.repeat(self.start[at], per_unit) + step]
-        if once:
+        if any(len(w) > LONG for w in fresh):
             self._forget()
         return ids, size + 1
 

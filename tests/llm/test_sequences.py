@@ -98,8 +98,9 @@ def test_tokens_are_the_tokenizers():
     whole = Tokenizer.from_file(packing.TOKENIZER_FILE)
     draw = random.Random(3)
     letters = ["a", "B", "'s", "́", "é", "<|endoftext|>", "Σ", "İ", "1", "日", "!", "\x1c", "\x85",
-               "\xa0", " ", " ", "\t", "\x0b", "\x0c", "\r\n", "'LL", "ﬁ", "ᄀ", "ᅡ", "\0", "q" * 300]
-    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+               "\xa0", " ", " ", "\t", "\x0b", "\x0c", "\r\n", "'LL", "ﬁ", "ᄀ", "ᅡ", "\0", "q" * 300,
+               "É", "ñ", "½", "²", "ª", "\xad", "Ǆ", "Ÿ", "'", "#1", "<|", "|>", "ŉ", "ß", "Æ", "\x7f", "~"]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 9))) for _ in range(9000)]
     tokens = packing.Tokens(packing.TOKENIZER_FILE)
     for part in (texts[:1000], texts[1000:], texts):
         ids, sizes = tokens.encode(pa.array(part), 2)
