@@ -6,10 +6,10 @@ sequence of its own: no sequence crosses documents, none is padded, and a batch
 bucket, that of all pieces of one length. Sequences are numbered within their bucket, so a batch
 is a range of numbers.
 
-Ids are the tokenizer's. White space separates what it tokenizes, so each distinct stretch between
-ASCII white space is tokenized once by a task and remembered, up to a bound. A stretch of Latin
-letters, digits and signs is cut by the tokenizer's own pattern here, and only its distinct parts go
-through the merges; every other stretch, and one that may hold a special token, goes through the
+Ids are the tokenizer's. Texts of Latin letters, digits and signs are cut by the tokenizer's own
+pattern here, and only distinct parts go through its merges, once in a worker, which remembers them
+up to a bound. In other texts that holds for the stretches between white space, which separates what the
+tokenizer sees; a stretch with other characters, or that may hold a special token, goes through the
 whole tokenizer.
 
 A null or empty text has only the end id: one piece of one id. Rows with a null id and rows that
@@ -20,8 +20,12 @@ follows the longest single text.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +34,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinefold.llm.tables import documents, read, stored
-from cinefold.llm.words import blocks, text_bytes
+from cinefold.llm.words import blocks
 
 TOKENIZER_FILE = "/opt/tokenizers/word_bpe_49k.json"
 # A power of two.
 SEQUENCE = 4096
 END_ID = 2
-# What a task remembers of stretches: their number, and the bytes and ids they take together.
-KNOWN, KNOWN_SIZE = 400_000, 1 << 23
-# A block with a longer stretch is forgotten at once.
+# What a worker remembers: the number of parts and stretches, and the characters and ids they take
+# together.
+KNOWN, KNOWN_SIZE = 1 << 19, 1 << 24
+# A block with a longer one is forgotten at once.
 LONG = 256
 # Pieces that are numbered by one task.
 CHUNK_PIECES = 1 << 17
 
 
-# The pattern by which the tokenizer's file cuts a text, and the characters for which
-# its other steps are only lower-casing and bytes as characters.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LATIN = "[!-~\u00a1-\u012f\u0131-\u024f]+"
+# Characters for which the tokenizer's other steps are only lower-casing and bytes as characters; all
+# of its white space among them is in ASCII. U+0130 is left out, whose small form is two characters.
+LATIN = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]) if c != "\u0130"]
+
+
+def _class(characters: Iterable[str]) -> str:
+    return "".join(map(re.escape, characters))
+
+
+def _pattern() -> re.Pattern:
+    """The pattern by which the tokenizer's file cuts a text, for Latin characters in lower case."""
+    letters = _class(c for c in LATIN if unicodedata.category(c)[0] == "L")
+    numbers = _class(c for c in LATIN if unicodedata.category(c)[0] == "N")
+    # The endings that are parts of their own.
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t-\r{letters}{numbers}]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -58,59 +74,51 @@ def _byte_characters() -> dict[int, str]:
 
 
 class Numbers(dict):
-    """Numbers stretches as they are first asked for; `fresh` lists the new ones."""
+    """Numbers parts and stretches as they are first asked for; `fresh` lists the new ones."""
 
     def __init__(self):
-        self.fresh: list[bytes] = []
+        self.fresh: list[str | bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
+    def __missing__(self, unit: str | bytes) -> int:
+        self[unit] = number = len(self)
+        self.fresh.append(unit)
         return number
 
 
 class Tokens:
-    """Ids of texts, through the stretches that a task has met so far."""
+    """Ids of texts, through the parts (str) and stretches (bytes) that a task has met so far."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
-        self.parts, self.latin = regex.compile(PARTS), regex.compile(LATIN)
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.parts, self.latin = _pattern(), re.compile(f"[ \\t-\\r{_class(LATIN)}]*")
         self.characters = _byte_characters()
         self._forget()
 
     def _forget(self) -> None:
         self.place = Numbers()
-        self.part_ids: dict[str, list[int]] = {}
         self.pool, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.count, self.size = np.zeros(0, np.int64), 0
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.part_ids.get(part)
-        if ids is None:
-            written = part.encode().decode("latin-1").translate(self.characters)
-            ids = self.part_ids[part] = [t.id for t in self.tokenizer.model.tokenize(written)]
-        return ids
-
-    def _ids(self, fresh: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        for word in map(bytes.decode, fresh):
-            if self.latin.fullmatch(word) and not self.special.search(word):
-                out.append([i for part in self.parts.findall(word.lower()) for i in self._part(part)])
-            else:
-                out.append(None)
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        found = self.tokenizer.encode_batch([fresh[k].decode() for k in rest], add_special_tokens=False)
-        for k, x in zip(rest, found):
-            out[k] = x.ids
+    def _units(self, text: str) -> list[str | bytes]:
+        if self.latin.fullmatch(text) and not self.special.search(text):
+            return self.parts.findall(text.lower())
+        out: list[str | bytes] = []
+        for raw in text.encode().split():
+            word = raw.decode()
+            plain = self.latin.fullmatch(word) and not self.special.search(word)
+            out.extend(self.parts.findall(word.lower()) if plain else [raw])
         return out
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        ids = self._ids(fresh)
+    def _learn(self, fresh: list[str | bytes]) -> None:
+        whole = [k.decode() for k in fresh if isinstance(k, bytes)]
+        found = iter(self.tokenizer.encode_batch(whole, add_special_tokens=False))
+        merge, written = self.tokenizer.model.tokenize, self.characters
+        ids = [next(found).ids if isinstance(k, bytes) else
+               [t.id for t in merge(k.encode().decode("latin-1").translate(written))] for k in fresh]
         count = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter((i for x in ids for i in x), np.uint32, count.sum())
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(count) - count])
@@ -120,19 +128,16 @@ class Tokens:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind, and how many each text has."""
-        offsets, data = text_bytes(texts)
-        raw, cuts = data.tobytes(), offsets.tolist()
         if len(self.place) > KNOWN or self.size > KNOWN_SIZE:
             self._forget()
-        units = [raw[a:b].split() for a, b in zip(cuts, cuts[1:])]
-        at: list[int] = []
-        for words in units:
-            at.extend(map(self.place.__getitem__, words))
+        units = [self._units(text or "") for text in texts.to_pylist()]
+        words = np.array([len(x) for x in units], np.int64)
+        every = map(self.place.__getitem__, chain.from_iterable(units))
+        at = np.fromiter(every, np.int64, words.sum())
         fresh, self.place.fresh = self.place.fresh, []
         if fresh:
             self._learn(fresh)
-        at = np.array(at, np.int64)
-        per_unit, words = self.count[at], np.array([len(x) for x in units], np.int64)
+        per_unit = self.count[at]
         edges = np.concatenate([[0], np.cumsum(per_unit)])
         last = np.cumsum(words)
         size = edges[last] - edges[last - words]
@@ -141,11 +146,17 @@ class Tokens:
         inner = np.ones(len(ids), bool)
         inner[np.cumsum(size + 1) - 1] = False
         ids[inner] = self.pool[np.repeat(self.start[at], per_unit) + step]
-        if any(len(w) > LONG for w in fresh):
+        if any(len(k) > LONG for k in fresh):
             self._forget()
         return ids, size + 1
 
 
+@lru_cache(maxsize=1)
+def remembered(path: str) -> Tokens:
+    """The ids that this worker knows from earlier tasks; they only save work."""
+    return Tokens(path)
+
+
 def binary_pieces(sizes: np.ndarray, longest: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pieces of documents of these sizes: document, start in it, and length, in order."""
     bits = longest.bit_length() - 1
@@ -167,7 +178,7 @@ def cut_documents(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, longest: int
         raise ValueError(f"{longest} is not a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = remembered(tokenizer)
         for batch in blocks(batches):
             ids, sizes = tokens.encode(batch.column("text"), end_id)
             document, start, length = binary_pieces(sizes, longest)
