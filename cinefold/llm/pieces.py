@@ -32,9 +32,9 @@ from cinefold.llm.words import _hash_spans, blocks, mix, text_bytes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 # Distinct units whose pieces a task remembers.
-KNOWN_UNITS = 500_000
+KNOWN_UNITS = 250_000
 # The search costs less per unit the more units advance together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 MARK = "▁"
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))

@@ -7,6 +7,7 @@ memory follows the longest single text and not the size of a batch.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -147,10 +148,22 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text",
            block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about a MB of text, or one longer text."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
-        group = np.cumsum(np.asarray(size, np.int64)) // block_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-        for low, high in zip(cuts, cuts[1:]):
-            if high > low:
-                yield batch.slice(low, high - low)
+    try:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+            group = np.cumsum(np.asarray(size, np.int64)) // block_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    yield batch.slice(low, high - low)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers outlive their tasks, and what each keeps
+    for later adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
