@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinefold.functions.linear import FEATURES, LinearScorer
+from cinefold.functions.linear import FEATURES, LinearScorer, scorer_from
 from cinefold.jobs.chain import ChainConfig, run_pipeline
 from cinefold.operators import documents as D
 from cinefold.operators import features as U
@@ -43,7 +43,7 @@ from cinefold.sources.requests import (
     requests_from,
     write_requests,
 )
-from cinefold.sources.store import publish_features, read_store
+from cinefold.sources.store import lookup_published, publish_features, read_store
 from cinefold.sources.tables import (
     read_features,
     read_movies,
@@ -241,6 +241,11 @@ def random_split_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def random_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random part for each row, equal ones apart, whatever the partitioning."""
+    return _text_ids(P.repeatable_split(views.sample_ratings(spark, sf_dir).repartition(7)))
+
+
 def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
     return _flat_document(D.parse_documents(D.store_documents(D.store_columns(features))))
@@ -266,9 +271,45 @@ def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, _ = L.split_hits(L.lookup_features(
         parsed, _store(spark, sf_dir), min_hot_rows=SAMPLE_WARM_ROWS
     ))
+    return _flat_hits(hits)
+
+
+def _flat_hits(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("arrival.seq").alias("event_id"), "feature_key", *FEATURES)
 
 
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch_path(spark, "store")
+    features = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
+    publish_features(features, root, unique_users=True)
+    return root
+
+
+def store_lookup_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against the published buckets, of which only those with keys are read."""
+    parsed = cut_lineage(S.valid_requests(S.parse_requests(_requests(spark, sf_dir))))
+    return _flat_hits(L.split_hits(lookup_published(parsed, _published(spark, sf_dir)))[0])
+
+
+def store_lookup_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More keys than may be broadcast: ranges of buckets in turn."""
+    parsed = cut_lineage(S.valid_requests(S.parse_requests(_requests(spark, sf_dir))))
+    looked_up = lookup_published(parsed, _published(spark, sf_dir),
+                                 broadcast_limit=L.key_bytes(parsed) // 3 + 1)
+    return _flat_hits(L.split_hits(looked_up)[0])
+
+
+def store_bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users published, then every hundredth with other features: the rewritten buckets are
+    merged with what they held, the others stay."""
+    root = scratch_path(spark, "store")
+    features = U.user_features(_ratings(spark, sf_dir), _movies(spark, sf_dir))
+    publish_features(features, root, unique_users=True, buckets=512)
+    some = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
+    publish_features(some.filter("userId % 100 = 0"), root, unique_users=True)
+    return _flat_document(D.parse_documents(read_store(spark, root)))
+
+
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).filter("found").select("userId", "target", "prediction")
 
@@ -397,6 +438,50 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("request_id", "feature_key", "prediction")
 
 
+def _held_open(spark: SparkSession, sf_dir: str, model, between) -> str:
+    """One query over two lots of requests, with something done between them; the log's folder."""
+    root = scratch_path(spark, "stream")
+    features = U.user_features(_split(spark, sf_dir, "train"), _movies(spark, sf_dir))
+    publish_features(features, f"{root}/store", unique_users=True)
+    sent = views.sample_requests(spark, sf_dir)
+    lots = [sent.filter(F.col("event_id") % 2 == part) for part in (0, 1)]
+    write_requests(lots[0], "text", {"path": f"{root}/in"})
+    query = start_scoring(
+        request_stream(spark, "text", {"path": f"{root}/in", "maxFilesPerTrigger": "4"}),
+        f"{root}/store", model, f"{root}/out", f"{root}/checkpoint", number_lines=True, compact_every=2)
+    try:
+        query.processAllAvailable()
+        between(root)
+        write_requests(lots[1], "text", {"path": f"{root}/in"})
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return f"{root}/out"
+
+
+def stream_new_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot published while the query runs is seen by the batches after it."""
+    def publish(root: str) -> None:
+        features = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
+        publish_features(features, f"{root}/store", unique_users=True)
+
+    log = read_predictions(spark, _held_open(spark, sf_dir, FIXED_MODEL, publish))
+    return log.select("request_id", "feature_key", "prediction")
+
+
+def stream_model_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model registered while the query runs is not: predictions that agree with the first one."""
+    models, rows = scratch_path(spark, "models"), T.model_inputs(training_narrow(spark, sf_dir))
+    first = T.train_logistic(rows)
+    register_model(first, models)
+    other = T.train_logistic(rows.withColumn("target", 1 - F.col("target")))
+    root = _held_open(spark, sf_dir, models, lambda root: register_model(other, models))
+    store = read_store(spark, root.removesuffix("/out") + "/store").select("feature_key", *FEATURES)
+    wanted = store.select("feature_key", scorer_from(first).predict().alias("wanted"))
+    both = read_predictions(spark, root).join(wanted, "feature_key")
+    return both.agg(F.count("*").alias("scored"), F.count_if(F.col("prediction") == F.col("wanted")).alias("pinned"))
+
+
 def request_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each published key, sent, awaited and read back."""
     root = scratch_path(spark, "stream")
@@ -498,8 +583,8 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = R.table_counts({
         "train_ratings": read_ratings(spark, f"{root}/out/splits/split=train"),
         "test_ratings": read_ratings(spark, f"{root}/out/splits/split=test"),
-        "train_rows": read_features(spark, f"{root}/out/features/train/training"),
-        "test_rows": read_features(spark, f"{root}/out/features/test/training"),
+        "train_rows": read_features(spark, f"{root}/out/features/training/split=train"),
+        "test_rows": read_features(spark, f"{root}/out/features/training/split=test"),
         "published": read_store(spark, f"{root}/out/store"),
         "runs": read_runs(spark, f"{root}/out/runs"),
     })
@@ -554,6 +639,9 @@ def queries() -> dict[str, Query]:
         "latest_user_rows": latest_user_rows,
         "feature_keys": lambda s, d: D.feature_keys(_store(s, d)),
         "store_lookup": store_lookup,
+        "store_lookup_published": store_lookup_published,
+        "store_lookup_rounds": store_lookup_rounds,
+        "store_bucket_upsert": store_bucket_upsert,
         "store_missing": lambda s, d: L.missing_keys(_pairs(s, d), _store(s, d)),
         "validation_pairs": _pairs,
         "score_pairs": score_pairs,
@@ -582,6 +670,9 @@ def queries() -> dict[str, Query]:
         "csv_unparsed": csv_unparsed,
         "stream_text_requests": stream_text_requests,
         "stream_restart": stream_restart,
+        "stream_new_snapshot": stream_new_snapshot,
+        "stream_model_pinned": stream_model_pinned,
+        "random_split_rows": random_split_rows,
         "request_answered": request_answered,
         "processed_at_in_range": processed_at_in_range,
         "schema_report": schema_report,
@@ -770,6 +861,15 @@ def oracle_sql() -> dict[str, str]:
         "feature_keys": f"with {_TEST} select feature_key from store",
         "store_lookup": f"""with {_SCORED} select event_id, feature_key, avg_rating, num_movies
                             from looked_up where hit is not null""",
+        "store_lookup_published": f"""with {_SCORED} select event_id, feature_key, avg_rating,
+                            num_movies from looked_up where hit is not null""",
+        "store_lookup_rounds": f"""with {_SCORED} select event_id, feature_key, avg_rating,
+                            num_movies from looked_up where hit is not null""",
+        "store_bucket_upsert": f"""with {_TEST}, {_feature_ctes('clean_r', 'all_')},
+            few as (select * from test_feats where userId % 100 = 0), merged as (
+            select * from few union all
+            select * from all_feats where userId not in (select userId from few))
+            {document} from merged""",
         "store_missing": f"""with {_VALIDATED} select userId, target from pairs
                              where cast(userId as varchar) not in (select feature_key from store)""",
         "validation_pairs": f"with {_VALIDATED} select * from pairs",
@@ -826,6 +926,26 @@ def oracle_sql() -> dict[str, str]:
             select 'movieId', count(*) from ratings where movieId % 7 = 0""",
         "stream_text_requests": f"with {_SCORED} {untimed}",
         "stream_restart": f"with {_SCORED} {untimed}",
+        "stream_new_snapshot": f"""with {_SCORED}, old_store as (
+            select cast(userId as varchar) as feature_key, avg_rating, num_movies from train_simple),
+            stores as (
+            select *, 0 as part from old_store union all select *, 1 from store union all
+            select *, 1 from old_store where feature_key not in (select feature_key from store)),
+            found as (select request_id, p.feature_key, cast({_PREDICT} as integer) as prediction
+              from parsed p join stores s on p.early is null and p.feature_key = s.feature_key
+                   and event_id % 2 = part)
+            select * from found where prediction is not null""",
+        "stream_model_pinned": f"""with {_SCORED}, old_store as (
+            select cast(userId as varchar) as feature_key, avg_rating from train_simple)
+            select count(*) as scored, count(*) as pinned
+            from parsed p join old_store s on p.early is null and p.feature_key = s.feature_key
+            where avg_rating is not null""",
+        "random_split_rows": f"""with {_PREPARED}, numbered as (
+            select *, row_number() over (partition by userId, movieId, rating, timestamp) as occurrence
+            from ratings)
+            select {text_ids}, case when cast(concat('0x', substr(md5(concat_ws(
+              '|', 42, userId, movieId, rating, timestamp, occurrence)), 1, 8)) as bigint) % 100 < 80
+              then 'train' else 'test' end as split from numbered""",
         "request_answered": f"""with {_TEST} select feature_key, {_PREDICT} as prediction
             from store where avg_rating is not null""",
         "processed_at_in_range": f"""with {_SCORED} select count(*) as scored, count(*) as in_range

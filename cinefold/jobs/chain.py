@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from cinefold.jobs.features import build_features
+from cinefold.jobs.features import build_split_features
 from cinefold.jobs.options import job_parser, job_session
 from cinefold.jobs.split import split_ratings
 from cinefold.jobs.training import TrainingResult, train_and_register
 from cinefold.operators.prepare import clean_ratings
 from cinefold.sources.store import publish_features, read_store
-from cinefold.sources.tables import read_features, read_movies, read_ratings
+from cinefold.sources.tables import read_features, read_movies, read_ratings, read_splits
 
 
 @dataclass(frozen=True)
@@ -36,12 +36,9 @@ def run_pipeline(spark: SparkSession, cfg: ChainConfig) -> TrainingResult:
         read_ratings(spark, cfg.ratings_path, cfg.ratings_format),
         cfg.path("splits"), cfg.split_method,
     )
-    built = {
-        name: build_features(
-            read_ratings(spark, path), movies, cfg.path(f"features/{name}"), cfg.wide
-        )
-        for name, path in splits.items()
-    }
+    built = build_split_features(
+        read_splits(spark, cfg.path("splits")), movies, cfg.path("features"), cfg.wide
+    )
     publish_features(
         read_features(spark, built["test"]["user_features"]), cfg.path("store"), unique_users=True
     )
@@ -60,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--output_path", required=True)
     parser.add_argument("--ratings_format", default="csv", choices=["csv", "parquet"])
     parser.add_argument("--movies_format", default="csv", choices=["csv", "parquet"])
-    parser.add_argument("--split_method", default="hash", choices=["hash", "random"])
+    parser.add_argument("--split_method", default="hash", choices=["hash", "random", "repeatable"])
     parser.add_argument("--wide", action="store_true")
     args = parser.parse_args(argv)
     result = run_pipeline(job_session("chain", args), ChainConfig(

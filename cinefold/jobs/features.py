@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cinefold.jobs.options import job_parser, job_session
 from cinefold.operators.features import rating_counts, training_table, user_features
 from cinefold.operators.prepare import clean_movies, clean_ratings
-from cinefold.sources.tables import read_features, read_movies, read_ratings, write_features
+from cinefold.sources.tables import (
+    SPLITS,
+    read_features,
+    read_movies,
+    read_ratings,
+    write_features,
+    write_splits,
+)
 
 
 def build_features(ratings: DataFrame, movies: DataFrame, out_dir: str,
@@ -27,6 +35,24 @@ def build_features(ratings: DataFrame, movies: DataFrame, out_dir: str,
     return paths
 
 
+def build_split_features(ratings: DataFrame, movies: DataFrame, out_dir: str,
+                         wide: bool = False) -> dict[str, dict[str, str]]:
+    """The same for all parts of a `split` column, whose features come from one pass over the
+    ratings; the paths by part."""
+    spark, out_dir = ratings.sparkSession, out_dir.rstrip("/")
+    ratings = clean_ratings(ratings)
+    write_splits(user_features(ratings, clean_movies(movies), by=("split", "userId")),
+                 f"{out_dir}/user_features")
+    paths = {}
+    for name in SPLITS:
+        paths[name] = {table: f"{out_dir}/{table}/split={name}" for table in ("user_features", "training")}
+        features = read_features(spark, paths[name]["user_features"])
+        part = ratings.filter(F.col("split") == name).drop("split")
+        training = training_table(part, features, wide=wide, counts=rating_counts(features))
+        write_features(training, paths[name]["training"])
+    return paths
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = job_parser("Features and training table of one split")
     parser.add_argument("--input_path", required=True, help="ratings of the split, Parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cinefold.jobs.options import job_parser, job_session
-from cinefold.operators.prepare import hash_split, random_split
+from cinefold.operators.prepare import hash_split, random_split, repeatable_split
 from cinefold.sources.tables import read_ratings, write_split, write_splits
 
 
@@ -15,6 +15,8 @@ def split_ratings(ratings: DataFrame, out_dir: str, method: str = "hash") -> dic
     paths = {name: f"{out_dir}/split={name}" for name in ("train", "test")}
     if method == "hash":
         write_splits(hash_split(ratings), out_dir)
+    elif method == "repeatable":
+        write_splits(repeatable_split(ratings), out_dir)
     elif method == "random":
         for part, path in zip(random_split(ratings), paths.values(), strict=True):
             write_split(part, path)
@@ -28,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--input_path", required=True)
     parser.add_argument("--output_path", required=True)
     parser.add_argument("--format", default="csv", choices=["csv", "parquet"])
-    parser.add_argument("--method", default="hash", choices=["hash", "random"])
+    parser.add_argument("--method", default="hash", choices=["hash", "random", "repeatable"])
     args = parser.parse_args(argv)
     spark = job_session("split", args)
     paths = split_ratings(

@@ -8,12 +8,15 @@ sliced join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinefold.functions.genres import NO_GENRES, tokens
 from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES, fits_broadcast
 from cinefold.plans.skew import MIN_HOT_ROWS, has_hot_keys, sliced_join
+from cinefold.session import cut_lineage
 
 SCALARS = ["avg_rating", "num_movies", "last_interaction_ts"]
 
@@ -129,24 +132,84 @@ def genre_profile(proportions: DataFrame) -> DataFrame:
 
 def user_features(ratings: DataFrame, movies: DataFrame,
                   broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-                  min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                  min_hot_rows: int = MIN_HOT_ROWS, by: Sequence[str] = ("userId",)) -> DataFrame:
     """All features, one row per user; the profile is null for users without genre rows.
 
-    The counts are gathered per user before the total is at hand, and divided by it where
-    both parts meet. Both come out partitioned by user, so the join moves nothing.
+    One scan of the ratings, without a counting job. They are first grouped by user and movie, which
+    combines on the map side and spreads a hot user over all tasks, and leaves each movie once: no
+    set is ever gathered from raw rows. What is left, at most the distinct movies of a user, moves to
+    its user once, and everything after that is local. With a column of parts in `by`, such as
+    `split`, the features of all parts come from the same pass.
     """
-    counts = (
-        user_genre_counts(ratings, movies, broadcast_limit, min_hot_rows)
-        .groupBy("userId")
-        .agg(F.sort_array(F.collect_list(F.struct("genre", "genre_count"))).alias("counts"))
-    )
+    pairs = user_movies(ratings, by)
+    if movies_fit_broadcast(movies, broadcast_limit):
+        listed = F.broadcast(movie_listings(movies, combine=False))
+        rated = _at_user(pairs, by).join(listed, "movieId", "left")
+    else:
+        listed = movie_listings(movies)
+        # Counting hot movies for the sliced join would scan the ratings again.
+        rated = _at_user(sliced_join(cut_lineage(pairs), listed, "movieId", "left",
+                                     min_rows=min_hot_rows), by)
+    return merged_features(rated, by)
+
+
+def _at_user(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows moved to their user. Genres multiply them there, so the number of partitions is
+    stated: adaptive execution would merge them by the size they have before."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def user_movies(ratings: DataFrame, by: Sequence[str] = ("userId",)) -> DataFrame:
+    """The mergeable state of each user and movie: rows, rated rows, sum and latest timestamp."""
+    return ratings.groupBy(*by, "movieId").agg(
+        F.count("movieId").alias("n"), F.count("rating").alias("n_rated"),
+        F.sum("rating").alias("rating_sum"), F.max("timestamp").alias("last_ts"))
+
+
+def movie_listings(movies: DataFrame, combine: bool = True) -> DataFrame:
+    """The genre strings of each movie, as (genres, copies). Equal strings are combined first, which
+    a movie with any number of rows needs; where all movies fit a broadcast, that shuffle is saved."""
+    strings, copies = movies, F.lit(1).cast("bigint")
+    if combine:
+        strings, copies = movies.groupBy("movieId", "genres").agg(F.count("*").alias("n")), F.col("n")
+    return strings.groupBy("movieId").agg(
+        F.collect_list(F.struct("genres", copies.alias("copies"))).alias("listings"))
+
+
+def merged_features(rated: DataFrame, by: Sequence[str] = ("userId",)) -> DataFrame:
+    """Features from the states of `user_movies` with the movies' listings, partitioned by user.
+
+    A state becomes a row of its own and one row per genre; both are summed in one aggregation, in
+    generated code, since arrays are only made from its result.
+    """
+    none = F.lit(None)
+    state = F.struct(none.cast("string").alias("genre"), F.col("movieId"), F.col("n"), F.col("n_rated"),
+                     F.col("rating_sum"), F.col("last_ts"))
+    per_genre = F.flatten(F.transform("listings", lambda listing: F.transform(
+        F.filter(tokens(listing["genres"]), lambda g: g != NO_GENRES),
+        lambda g: F.struct(
+            g.alias("genre"), none.cast("bigint").alias("movieId"),
+            (F.col("n") * listing["copies"]).alias("n"), none.cast("bigint").alias("n_rated"),
+            none.cast("double").alias("rating_sum"), none.cast("bigint").alias("last_ts")))))
+    rows = rated.select(*by, F.inline(F.concat(
+        F.array(state), F.coalesce(per_genre, F.array().cast(_STATES)))))
+    sums = rows.groupBy(*by, "genre", "movieId").agg(
+        *(F.sum(c).alias(c) for c in ("n", "n_rated", "rating_sum")), F.max("last_ts").alias("last_ts"))
+    movie, genre = F.col("genre").isNull(), F.col("genre").isNotNull()
+    gathered = sums.groupBy(*by).agg(
+        F.try_divide(F.sum("rating_sum"), F.sum("n_rated")).alias("avg_rating"),
+        F.coalesce(F.sum(F.when(movie, F.col("n"))), F.lit(0)).alias("num_movies"),
+        F.max("last_ts").alias("last_interaction_ts"),
+        F.sort_array(F.collect_list("movieId")).alias("movie_ids"),
+        F.sort_array(F.collect_list(F.when(genre, F.struct("genre", "n")))).alias("counts"))
     shares = F.transform("counts", lambda c: F.struct(
-        c["genre"].alias("genre"), (c["genre_count"] / F.col("num_movies")).alias("proportion")
-    ))
-    return (
-        user_simple_features(ratings, min_hot_rows).join(counts, "userId", "left")
-        .select("userId", *SCALARS, "movie_ids", shares.alias("genre_profile"))
-    )
+        c["genre"].alias("genre"), (c["n"] / F.col("num_movies")).alias("proportion")))
+    return gathered.select(*by, *SCALARS, "movie_ids",
+                           F.when(F.size("counts") > 0, shares).alias("genre_profile"))
+
+
+_STATES = ("array<struct<genre:string,movieId:bigint,n:bigint,n_rated:bigint,rating_sum:double,"
+           "last_ts:bigint>>")
 
 
 def training_table(ratings: DataFrame, features: DataFrame, wide: bool = False,

@@ -54,3 +54,17 @@ def hash_split(df: DataFrame, keys: list[str] | None = None, train_pct: int = 80
     One pass and no shuffle: writing the result partitioned by `split` makes both parts.
     """
     return df.withColumn("split", split_name(keys or ["userId", "movieId", "timestamp"], train_pct))
+
+
+def repeatable_split(df: DataFrame, train_pct: int = 80, seed: int = SEED) -> DataFrame:
+    """The rows with a random `split` that neither partitioning nor a retry changes, and that is drawn
+    anew for each of several equal rows.
+
+    Equal rows are combined into their number, on the map side too, and each gets that of its
+    occurrence in the draw, so nothing is sorted and a row repeated any number of times moves once.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    rows = counted.withColumn("__occurrence", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
+    rows = rows.withColumn("__seed", F.lit(seed))
+    return rows.withColumn("split", split_name(["__seed", *df.columns, "__occurrence"], train_pct)).drop(
+        "__n", "__occurrence", "__seed")

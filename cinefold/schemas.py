@@ -20,15 +20,6 @@ GENRE_PROFILE = T.ArrayType(T.StructType([
     T.StructField("proportion", T.DoubleType()),
 ]))
 
-USER_FEATURES = T.StructType([
-    T.StructField("userId", T.LongType()),
-    T.StructField("avg_rating", T.DoubleType()),
-    T.StructField("num_movies", T.LongType()),
-    T.StructField("last_interaction_ts", T.LongType()),
-    T.StructField("movie_ids", T.ArrayType(T.LongType())),
-    T.StructField("genre_profile", GENRE_PROFILE),
-])
-
 # The JSON document one user has in the feature store.
 DOCUMENT = T.StructType([
     T.StructField("user_id", T.LongType()),
@@ -75,7 +66,7 @@ OUTCOMES = T.StructType([
     T.StructField("outcome", T.StringType()),
 ])
 
-# The latest prediction per request, by the hashed bucket of its id.
+# The latest prediction per request.
 LATEST = T.StructType([
     T.StructField("request_id", T.StringType()),
     T.StructField("feature_key", T.StringType()),
@@ -83,7 +74,6 @@ LATEST = T.StructType([
     T.StructField("processed_at", T.LongType()),
     T.StructField("arrival", ARRIVAL),
     T.StructField("batch_id", T.LongType()),
-    T.StructField("bucket", T.IntegerType()),
 ])
 
 RUNS = T.StructType([

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cinefold.schemas import MOVIES, RATINGS
 
 SPLITS = ("train", "test")
+SPLIT_RATINGS = StructType([*RATINGS.fields, StructField("split", StringType())])
 
 
 def _cells(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -49,6 +50,11 @@ def read_ratings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return _read(spark, path, fmt, RATINGS)
 
 
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """The ratings of all parts under a path that `write_splits` made, with their `split`."""
+    return spark.read.schema(SPLIT_RATINGS).parquet(path)
+
+
 def read_movies(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return _read(spark, path, fmt, MOVIES)
 

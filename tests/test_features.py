@@ -1,14 +1,14 @@
 import re
 
 import pytest
-from support import plan_of, rows
+from support import RATING_ROWS, plan_of, rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cinefold.operators import features as U
 from cinefold.operators.documents import latest_user_rows
-from cinefold.operators.prepare import clean_ratings
+from cinefold.operators.prepare import clean_ratings, hash_split
 from cinefold.schemas import MOVIES, RATINGS
 
 # Sizes that select each way of joining: broadcast, plain shuffle, sliced shuffle.
@@ -183,3 +183,17 @@ def test_one_row_per_user_is_found_by_hash(spark, ratings, movies, work):
 def test_broadcast_only_when_measured_small(ratings, movies):
     assert U.movies_fit_broadcast(movies)
     assert not U.movies_fit_broadcast(movies, limit=100)
+
+
+def test_features_scan_the_ratings_once(spark, movies, work):
+    spark.createDataFrame(RATING_ROWS, RATINGS).write.parquet(f"{work}/ratings")
+    ratings = clean_ratings(spark.read.schema(RATINGS).parquet(f"{work}/ratings"))
+    assert plan_of(U.user_features(ratings, movies)).count("FileScan parquet") == 1
+
+
+def test_features_of_all_parts_equal_those_of_each(ratings, movies):
+    whole = hash_split(ratings, train_pct=50)
+    both = U.user_features(whole, movies, by=("split", "userId"))
+    for name in ("train", "test"):
+        part = whole.filter(whole.split == name).drop("split")
+        assert rows(both.filter(both.split == name).drop("split")) == rows(U.user_features(part, movies))

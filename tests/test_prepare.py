@@ -7,6 +7,7 @@ from cinefold.operators.prepare import (
     clean_ratings,
     hash_split,
     random_split,
+    repeatable_split,
     with_target,
 )
 from cinefold.schemas import RATINGS
@@ -67,3 +68,16 @@ def test_hash_split_keeps_every_row_and_keeps_equal_rows_together(spark, data):
     for r in split:
         parts.setdefault((r.userId, r.movieId, r.timestamp), set()).add(r.split)
     assert all(len(p) == 1 for p in parts.values())
+
+
+def test_repeatable_split(spark):
+    rated = spark.range(4000).selectExpr("id % 50 as userId", "id % 7 as movieId", "null as rating", "1L as timestamp")
+    made = repeatable_split(rated.repartition(3))
+    assert rows(made) == rows(repeatable_split(rated.repartition(8, "movieId")))
+    assert rows(made.drop("split")) == rows(rated)
+    share = made.filter("split = 'train'").count() / 4000
+    assert 0.78 < share < 0.82
+    # Equal rows fall into both parts.
+    parts = made.groupBy("userId", "movieId").agg({"split": "max"}).count()
+    assert made.select("userId", "movieId", "split").distinct().count() == 2 * parts
+    assert rows(made) != rows(repeatable_split(rated, seed=7))

@@ -1,7 +1,9 @@
 import json
+from pathlib import Path
 
 import pytest
-from support import rows
+from pyspark.sql import functions as F
+from support import plan_of, rows
 
 from cinefold.operators.documents import (
     feature_keys,
@@ -17,7 +19,13 @@ from cinefold.operators.lookup import (
     split_hits,
 )
 from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES
-from cinefold.sources.store import publish_features, read_store
+from cinefold.sources.buckets import key_buckets
+from cinefold.sources.store import (
+    bucket_table,
+    lookup_published,
+    publish_features,
+    read_store,
+)
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +93,60 @@ def test_versions_only_grow(features, work):
         publish_features(features, work, version=3, unique_users=True)
 
 
+def files(root):
+    return {str(p.relative_to(root)) for p in Path(root).rglob("part-*.parquet")}
+
+
+def test_a_publish_rewrites_only_its_buckets(spark, features, work):
+    many = features.filter("userId = 1").drop("userId").crossJoin(spark.range(400).withColumnRenamed("id", "userId"))
+    publish_features(many, work, unique_users=True, buckets=100)
+    before, table = files(work), bucket_table(spark, work)
+    few = many.filter("userId < 4").withColumn("num_movies", F.lit(77).cast("bigint"))
+    touched = key_buckets(few.selectExpr("cast(userId as string) as feature_key"), 100, "feature_key")
+    assert publish_features(few, work, unique_users=True) == 2
+    new = {f for f in files(work) - before if f.startswith("data/")}
+    assert {f.split("/")[2] for f in new} == {f"bucket={b}" for b in touched}
+    assert all(f.startswith("data/v=2/") for f in new) and before <= files(work)
+    after = bucket_table(spark, work)["written"]
+    assert {b for b, v in after.items() if v == 2} == touched
+    assert {b: v for b, v in after.items() if b not in touched} == {
+        b: v for b, v in table["written"].items() if b not in touched}
+    numbers = rows(read_store(spark, work).groupBy("num_movies").count())
+    assert numbers == [(4, 396), (77, 4)]
+    assert read_store(spark, work, buckets=touched).filter("num_movies = 77").count() == 4
+
+
+def test_an_empty_publish_gives_an_empty_store(spark, features, work):
+    assert publish_features(features.limit(0), work, unique_users=True) == 1
+    assert read_store(spark, work).count() == 0
+    assert publish_features(features, work, unique_users=True) == 2
+    assert read_store(spark, work).count() == 4
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_limit": 150}, {"broadcast_limit": 1}])
+def test_lookup_in_published_buckets(spark, features, work, options):
+    publish_features(features, work, unique_users=True, buckets=7)
+    keys = spark.createDataFrame(
+        [("1",), ("1",), ("5",), ("404",), (None,)], "feature_key string"
+    )
+    found = lookup_published(keys, work, **options)
+    assert rows(found.select("feature_key", "avg_rating", "num_movies", "found")) == [
+        (None, None, None, False), ("1", 3.625, 4, True), ("1", 3.625, 4, True),
+        ("404", None, None, False), ("5", None, 1, True),
+    ]
+    if options.get("broadcast_limit") != 1:
+        # No exchange but the broadcasts', so the store is never shuffled.
+        assert "hashpartitioning(feature_key" not in plan_of(found).split("Scan parquet")[0]
+
+
+def test_lookup_of_null_keys_alone(spark, features, work):
+    publish_features(features, work, unique_users=True)
+    keys = spark.createDataFrame([(None,), (None,)], "feature_key string")
+    for limit in (1 << 20, 100):
+        found = lookup_published(keys, work, broadcast_limit=limit)
+        assert rows(found.select("feature_key", "found")) == [(None, False), (None, False)]
+
+
 def test_missing_store_is_an_error(spark, work):
     with pytest.raises(FileNotFoundError):
         read_store(spark, work)

@@ -1,5 +1,6 @@
 import json
 import os
+from pathlib import Path
 
 import pytest
 from support import rows
@@ -15,6 +16,7 @@ from cinefold.operators.scoring import (
     score_requests,
 )
 from cinefold.operators.training import train_logistic
+from cinefold.sources import predictions
 from cinefold.sources.predictions import (
     compact_predictions,
     read_latest,
@@ -230,3 +232,55 @@ def test_unknown_request_formats_are_refused(spark):
         request_stream(spark, "socket", {})
     with pytest.raises(ValueError):
         write_requests(spark.createDataFrame([("x",)], "value string"), "socket", {})
+
+
+def outcome(spark, batch, requests=("a", "b")):
+    """Scored rows of some requests, predicted by the parity of the batch."""
+    rows = [((batch, "s", 0, k), "v", r, "u", batch % 2, batch, None, "scored") for k, r in enumerate(requests)]
+    return spark.createDataFrame(rows, "arrival struct<at:bigint,source:string,block:bigint,seq:bigint>, "
+                                 "value string, request_id string, feature_key string, prediction int, "
+                                 "processed_at bigint, reason string, outcome string")
+
+
+def test_commits_are_folded(spark, work, monkeypatch):
+    monkeypatch.setattr(predictions, "ERA", 3)
+    opened = []
+    for batch in range(8):
+        predictions.write_outcomes(outcome(spark, batch, (f"r{batch}",)), work, batch)
+        if batch == 4:
+            # Run again: another attempt, which counts alone.
+            predictions.write_outcomes(outcome(spark, batch, ("r4", "r4b")), work, batch)
+            assert predictions.compact_predictions(spark, work) == 4
+    assert predictions.fold_commits(spark, work, 7) == 2
+    commits = predictions._commits(spark, work)
+    assert rows(commits) == [(b, 1 if b == 4 else 0) for b in range(8)]
+    opened = [f for f in commits.inputFiles() if "/commits/" in f]
+    assert len(opened) == 2 and all("era=2" in f for f in opened)
+    assert rows(predictions._commits(spark, work, 5)) == [(6, 0), (7, 0)]
+    assert rows(predictions.read_predictions(spark, work).select("request_id")) == sorted(
+        (r,) for r in [*(f"r{b}" for b in range(8)), "r4b"])
+    assert predictions.read_latest(spark, work).count() == 9
+
+
+def test_batches_without_a_gap(spark, work, monkeypatch):
+    monkeypatch.setattr(predictions, "ERA", 3)
+    predictions.write_outcomes(outcome(spark, 0), work, 0)
+    with pytest.raises(ValueError, match="from 3 to 5"):
+        predictions.write_outcomes(outcome(spark, 7), work, 7)
+    predictions.write_outcomes(outcome(spark, 5), work, 5)
+    predictions.write_outcomes(outcome(spark, 7), work, 7)
+    assert rows(predictions.read_latest(spark, work).select("request_id", "processed_at")) == [
+        ("a", 7), ("b", 7)]
+
+
+def test_compaction_rewrites_only_touched_buckets(spark, work):
+    predictions.write_outcomes(outcome(spark, 0, [f"r{k}" for k in range(300)]), work, 0)
+    predictions.compact_predictions(spark, work)
+    predictions.write_outcomes(outcome(spark, 1, ["r1", "r2"]), work, 1)
+    assert predictions.compact_predictions(spark, work) == 1
+    assert predictions.compact_predictions(spark, work) == 1
+    new = {p.parent.name for p in Path(f"{work}/latest/data/v=2").rglob("part-*.parquet")}
+    assert 1 <= len(new) <= 2
+    assert rows(predictions.read_latest(spark, work).groupBy("prediction").count()) == [(0, 298), (1, 2)]
+    assert rows(predictions.read_prediction(spark, work, "r2").select("prediction")) == [(1,)]
+    assert predictions.read_prediction(spark, work, "nobody").count() == 0
