@@ -36,7 +36,7 @@ def request_stream(spark: SparkSession, fmt: str, options: dict[str, str]) -> Da
     """A stream of (arrival, value) with UTF-8 values, from `kafka` or `text`.
 
     Kafka needs `kafka.bootstrap.servers` and `subscribe`, starts at the earliest offset on
-    the first run, and orders by timestamp, then by partition and offset. Text takes a
+    the first run, and keeps each request's time, partition and offset; `latest_rows` tells their order. Text takes a
     `path`; its lines are numbered within each micro-batch by `with_line_order`.
     """
     if fmt == "kafka":

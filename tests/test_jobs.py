@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cinefold.jobs import chain, features, publish, score, split, training
 from cinefold.jobs.chain import ChainConfig, run_pipeline
+from cinefold.jobs.options import job_conf, job_parser
 from cinefold.operators.documents import feature_keys
 from cinefold.sources.predictions import read_predictions
 from cinefold.sources.registry import load_latest_model, read_runs
@@ -86,3 +87,17 @@ def test_chain_main(inputs, work, capsys):
     chain.main(["--ratings_path", f"{inputs}/ratings", "--movies_path", f"{inputs}/movies",
                 "--output_path", work, "--split_method", "random"])
     assert "model version 1" in capsys.readouterr().out
+
+
+def test_shared_options_become_settings():
+    parser = job_parser("a job")
+    assert job_conf(parser.parse_args([])) == {}
+    conf = job_conf(parser.parse_args([
+        "--data_gb", "1000", "--endpoint", "http://store:9000", "--access_key", "a", "--secret_key", "b"]))
+    assert conf["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000"
+    assert conf["spark.hadoop.fs.s3a.access.key"] == "a" and conf["spark.hadoop.fs.s3a.secret.key"] == "b"
+    assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true"
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 4000
+    keyless = job_conf(parser.parse_args(["--endpoint", "http://store:9000", "--virtual_host_style"]))
+    assert "spark.hadoop.fs.s3a.access.key" not in keyless
+    assert keyless["spark.hadoop.fs.s3a.path.style.access"] == "false"
