@@ -568,12 +568,13 @@ def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = T.train_logistic(T.model_inputs(training_narrow(spark, sf_dir))).stages[-1]
     rows = [("intercept", float(model.intercept))]
     rows += [(n, float(w)) for n, w in zip(FEATURES, model.coefficients, strict=True)]
-    rows = [(term, round(weight, 3)) for term, weight in rows]
+    rows = [(term, round(weight, 6)) for term, weight in rows]
     return spark.createDataFrame(rows, "term string, weight double")
 
 
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All batch jobs on the written tables; the rows that each of them made."""
+    """All batch jobs on the written tables; the rows that each of them made, the metrics in the run
+    log and the coefficients in the registry."""
     root = scratch_path(spark, "run")
     write_features(views.sample_ratings(spark, sf_dir), f"{root}/ratings")
     write_features(views.sample_movies(spark, sf_dir), f"{root}/movies")
@@ -590,7 +591,13 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
     ends = [("model_version", result.model_version), ("missing", result.missing),
             ("unscored", result.unscored)]
-    return made.unionByName(spark.createDataFrame(ends, "name string, n bigint"))
+    counted = made.unionByName(spark.createDataFrame(ends, "name string, n bigint"))
+    logged = read_runs(spark, f"{root}/out/runs").select(F.explode("metrics").alias("name", "value"))
+    model = scorer_from(load_latest_model(f"{root}/out/models"))
+    terms = zip(("intercept", *FEATURES), (model.intercept, *model.weights), strict=True)
+    fitted = spark.createDataFrame([(name, round(w, 6)) for name, w in terms], "name string, value double")
+    values = logged.filter(F.col("name").isin(*V.METRICS)).unionByName(fitted)
+    return counted.unionByName(values, allowMissingColumns=True)
 
 
 def request_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -785,9 +792,10 @@ b{i} as materialized (select
   u - (k * (g1 * q - g2 * o) - g0 * (l * q - o * m) + m * (l * g2 - g1 * m)) / det as u,
   v - (k * (n * g2 - o * g1) - l * (l * g2 - g1 * m) + g0 * (l * o - n * m)) / det as v
   from (select *, k * (n * q - o * o) - l * (l * q - o * m) + m * (l * o - n * m) as det from h{i}))""")
-    return ", ".join(parts) + f""" select 'intercept' as term, round(c, 3) as weight from b{steps}
-      union all select 'avg_rating', round(u, 3) from b{steps}
-      union all select 'num_movies', round(v, 3) from b{steps}"""
+    return ", ".join([*parts, f"""fitted as materialized (
+      select 'intercept' as term, round(c, 6) as weight from b{steps}
+      union all select 'avg_rating', round(u, 6) from b{steps}
+      union all select 'num_movies', round(v, 6) from b{steps})"""])
 
 
 def _hot(select: str) -> str:
@@ -899,7 +907,10 @@ def oracle_sql() -> dict[str, str]:
             select 'train', count(*) from train_r union all
             select 'test', count(*) from test_r""",
         "request_round_trip": f"with {_TEST} select feature_key from store",
-        "full_run": f"""with {_TEST}
+        "full_run": f"""with {_TEST}, examples as materialized (
+            select avg_rating as x, num_movies as z, target, cast(count(*) as double) as weight
+            from train_r join train_simple using (userId) where avg_rating is not null
+            group by all), {_newton()}, made as (
             select 'train_ratings' as name, count(*) as n from ratings where {_SPLIT} = 'train'
             union all select 'test_ratings', count(*) from ratings where {_SPLIT} = 'test'
             union all select 'train_rows', count(*) from train_r
@@ -909,7 +920,20 @@ def oracle_sql() -> dict[str, str]:
             union all select 'missing', 0
             union all select 'unscored', count(*) from
               (select distinct userId, target from test_r) join test_simple using (userId)
-              where avg_rating is null""",
+              where avg_rating is null),
+            checked as (select target, c + u * avg_rating + v * num_movies > 0 as said
+              from (select distinct userId, target from test_r) join test_simple using (userId), b14
+              where avg_rating is not null),
+            cells as (select count(*) filter (target = 1 and said) as tp,
+              count(*) filter (target = 0 and said) as fp, count(*) filter (target = 0 and not said) as tn,
+              count(*) filter (target = 1 and not said) as fn from checked)
+            select name, n, cast(null as double) as value from made
+            union all select 'accuracy', null, (tp + tn) / (tp + fp + tn + fn) from cells
+            union all select 'roc_auc', null, (tp / (tp + fn) + tn / (tn + fp)) / 2 from cells
+            union all select 'precision', null, tp / (tp + fp) from cells
+            union all select 'recall', null, tp / (tp + fn) from cells
+            union all select 'f1_score', null, 2 * tp / (2 * tp + fp + fn) from cells
+            union all select term, null, weight from fitted""",
         "score_requests_long_keys": f"with {_SCORED} {scored}",
         "latest_predictions_kafka_order": f"""with {_SCORED}, per as (
             select request_id, arg_max(feature_key, event_id) as feature_key,
@@ -963,5 +987,5 @@ def oracle_sql() -> dict[str, str]:
         "user_examples": f"with {_ALL} {weighted}",
         "train_logistic": f"""with {_ALL}, examples as materialized (
             select avg_rating as x, num_movies as z, target, weight from ({weighted})),
-            {_newton()}""",
+            {_newton()} select * from fitted""",
     }

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinefold.jobs.options import job_parser, job_session
-from cinefold.operators.training import model_inputs, model_params, skipped_rows, train_logistic
+from cinefold.operators.training import (
+    Optimality,
+    fit_logistic,
+    model_inputs,
+    model_params,
+    skipped_rows,
+)
 from cinefold.operators.validation import METRICS, confusion, metrics_of, validate, validation_pairs
 from cinefold.sources.registry import log_run, register_model
 from cinefold.sources.store import read_store
@@ -24,6 +30,7 @@ class TrainingResult:
     missing: int
     unscored: int
     skipped: int
+    reached: Optimality
 
 
 def train_and_register(train: DataFrame, test: DataFrame, store: DataFrame, model_dir: str,
@@ -32,13 +39,14 @@ def train_and_register(train: DataFrame, test: DataFrame, store: DataFrame, mode
 
     Both may be training tables or labelled ratings; the latter are read without any join.
 
-    Any failure is raised; a model is registered only after it was validated and logged.
+    Any failure is raised, a fit short of its minimum too; a model is registered only after it was
+    validated and logged. The run log holds the gradient at the fit beside the metrics.
     """
     spark = train.sparkSession
     run_id = run_id or uuid.uuid4().hex
     ratings = "avg_rating" not in train.columns
     skipped = skipped_rows(train) if ratings else train.filter("avg_rating IS NULL").count()
-    model = train_logistic(train if ratings else model_inputs(train))
+    model, reached = fit_logistic(train if ratings else model_inputs(train))
     checked = validate(model, validation_pairs(test), store)
     # One pass: the four confusion counts, and the pairs that could not be scored.
     absent = ~F.col("found")
@@ -50,9 +58,11 @@ def train_and_register(train: DataFrame, test: DataFrame, store: DataFrame, mode
         "missing", "unscored",
     ).first()
     metrics = {name: summary[name] for name in METRICS}
-    log_run(spark, run_dir, run_id, model_params(model) | {"skippedRows": str(skipped)}, metrics)
+    log_run(spark, run_dir, run_id, model_params(model) | {"skippedRows": str(skipped)},
+            metrics | reached.metrics())
     version = register_model(model, model_dir)
-    return TrainingResult(run_id, version, metrics, summary["missing"], summary["unscored"], skipped)
+    return TrainingResult(run_id, version, metrics, summary["missing"], summary["unscored"], skipped,
+                          reached)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -70,7 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     )
     print(f"run {result.run_id}: model version {result.model_version}, {result.metrics}, "
           f"{result.missing} pairs not in the store, {result.unscored} without inputs, "
-          f"{result.skipped} training rows skipped")
+          f"{result.skipped} training rows skipped, {result.reached}")
 
 
 if __name__ == "__main__":

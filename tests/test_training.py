@@ -7,7 +7,9 @@ from hypothesis import strategies as st
 from cinefold.functions.linear import LinearScorer, scorer_from
 from cinefold.jobs.training import train_and_register
 from cinefold.operators.training import (
+    NotConverged,
     assembler,
+    fit_logistic,
     model_inputs,
     model_params,
     train_logistic,
@@ -74,6 +76,21 @@ def test_coefficients_equal_a_newton_solve(training, examples, C):
     )
 
 
+def test_a_finished_fit_has_its_proof(training, examples):
+    model, reached = fit_logistic(training, C=0.5)
+    scorer = scorer_from(model)
+    here, best = np.array([scorer.intercept, *scorer.weights]), newton(examples, 0.5)
+    # The step that is left is the distance to the solution, and gradient and gap are small with it.
+    assert reached.newton_step == pytest.approx(np.abs(here - best).max(), rel=0.05, abs=1e-12)
+    assert 0 <= reached.loss_gap < 1e-9 and reached.gradient_norm < 1e-4
+
+
+@pytest.mark.parametrize("steps", [0, 1])
+def test_an_unfinished_fit_is_an_error(training, steps):
+    with pytest.raises(NotConverged):
+        fit_logistic(training, max_iter=steps)
+
+
 def test_weighted_examples_stand_for_all_rows(training, examples):
     weighted = weighted_examples(training)
     assert weighted.agg({"weight": "sum"}).first()[0] == len(examples)
@@ -181,4 +198,5 @@ def test_validate_skips_and_counts_what_is_missing(spark, training, work):
     assert (result.missing, result.unscored, result.model_version) == (1, 1, 1)
     assert set(result.metrics) == {"accuracy", "roc_auc", "precision", "recall", "f1_score"}
     logged = read_runs(spark, f"{work}/runs").first()
-    assert logged.metrics == result.metrics
+    assert logged.metrics == result.metrics | result.reached.metrics()
+    assert logged.metrics["gradient_norm"] < 1e-4
