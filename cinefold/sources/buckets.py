@@ -26,10 +26,10 @@ def bucket_of(key: Column, buckets: int) -> Column:
 
 
 def version_buckets(spark: SparkSession, root: str, version: int) -> dict:
-    """Of a version: `buckets`, their number, and `written`, the version that wrote each bucket that
+    """Of a `version`: `buckets`, their number, and `written`, the version that wrote each bucket that
     holds rows."""
     rows = spark.read.schema(_TABLE).parquet(version_path(root, version)).collect()
-    return {"buckets": rows[0]["buckets"],
+    return {"version": version, "buckets": rows[0]["buckets"],
             "written": {r["bucket"]: r["version"] for r in rows if r["version"] is not None}}
 
 
@@ -59,7 +59,8 @@ def dealt(rows: DataFrame, key: str, buckets: int) -> DataFrame:
 
 def write_buckets(rows: DataFrame, root: str, version: int, table: dict, touched: set[int],
                   key: str) -> None:
-    """Write the touched buckets whole, from rows with their bucket, and commit the version."""
+    """Write the touched buckets whole, from rows with their bucket, and commit the version as the
+    successor of the table's, which fails if that has another by now."""
     spark, root = rows.sparkSession, root.rstrip("/")
     # Bloom filters let a lookup of one key skip the row groups that lack it.
     rows.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy(
@@ -68,4 +69,4 @@ def write_buckets(rows: DataFrame, root: str, version: int, table: dict, touched
     entries = [(b, v, table["buckets"]) for b, v in sorted(written.items())]
     spark.createDataFrame(entries or [(None, None, table["buckets"])], _TABLE).coalesce(1).write.mode(
         "overwrite").parquet(version_path(root, version))
-    commit_version(spark, root, version)
+    commit_version(spark, root, version, table["version"])

@@ -147,7 +147,7 @@ def _kept(spark: SparkSession, out_dir: str) -> tuple[dict, int]:
     """The buckets of the newest compacted table and its last batch, -1 before the first one."""
     version = latest_version(spark, _latest(out_dir))
     if not version:
-        return {"buckets": BUCKETS, "written": {}}, -1
+        return {"version": 0, "buckets": BUCKETS, "written": {}}, -1
     # The version is the last batch and one, as batches count from 0 and versions from 1.
     return version_buckets(spark, _latest(out_dir), version), version - 1
 

@@ -23,7 +23,7 @@ from cinefold.sources.buckets import (
     version_buckets,
     write_buckets,
 )
-from cinefold.sources.versions import latest_version
+from cinefold.sources.versions import TRIES, VersionConflict, latest_version, reserve_version
 
 KEY = "feature_key"
 # Documents that a new store puts into a bucket.
@@ -96,22 +96,46 @@ def publish_features(df: DataFrame, store_dir: str, version: int | None = None,
     which saves the deduplication. A `writer` is run once per partition on the documents
     of this publish, for a store outside Spark; partitions may be run again. `buckets` is for the
     first publish; without it, their number follows from the documents.
+
+    Of two publishes at once none is lost: the later one merges its documents into the version of
+    the other and wins where both have a key. Only the merge is done again, from the written documents.
     """
     spark, root = df.sparkSession, store_dir.rstrip("/")
     newest = latest_version(spark, root)
-    version = version or newest + 1
-    if version <= newest:
+    if version and version <= newest:
         raise ValueError(f"version {version} is not above the published {newest}")
+    named, version = version, reserve_version(spark, root, newest, version)
     made = store_documents(store_columns(df) if unique_users else latest_user_rows(df))
     # Written once, so that the buckets and the writer get the same documents from one pass.
     delta = f"{root}/deltas/v={version}"
     made.write.mode("overwrite").parquet(delta)
     documents = spark.read.schema(SNAPSHOT).parquet(delta)
+    for _ in range(TRIES):
+        newest = latest_version(spark, root)
+        if version <= newest:
+            if named:
+                raise VersionConflict(f"version {newest} was published before {named} was ready")
+            version = reserve_version(spark, root, newest)
+        try:
+            _merge_into(spark, root, newest, documents, version, buckets)
+            break
+        except VersionConflict:
+            continue
+    else:
+        raise VersionConflict(f"{TRIES} other publishes to {root} came first")
+    if writer is not None:
+        documents.foreachPartition(writer)
+    return version
+
+
+def _merge_into(spark: SparkSession, root: str, newest: int, documents: DataFrame, version: int,
+                buckets: int | None) -> None:
+    """Commit a version that holds the documents and, of the newest, all others."""
     if newest:
         table = bucket_table(spark, root, newest)
     else:
-        table = {"buckets": buckets or min(MAX_BUCKETS, max(
-            MIN_BUCKETS, -(-documents.count() // BUCKET_DOCUMENTS))), "written": {}}
+        table = {"version": 0, "written": {}, "buckets": buckets or min(MAX_BUCKETS, max(
+            MIN_BUCKETS, -(-documents.count() // BUCKET_DOCUMENTS)))}
     touched = key_buckets(documents, table["buckets"], KEY)
     merged = new = dealt(documents, KEY, table["buckets"])
     if touched & table["written"].keys():
@@ -120,6 +144,3 @@ def publish_features(df: DataFrame, store_dir: str, version: int | None = None,
         kept = old.join(new.select("bucket", KEY), ["bucket", KEY], "left_anti")
         merged = kept.unionByName(new)
     write_buckets(merged, root, version, table, touched, KEY)
-    if writer is not None:
-        documents.foreachPartition(writer)
-    return version

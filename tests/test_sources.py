@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from support import MOVIE_ROWS, rows
 
@@ -5,7 +7,14 @@ from cinefold.operators.reports import describe_table, table_counts
 from cinefold.schemas import MOVIES, RATINGS
 from cinefold.session import object_store_conf, scratch_path, session, shared_dir, sizing_conf
 from cinefold.sources import tables
-from cinefold.sources.versions import commit_version, latest_version
+from cinefold.sources import versions
+from cinefold.sources.versions import (
+    VersionConflict,
+    commit_version,
+    latest_version,
+    put_if_absent,
+    reserve_version,
+)
 
 
 def test_ratings_csv(spark, work):
@@ -98,6 +107,47 @@ def test_versions_appear_when_committed(spark, work):
     assert latest_version(spark, work) == 2
 
 
+def test_a_version_has_one_successor(spark, work):
+    commit_version(spark, work, 4, base=0)
+    with pytest.raises(VersionConflict):
+        commit_version(spark, work, 5, base=0)
+    with pytest.raises(ValueError):
+        commit_version(spark, work, 4, base=4)
+    commit_version(spark, work, 5, base=4)
+    assert latest_version(spark, work) == 5
+
+
+def test_one_of_many_writers_creates_a_file(spark, work):
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda k: put_if_absent(spark, f"{work}/a/f", str(k)), range(40)))
+    assert made.count(True) == 1
+    with open(f"{work}/a/f") as file:
+        assert file.read() == str(made.index(True))
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: reserve_version(spark, work, 2), range(12)))
+    assert sorted(numbers) == list(range(3, 15))
+    with pytest.raises(VersionConflict):
+        reserve_version(spark, work, 2, 7)
+
+
+@pytest.mark.parametrize("way", ["_rename", "_create"])
+def test_the_ways_of_other_file_systems(spark, work, way, monkeypatch):
+    """Run on local files, where they are not atomic; what they create and refuse is the same."""
+    def put(path, text):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            getattr(versions, way)(spark, files, target, text)
+        except Exception as error:
+            assert "FileAlreadyExists" in str(error) and files.exists(target)
+            return False
+        return True
+
+    assert put(f"{work}/versions/0.json", '{"version": 3}')
+    assert not put(f"{work}/versions/0.json", '{"version": 4}')
+    assert latest_version(spark, work) == 3
+
+
 def test_reports(spark, raw_ratings, raw_movies):
     counts = table_counts({"ratings": raw_ratings, "movies": raw_movies})
     assert rows(counts) == [("movies", len(MOVIE_ROWS)), ("ratings", 10)]

@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ from cinefold.operators.lookup import (
     split_hits,
 )
 from cinefold.plans.broadcast import BROADCAST_LIMIT_BYTES
+from cinefold.sources import store as store_module
 from cinefold.sources.buckets import key_buckets
 from cinefold.sources.store import (
     bucket_table,
@@ -93,6 +95,38 @@ def test_versions_only_grow(features, work):
         publish_features(features, work, version=3, unique_users=True)
 
 
+def test_a_publish_that_another_overtakes_merges_into_it(features, work, spark, monkeypatch):
+    plain, overtaken = store_module.write_buckets, []
+
+    def write(*args):
+        if not overtaken:
+            overtaken.append(None)
+            theirs = features.filter("userId IN (2, 3)").withColumn("num_movies", F.lit(50).cast("bigint"))
+            overtaken.append(publish_features(theirs, work, unique_users=True))
+        plain(*args)
+
+    publish_features(features.filter("userId = 1"), work, unique_users=True)
+    monkeypatch.setattr(store_module, "write_buckets", write)
+    mine = features.filter("userId IN (3, 5)").withColumn("num_movies", F.lit(70).cast("bigint"))
+    last = publish_features(mine, work, unique_users=True)
+    assert last > overtaken[1] > 1
+    numbers = {k: d["num_movies"] for k, d in documents(read_store(spark, work)).items()}
+    assert numbers == {"1": 4, "2": 50, "3": 70, "5": 70}
+    before = documents(read_store(spark, work, overtaken[1]))
+    assert {k: d["num_movies"] for k, d in before.items()} == {"1": 4, "2": 50, "3": 50}
+
+
+def test_publishes_at_once_lose_nothing(spark, features, work):
+    many = features.filter("userId = 1").drop("userId").crossJoin(
+        spark.range(40).withColumnRenamed("id", "userId"))
+    with ThreadPoolExecutor(3) as pool:
+        made = list(pool.map(
+            lambda k: publish_features(many.filter(F.col("userId") % 3 == k), work, unique_users=True),
+            range(3)))
+    assert len(set(made)) == 3
+    assert rows(feature_keys(read_store(spark, work))) == sorted((str(k),) for k in range(40))
+
+
 def files(root):
     return {str(p.relative_to(root)) for p in Path(root).rglob("part-*.parquet")}
 
