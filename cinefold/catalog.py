@@ -8,13 +8,21 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
+import sys
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import redirect_stdout
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinefold.functions.linear import FEATURES, LinearScorer, scorer_from
+from cinefold.jobs import features as features_job
+from cinefold.jobs import publish as publish_job
+from cinefold.jobs import score as score_job
+from cinefold.jobs import split as split_job
+from cinefold.jobs import training as training_job
 from cinefold.jobs.chain import ChainConfig, run_pipeline
 from cinefold.operators import documents as D
 from cinefold.operators import features as U
@@ -25,7 +33,7 @@ from cinefold.operators import scoring as S
 from cinefold.operators import training as T
 from cinefold.operators import validation as V
 from cinefold.schemas import RATINGS
-from cinefold.session import cut_lineage, scratch_path
+from cinefold.session import DEFAULTS, cut_lineage, scratch_path
 from cinefold.sources import sample_views as views
 from cinefold.sources.predictions import (
     compact_predictions,
@@ -310,6 +318,16 @@ def store_bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_document(D.parse_documents(read_store(spark, root)))
 
 
+def store_two_publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two publishes at once, of even and of odd users: the later merges into the other's version."""
+    root = scratch_path(spark, "store")
+    features = cut_lineage(U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir)))
+    parts = [features.filter(F.col("userId") % 2 == k) for k in (0, 1)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda part: publish_features(part, root, unique_users=True), parts))
+    return _flat_document(D.parse_documents(read_store(spark, root)))
+
+
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).filter("found").select("userId", "target", "prediction")
 
@@ -529,18 +547,21 @@ def model_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that a writer outside Spark was given, read back from its files."""
+    """Documents that a writer outside Spark was given, read back from its files and parsed."""
     root = scratch_path(spark, "store")
     folder = f"{root}/written".removeprefix("file://")
 
     def write(rows) -> None:
         os.makedirs(folder, exist_ok=True)
-        with open(f"{folder}/{uuid.uuid4().hex}.json", "w") as file:
-            file.writelines(json.dumps({"feature_key": r.feature_key}) + "\n" for r in rows)
+        # Named by partition, so that a task that runs again replaces what it wrote.
+        with open(f"{folder}/{TaskContext.get().partitionId()}.json", "w") as file:
+            file.writelines(json.dumps({"feature_key": r.feature_key, "document": r.document}) + "\n"
+                            for r in rows)
 
     features = U.user_features(_split(spark, sf_dir, "test"), _movies(spark, sf_dir))
     publish_features(features, root, unique_users=True, writer=write)
-    return spark.read.schema("feature_key string").json(folder)
+    return _flat_document(D.parse_documents(
+        spark.read.schema("feature_key string, document string").json(folder)))
 
 
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,12 +613,62 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = [("model_version", result.model_version), ("missing", result.missing),
             ("unscored", result.unscored)]
     counted = made.unionByName(spark.createDataFrame(ends, "name string, n bigint"))
-    logged = read_runs(spark, f"{root}/out/runs").select(F.explode("metrics").alias("name", "value"))
-    model = scorer_from(load_latest_model(f"{root}/out/models"))
+    return counted.unionByName(_trained(spark, f"{root}/out/runs", f"{root}/out/models"),
+                               allowMissingColumns=True)
+
+
+def _trained(spark: SparkSession, runs: str, models: str) -> DataFrame:
+    """The logged metrics and the coefficients of the newest model."""
+    logged = read_runs(spark, runs).select(F.explode("metrics").alias("name", "value"))
+    model = scorer_from(load_latest_model(models))
     terms = zip(("intercept", *FEATURES), (model.intercept, *model.weights), strict=True)
     fitted = spark.createDataFrame([(name, round(w, 6)) for name, w in terms], "name string, value double")
-    values = logged.filter(F.col("name").isin(*V.METRICS)).unionByName(fitted)
-    return counted.unionByName(values, allowMissingColumns=True)
+    return logged.filter(F.col("name").isin(*V.METRICS)).unionByName(fitted)
+
+
+def job_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job through its own command line, and a request for each published user; the rows that
+    each of them made, the metrics and the coefficients."""
+    root = scratch_path(spark, "jobs")
+    settings = {key: spark.conf.get(key) for key in DEFAULTS}
+    try:
+        with redirect_stdout(sys.stderr):
+            _run_jobs(spark, sf_dir, root)
+    finally:
+        # A job sets up its own session, which here is the caller's.
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+    answered = read_predictions(spark, f"{root}/out")
+    return R.table_counts({
+        "train_ratings": read_ratings(spark, f"{root}/s/split=train"),
+        "test_ratings": read_ratings(spark, f"{root}/s/split=test"),
+        "train_rows": read_features(spark, f"{root}/f/train/training"),
+        "test_rows": read_features(spark, f"{root}/f/test/training"),
+        "published": read_store(spark, f"{root}/store"),
+        "runs": read_runs(spark, f"{root}/runs"),
+        "scored": answered,
+        "scored_positive": answered.filter("prediction = 1"),
+    }).unionByName(_trained(spark, f"{root}/runs", f"{root}/models"), allowMissingColumns=True)
+
+
+def _run_jobs(spark: SparkSession, sf_dir: str, root: str) -> None:
+    write_features(views.sample_ratings(spark, sf_dir), f"{root}/ratings")
+    write_features(views.sample_movies(spark, sf_dir), f"{root}/movies")
+    split_job.main(["--input_path", f"{root}/ratings", "--format", "parquet", "--output_path", f"{root}/s"])
+    for name in ("train", "test"):
+        features_job.main(["--input_path", f"{root}/s/split={name}", "--movies_path", f"{root}/movies",
+                           "--movies_format", "parquet", "--output_path", f"{root}/f/{name}"])
+    publish_job.main(["--input_path", f"{root}/f/test/user_features", "--store_path", f"{root}/store",
+                      "--unique_users"])
+    training_job.main([
+        "--train_path", f"{root}/f/train/training", "--test_path", f"{root}/f/test/training",
+        "--store_path", f"{root}/store", "--model_path", f"{root}/models", "--run_path", f"{root}/runs"])
+    keys = D.feature_keys(read_store(spark, f"{root}/store"))
+    write_requests(S.make_requests(keys), "text", {"path": f"{root}/in"})
+    score_job.main([
+        "--format", "text", "--option", f"path={root}/in", "--store_path", f"{root}/store",
+        "--model_path", f"{root}/models", "--output_path", f"{root}/out",
+        "--checkpoint", f"{root}/checkpoint", "--available_now"])
 
 
 def request_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -649,6 +720,7 @@ def queries() -> dict[str, Query]:
         "store_lookup_published": store_lookup_published,
         "store_lookup_rounds": store_lookup_rounds,
         "store_bucket_upsert": store_bucket_upsert,
+        "store_two_publishers": store_two_publishers,
         "store_missing": lambda s, d: L.missing_keys(_pairs(s, d), _store(s, d)),
         "validation_pairs": _pairs,
         "score_pairs": score_pairs,
@@ -668,6 +740,7 @@ def queries() -> dict[str, Query]:
         "user_examples": user_examples,
         "train_logistic": train_logistic,
         "full_run": full_run,
+        "job_chain": job_chain,
         "request_round_trip": request_round_trip,
         "score_requests_long_keys": score_requests_long_keys,
         "latest_predictions_kafka_order": latest_predictions_kafka_order,
@@ -825,6 +898,29 @@ def oracle_sql() -> dict[str, str]:
     document = """select cast(userId as varchar) as feature_key, userId as user_id, avg_rating,
                          num_movies, last_interaction_ts, movie_ids,
                          coalesce(genre_counts, '') as genre_counts"""
+    run = f"""with {_TEST}, examples as materialized (
+        select avg_rating as x, num_movies as z, target, cast(count(*) as double) as weight
+        from train_r join train_simple using (userId) where avg_rating is not null
+        group by all), {_newton()}, made as (
+        select 'train_ratings' as name, count(*) as n from ratings where {_SPLIT} = 'train'
+        union all select 'test_ratings', count(*) from ratings where {_SPLIT} = 'test'
+        union all select 'train_rows', count(*) from train_r
+        union all select 'test_rows', count(*) from test_r
+        union all select 'published', count(*) from store
+        union all select 'runs', 1),
+        checked as (select target, c + u * avg_rating + v * num_movies > 0 as said
+          from (select distinct userId, target from test_r) join test_simple using (userId), b14
+          where avg_rating is not null),
+        cells as (select count(*) filter (target = 1 and said) as tp,
+          count(*) filter (target = 0 and said) as fp, count(*) filter (target = 0 and not said) as tn,
+          count(*) filter (target = 1 and not said) as fn from checked)
+        select name, n, cast(null as double) as value from made
+        union all select 'accuracy', null, (tp + tn) / (tp + fp + tn + fn) from cells
+        union all select 'roc_auc', null, (tp / (tp + fn) + tn / (tn + fp)) / 2 from cells
+        union all select 'precision', null, tp / (tp + fp) from cells
+        union all select 'recall', null, tp / (tp + fn) from cells
+        union all select 'f1_score', null, 2 * tp / (2 * tp + fp + fn) from cells
+        union all select term, null, weight from fitted"""
     return {
         "ratings_scan": ratings,
         "movies_scan": movies,
@@ -878,6 +974,7 @@ def oracle_sql() -> dict[str, str]:
             select * from few union all
             select * from all_feats where userId not in (select userId from few))
             {document} from merged""",
+        "store_two_publishers": f"with {_TEST} {document} from test_feats",
         "store_missing": f"""with {_VALIDATED} select userId, target from pairs
                              where cast(userId as varchar) not in (select feature_key from store)""",
         "validation_pairs": f"with {_VALIDATED} select * from pairs",
@@ -907,33 +1004,16 @@ def oracle_sql() -> dict[str, str]:
             select 'train', count(*) from train_r union all
             select 'test', count(*) from test_r""",
         "request_round_trip": f"with {_TEST} select feature_key from store",
-        "full_run": f"""with {_TEST}, examples as materialized (
-            select avg_rating as x, num_movies as z, target, cast(count(*) as double) as weight
-            from train_r join train_simple using (userId) where avg_rating is not null
-            group by all), {_newton()}, made as (
-            select 'train_ratings' as name, count(*) as n from ratings where {_SPLIT} = 'train'
-            union all select 'test_ratings', count(*) from ratings where {_SPLIT} = 'test'
-            union all select 'train_rows', count(*) from train_r
-            union all select 'test_rows', count(*) from test_r
-            union all select 'published', count(*) from store
-            union all select 'runs', 1 union all select 'model_version', 1
-            union all select 'missing', 0
-            union all select 'unscored', count(*) from
+        "full_run": f"""{run}
+            union all select 'missing', 0, null
+            union all select 'model_version', 1, null
+            union all select 'unscored', count(*), null from
               (select distinct userId, target from test_r) join test_simple using (userId)
-              where avg_rating is null),
-            checked as (select target, c + u * avg_rating + v * num_movies > 0 as said
-              from (select distinct userId, target from test_r) join test_simple using (userId), b14
-              where avg_rating is not null),
-            cells as (select count(*) filter (target = 1 and said) as tp,
-              count(*) filter (target = 0 and said) as fp, count(*) filter (target = 0 and not said) as tn,
-              count(*) filter (target = 1 and not said) as fn from checked)
-            select name, n, cast(null as double) as value from made
-            union all select 'accuracy', null, (tp + tn) / (tp + fp + tn + fn) from cells
-            union all select 'roc_auc', null, (tp / (tp + fn) + tn / (tn + fp)) / 2 from cells
-            union all select 'precision', null, tp / (tp + fp) from cells
-            union all select 'recall', null, tp / (tp + fn) from cells
-            union all select 'f1_score', null, 2 * tp / (2 * tp + fp + fn) from cells
-            union all select term, null, weight from fitted""",
+              where avg_rating is null""",
+        "job_chain": f"""{run}
+            union all select 'scored', count(*), null from test_simple where avg_rating is not null
+            union all select 'scored_positive', count(*), null from test_simple, b14
+              where c + u * avg_rating + v * num_movies > 0""",
         "score_requests_long_keys": f"with {_SCORED} {scored}",
         "latest_predictions_kafka_order": f"""with {_SCORED}, per as (
             select request_id, arg_max(feature_key, event_id) as feature_key,
@@ -982,7 +1062,7 @@ def oracle_sql() -> dict[str, str]:
             as t(name, value)""",
         "model_reload": f"""with {_VALIDATED} select count(*) as pairs, count(*) as equal
             from checked""",
-        "store_writer": f"with {_TEST} select feature_key from store",
+        "store_writer": f"with {_TEST} {document} from test_feats",
         "weighted_examples": f"with {_ALL} {weighted}",
         "user_examples": f"with {_ALL} {weighted}",
         "train_logistic": f"""with {_ALL}, examples as materialized (
