@@ -6,7 +6,17 @@ sample, and rules are ordered by rejections per cost. Over the whole table a tex
 cascade at the first rule that rejects it, so dear measures are taken only of what is left. The
 verdict does not depend on the order.
 
-Null texts have no words. Rows keep their ids as they are, null or repeated ones too.
+The toxic rule is learnt from a table of labels. A word counts by its stems, its first six and its
+first eight code points (shorter words whole). A stem is marked if it stands in enough of the toxic
+texts and in few of the others; a text is rejected if at least two of its words, and one word in
+500, have a marked stem. The stems are counted on the texts of at most `LABELLED` labelled ids,
+those with the smallest md5, so the rule is the same on every run and a table of any size is
+learnt from that many ids; this costs one more scan of ids and texts. Without labels, or where too
+few are toxic to mark a stem, the rule rejects nothing.
+
+Null texts have no words. Rows keep their ids as they are, null or repeated ones too. Labels without
+id or verdict are left out, of several for an id the highest counts, and texts with the same id
+count as one in learning. On an empty table the result is empty.
 """
 
 from __future__ import annotations
@@ -18,18 +28,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinefold.llm.tables import documents, read
-from cinefold.llm.words import NOT_ALNUM, Words, blocks, hash_bytes, mix, text_bytes
+from cinefold.llm.tables import documents, read, stored
+from cinefold.llm.words import NOT_ALNUM, Words, blocks, mix, text_bytes
 
 WINDOW = 8
-SAMPLE_ROWS = 2_000
+# The sample that orders the rules: so many texts, none longer than so many bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 1 << 15
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
-# Insults.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash",
-           "worthless")
+# The toxic rule: ids to learn from, code points of a stem, and when a stem is marked: in at least
+# MARKED_TEXTS toxic texts and one in MARKED_PART of them, and MARKED_RATIO times as many as others.
+LABELLED = 20_000
+STEMS = (6, 8)
+MARKED_TEXTS, MARKED_PART, MARKED_RATIO = 8, 50, 8
+# A text is toxic from so many words with a marked stem on, if they are one in TOXIC_PART.
+TOXIC_WORDS, TOXIC_PART = 2, 500
 
 
 class Block:
@@ -116,12 +132,13 @@ def n_distinct(block: Block) -> np.ndarray:
     return np.bincount(w.text[firsts], minlength=len(block.texts))
 
 
-_INSULT_HASHES = np.sort(np.array([hash_bytes(x.encode()) for x in INSULTS], np.uint64))
-
-
-def n_insults(block: Block) -> np.ndarray:
-    w = Words(block.texts, NOT_ALNUM, lower=True)
-    return np.bincount(w.text[np.isin(w.hashes, _INSULT_HASHES)], minlength=len(block.texts))
+def stems(w: Words) -> list[np.ndarray]:
+    """For each length in STEMS, the hash of every word's first so many code points."""
+    begins = np.flatnonzero((w.data & 0xC0) != 0x80)
+    at = np.searchsorted(begins, w.starts)
+    begins = np.append(begins, len(w.data))
+    return [w.span_hashes(np.minimum(w.ends, begins[np.minimum(at + n, len(begins) - 1)]))
+            for n in STEMS]
 
 
 MEASURES: dict[str, Callable[[Block], np.ndarray]] = {
@@ -132,7 +149,6 @@ MEASURES: dict[str, Callable[[Block], np.ndarray]] = {
     "n_dup_lines": n_dup_lines,
     "n_repeat_words": n_repeat_words,
     "n_distinct": n_distinct,
-    "n_insults": n_insults,
 }
 
 
@@ -148,6 +164,22 @@ class Rule:
         return self.rejects(*(block.measure(n) for n in self.needs))
 
 
+@dataclass(frozen=True)
+class ToxicRule:
+    """Rejects texts with enough words that have one of the `marked` stems, given by hash."""
+
+    marked: np.ndarray
+    name: str = "toxic"
+
+    def apply(self, block: Block) -> np.ndarray:
+        w = Words(block.texts, NOT_ALNUM, lower=True)
+        if not len(w):
+            return np.zeros(len(block.texts), bool)
+        hit = np.logical_or.reduce([np.isin(h, self.marked) for h in stems(w)])
+        hits = np.bincount(w.text[hit], minlength=len(block.texts))
+        return (hits >= TOXIC_WORDS) & (TOXIC_PART * hits >= w.counts)
+
+
 BASE = (
     Rule("few_words", ("n_words",), lambda n: n < 20),
     Rule("repeats", ("n_words", "n_repeat_words"), lambda n, r: 100 * r > 30 * n),
@@ -158,12 +190,50 @@ RULES = (
     Rule("word_length", ("n_words", "word_chars"), lambda n, c: (c < 3 * n) | (c > 10 * n)),
     Rule("equal_lines", ("n_lines", "n_dup_lines"), lambda n, d: 100 * d > 40 * n),
     Rule("few_distinct", ("n_words", "n_distinct"), lambda n, d: 100 * d < 20 * n),
-    # Two insults, or one in at most 500 words.
-    Rule("insults", ("n_words", "n_insults"), lambda n, s: (s >= 2) | ((s == 1) & (n <= 500))),
 )
 CONTRACT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def toxic_rule(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ToxicRule:
+    """The rule that `labels` (doc_id, toxic 0 or 1) teach on the texts of `docs`.
+
+    Stems are counted by Spark. At most MARKED_PART times the stems of a toxic text, on average,
+    can be marked, and only their hashes come to the driver.
+    """
+    judged = labels.select(labels["doc_id"].cast("bigint").alias("id"),
+                           labels["toxic"].cast("int").alias("toxic")).dropna()
+    judged = stored(judged.groupBy("id").agg(F.max("toxic").alias("toxic"))
+                    .orderBy(F.md5(F.col("id").cast("string")), "id").limit(labelled), "judged")
+    total = judged.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            w = Words(batch.column("text"), NOT_ALNUM, lower=True)
+            hashes = stems(w)
+            for text, (id_, toxic) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "toxic")))):
+                low, high = w.first[text], w.first[text + 1]
+                found = np.unique(np.concatenate([h[low:high] for h in hashes])) if high > low else ()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), id_, np.int64)),
+                     pa.array(np.full(len(found), toxic, np.int32)),
+                     pa.array(np.asarray(found, np.uint64).view(np.int64))], names=["id", "toxic", "stem"])
+
+    texts = documents(docs).join(F.broadcast(judged), F.col("doc_id") == F.col("id"))
+    rows = texts.select("id", "toxic", "text").mapInArrow(run, "id bigint, toxic int, stem bigint")
+    counts = rows.distinct().groupBy("stem").agg(
+        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    marked = counts.filter(
+        (F.col("bad") >= MARKED_TEXTS) & (MARKED_PART * F.col("bad") >= total)
+        & (F.col("bad") >= MARKED_RATIO * F.col("good"))).select("stem").toArrow()
+    found = np.asarray(marked.column("stem").combine_chunks(), np.int64)
+    return ToxicRule(np.sort(found.view(np.uint64)))
+
+
+def learnt(docs: DataFrame, labels: DataFrame) -> list[Rule | ToxicRule]:
+    """RULES and the toxic rule, in the order that `plan` finds."""
+    return plan(docs, [*RULES, toxic_rule(docs, labels)])
+
+
 def cascade(block: Block, rules: Sequence[Rule]) -> np.ndarray:
     """True for the texts that no rule rejects; each rule sees only what is left before it."""
     kept = np.zeros(len(block.texts), bool)
@@ -179,9 +249,10 @@ def cascade(block: Block, rules: Sequence[Rule]) -> np.ndarray:
 
 def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS,
          fraction: float = 0.05, seed: int = 7) -> list[Rule]:
-    """The rules, most rejections per second first, as a sample of at most `sample_rows` texts
-    shows them. On an empty sample they keep the order given."""
-    sample = docs.select("text").sample(fraction=fraction, seed=seed).limit(sample_rows)
+    """The rules, most rejections per second first, as a sample of at most `sample_rows` texts of
+    SAMPLE_BYTES at most shows them. On an empty sample they keep the order given."""
+    sample = docs.select("text").sample(fraction=fraction, seed=seed).filter(
+        F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).limit(sample_rows)
     texts = sample.toArrow().column("text").combine_chunks()
     return order(Block(texts), rules)
 
@@ -236,18 +307,27 @@ def assess(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return assess(docs, learnt(docs, read(spark, sf_dir, "labels")))
 
 
 _WORD = r"[^\x20\x09-\x0D]"
 _NOT_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_INSULT_LIST = ", ".join(f"'{x}'" for x in INSULTS)
 ORACLE_SQL = f"""
 WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row, doc_id, text, regexp_extract_all(text, '{_WORD}+') AS ws,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls,
-             len(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-               'abcdefghijklmnopqrstuvwxyz'), '{_NOT_ALNUM}'), lambda x: x IN ({_INSULT_LIST}))) AS bad FROM t),
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '{_NOT_ALNUM}') AS lower FROM t),
+judged AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL
+           GROUP BY doc_id ORDER BY md5(cast(doc_id AS varchar)), doc_id LIMIT {LABELLED}),
+stems AS (SELECT row, doc_id, i, left(lower[i], n) AS stem
+          FROM w, unnest(range(1, len(lower) + 1)) AS u(i), (VALUES ({STEMS[0]}), ({STEMS[1]})) AS v(n)),
+marked AS (SELECT stem FROM (SELECT DISTINCT doc_id, stem, toxic FROM stems JOIN judged USING (doc_id))
+           GROUP BY stem HAVING sum(toxic) >= {MARKED_TEXTS}
+           AND {MARKED_PART} * sum(toxic) >= (SELECT sum(toxic) FROM judged)
+           AND sum(toxic) >= {MARKED_RATIO} * (count(*) - sum(toxic))),
+hits AS (SELECT row, count(DISTINCT i) AS hits FROM stems JOIN marked USING (stem) GROUP BY row),
 runs AS (SELECT row, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) AS run
          FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) AS u(i)),
 again AS (SELECT row, run FROM runs GROUP BY row, run HAVING count(*) > 1),
@@ -257,13 +337,15 @@ m AS (SELECT w.row, doc_id, len(ws) AS n_words,
              coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-             coalesce(n, 0) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct, bad
-      FROM w LEFT JOIN covered USING (row)),
+             coalesce(n, 0) AS n_repeat_words, len(list_distinct(ws)) AS n_distinct,
+             coalesce(hits, 0) AS hits, len(lower) AS n_lower
+      FROM w LEFT JOIN covered USING (row) LEFT JOIN hits USING (row)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, cast(word_chars AS bigint) AS word_chars, n_symbols, n_dup_lines,
        n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words
             OR word_chars > 10 * n_words OR 100 * n_dup_lines > 40 * n_lines
-            OR 100 * n_distinct < 20 * n_words OR bad >= 2 OR (bad = 1 AND n_words <= 500)) AS kept
+            OR 100 * n_distinct < 20 * n_words 
+            OR (hits >= {TOXIC_WORDS} AND {TOXIC_PART} * hits >= n_lower)) AS kept
 FROM b
 """

@@ -90,10 +90,14 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-            self._hashes = _hash_spans(padded, self.starts, self.ends)
+            self._hashes = self.span_hashes(self.ends)
         return self._hashes
 
+    def span_hashes(self, ends: np.ndarray) -> np.ndarray:
+        """Hashes of what each word holds up to `ends`."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return _hash_spans(padded, self.starts, ends)
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 

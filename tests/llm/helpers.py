@@ -56,6 +56,28 @@ def quality(text):
             len(w) < 20 or 100 * len(covered) > 30 * len(w))
 
 
+def toxic(rows, labels):
+    """Ids of the rows (id, text) that the words of labelled texts tell to be toxic."""
+    def lower(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+    verdict = {}
+    for i, v in labels:
+        if i is not None and v is not None:
+            verdict[i] = max(v, verdict.get(i, 0))
+    learnt = {i: set() for i in verdict}
+    for i, t in rows:
+        if i in learnt:
+            learnt[i] |= {w[:n] for w in lower(t) for n in (6, 8)}
+    bad = Counter(s for i, found in learnt.items() if verdict[i] for s in found)
+    good = Counter(s for i, found in learnt.items() if not verdict[i] for s in found)
+    marked = {s for s, n in bad.items()
+              if n >= 8 and 50 * n >= sum(verdict.values()) and n >= 8 * good[s]}
+    hits = [(i, lower(t)) for i, t in rows]
+    hits = [(i, w, sum(x[:6] in marked or x[:8] in marked for x in w)) for i, w in hits]
+    return {i for i, w, n in hits if n >= 2 and 500 * n >= len(w)}
+
+
 def shingles(text):
     w = words((text or "").translate(LOWER))
     return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])

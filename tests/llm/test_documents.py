@@ -10,6 +10,7 @@ from helpers import (
     near_duplicates,
     odd_documents,
     quality as plain_quality,
+    toxic,
     words,
     without_repeats,
 )
@@ -25,7 +26,52 @@ def test_quality_measures(odd, odd_texts):
         assert plain_quality(odd_texts[r.doc_id]) == (
             r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
         assert not (r.kept and r.base_failed)
-    assert {r.doc_id for r in rows if not r.kept and not r.base_failed} == {19}
+    assert {r.doc_id for r in rows if not r.kept and not r.base_failed} == set()
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Texts in several scripts with their labels: ids up to 19 are toxic, most others not."""
+    rude = ["gr\u00e4\u00dflich%d", "odious%d", "\u65e5\u672c\u8a9e\u306e\u60aa\u53e3%d"]
+    rows = []
+    for i in range(60):
+        plain = [f"word{(i * 7 + j * j) % 97}" for j in range(40 + i)]
+        if i < 20:
+            for k, w in enumerate(rude):
+                plain[5 + 3 * k] = w % (i * 10 + k)
+        rows.append((i, " ".join(plain)))
+    rows += [
+        (60, "Odious1 " + " ".join(f"fair{j}" for j in range(40))),                         # one word only
+        (61, "ODIOUS1, (odious2) " + " ".join(f"fair{j}" for j in range(1200))),             # two of more than 1000 words
+        (62, "odious3 odious4 " + "well said " * 20), (63, None), (64, ""), (None, "odious5 odious6 too"),
+        (3, rows[3][1]), (3, rows[3][1]), (65, "odious7 " * 3 + "x " * 40),
+    ]
+    labels = [(i, int(i < 20), "x") for i in range(50)] + [
+        (63, 1, "x"), (64, 0, "x"), (None, 1, "x"), (7, None, "x"), (7, 0, "x"), (65, 0, "x"), (999, 1, "x")]
+    return (rows, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), labels,
+            spark.createDataFrame(labels, "doc_id bigint, toxic int, text string"))
+
+
+def test_toxic_words_are_learnt(judged, nobody):
+    rows, docs, labels, table = judged
+    want = toxic(rows, [x[:2] for x in labels])
+    assert {*range(20), 62, None, 65} == want
+    rule = quality.toxic_rule(docs, table)
+    found = rule.apply(quality.Block(pa.array([t for _, t in rows])))
+    assert {i for (i, _), bad in zip(rows, found) if bad} == want
+    kept = quality.assess(docs, [*quality.BASE, rule]).filter("kept").collect()
+    assert not want & {r.doc_id for r in kept} and {30, 60, 61} <= {r.doc_id for r in kept}
+    rules = quality.learnt(docs, table)
+    assert {r.name for r in rules} == {r.name for r in quality.RULES} | {"toxic"}
+    for few in (quality.toxic_rule(docs, table.limit(0)), quality.toxic_rule(nobody, table),
+                quality.toxic_rule(docs, table.filter("doc_id > 14"))):
+        assert not few.apply(quality.Block(pa.array([t for _, t in rows]))).any()
+
+
+def test_toxic_words_are_learnt_from_a_bounded_sample(judged):
+    _, docs, _, table = judged
+    assert len(quality.toxic_rule(docs, table, labelled=6).marked) == 0
+    assert len(quality.toxic_rule(docs, table).marked) > 0
 
 
 def test_quality_order_does_not_matter(odd):

@@ -15,6 +15,8 @@ def folder(odd, tmp_path_factory):
     # Rows that share an id are one document; a mix of copies of one row is told in its own test.
     odd.dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(
         f"{path}/documents.parquet")
+    odd.sparkSession.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{path}/labels.parquet")
     return path
 
 
