@@ -16,8 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects, as they are."""
-    return quality.filter_documents(docs)
+    """Documents that no quality rule rejects, as they are; the toxic rule is learnt from `labels`."""
+    return quality.filter_documents(docs, quality.learnt(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
