@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinefold.jobs.options import job_parser, job_session
+from cinefold.jobs.stages import side_by_side
 from cinefold.operators.features import rating_counts, training_table, user_features
 from cinefold.operators.prepare import clean_movies, clean_ratings
 from cinefold.sources.tables import (
@@ -37,20 +40,32 @@ def build_features(ratings: DataFrame, movies: DataFrame, out_dir: str,
 
 def build_split_features(ratings: DataFrame, movies: DataFrame, out_dir: str,
                          wide: bool = False) -> dict[str, dict[str, str]]:
-    """The same for all parts of a `split` column, whose features come from one pass over the
-    ratings; the paths by part."""
-    spark, out_dir = ratings.sparkSession, out_dir.rstrip("/")
-    ratings = clean_ratings(ratings)
-    write_splits(user_features(ratings, clean_movies(movies), by=("split", "userId")),
-                 f"{out_dir}/user_features")
-    paths = {}
-    for name in SPLITS:
-        paths[name] = {table: f"{out_dir}/{table}/split={name}" for table in ("user_features", "training")}
-        features = read_features(spark, paths[name]["user_features"])
-        part = ratings.filter(F.col("split") == name).drop("split")
-        training = training_table(part, features, wide=wide, counts=rating_counts(features))
-        write_features(training, paths[name]["training"])
-    return paths
+    """The same for all parts of a `split` column; the paths by part. User features come from one
+    pass over the ratings, and then the training tables are made side by side."""
+    write_split_features(ratings, movies, out_dir)
+    side_by_side(ratings.sparkSession, {
+        f"training_{name}": partial(write_split_training, ratings, out_dir, name, wide) for name in SPLITS})
+    return {name: split_paths(out_dir, name) for name in SPLITS}
+
+
+def split_paths(out_dir: str, name: str) -> dict[str, str]:
+    """Where the tables of one part are."""
+    return {table: f"{out_dir.rstrip('/')}/{table}/split={name}" for table in ("user_features", "training")}
+
+
+def write_split_features(ratings: DataFrame, movies: DataFrame, out_dir: str) -> None:
+    """User features of all parts of a `split` column, in one pass over the ratings."""
+    features = user_features(clean_ratings(ratings), clean_movies(movies), by=("split", "userId"))
+    write_splits(features, f"{out_dir.rstrip('/')}/user_features")
+
+
+def write_split_training(ratings: DataFrame, out_dir: str, name: str, wide: bool = False) -> None:
+    """The training table of one part, whose user features are written."""
+    paths = split_paths(out_dir, name)
+    features = read_features(ratings.sparkSession, paths["user_features"])
+    part = clean_ratings(ratings).filter(F.col("split") == name).drop("split")
+    training = training_table(part, features, wide=wide, counts=rating_counts(features))
+    write_features(training, paths["training"])
 
 
 def main(argv: list[str] | None = None) -> None:

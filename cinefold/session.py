@@ -11,6 +11,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Independent stages of a chain run side by side, each in a pool of its own.
+    "spark.scheduler.mode": "FAIR",
 }
 
 

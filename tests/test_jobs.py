@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from support import rows
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from cinefold.jobs import chain, features, publish, score, split, training
 from cinefold.jobs.chain import ChainConfig, run_pipeline
 from cinefold.jobs.options import job_conf, job_parser
+from cinefold.jobs.stages import Stages, side_by_side
 from cinefold.operators.documents import feature_keys
 from cinefold.sources.predictions import read_predictions
 from cinefold.sources.registry import load_latest_model, read_runs
@@ -101,3 +104,68 @@ def test_shared_options_become_settings():
     keyless = job_conf(parser.parse_args(["--endpoint", "http://store:9000", "--virtual_host_style"]))
     assert "spark.hadoop.fs.s3a.access.key" not in keyless
     assert keyless["spark.hadoop.fs.s3a.path.style.access"] == "false"
+
+
+def test_side_by_side(spark):
+    both = threading.Barrier(2, timeout=60)
+
+    def meet(n):
+        both.wait()
+        assert spark.range(n).count() == n
+        both.wait()
+        return spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+
+    assert side_by_side(spark, {}) == {}
+    assert side_by_side(spark, {"a": lambda: meet(10), "b": lambda: meet(20)}) == {"a": "a", "b": "b"}
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    ended = []
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, {"bad": lambda: 1 / 0, "good": lambda: ended.append(spark.range(5).count())})
+    assert ended == [5]
+
+
+def test_stages_resume(spark, work):
+    def run(settings, resume=True, fail=None, again=()):
+        ran, stages = [], Stages(spark, work, {"x": settings}, resume)
+
+        def do(name):
+            ran.append(name)
+            if name == fail:
+                raise RuntimeError(name)
+
+        for name, needs in (("a", ()), ("b", ("a",)), ("c", ("a",)), ("d", ("b", "c"))):
+            stages.resume = resume and name not in again
+            stages.run(name, lambda: do(name), needs)
+        return "".join(ran), "".join(stages.skipped)
+
+    with pytest.raises(RuntimeError, match="c"):
+        run(1, fail="c")
+    assert run(1) == ("cd", "ab")
+    assert run(1) == ("", "abcd")
+    # What needs a stage that ran again runs again, and so does everything under other settings.
+    assert run(1, again="b") == ("bd", "ac")
+    assert run(2) == ("abcd", "")
+    assert run(2, resume=False) == ("abcd", "")
+    # A stage that stops halfway has lost its earlier mark.
+    with pytest.raises(RuntimeError, match="d"):
+        run(2, fail="d", again="d")
+    assert run(2) == ("d", "abc")
+
+
+def test_chain_resumes(spark, inputs, work, monkeypatch):
+    cfg = ChainConfig(f"{inputs}/ratings", f"{inputs}/movies", work, split_method="random")
+
+    def broken(*args, **kwargs):
+        raise OSError("no store")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(chain, "publish_features", broken)
+        with pytest.raises(OSError, match="no store"):
+            run_pipeline(spark, cfg)
+    # The training tables beside the failed publish are complete, and nothing is made anew.
+    before = {p: read_ratings(spark, f"{work}/{p}").inputFiles() for p in ("splits", "features/training")}
+    chain.main(["--ratings_path", cfg.ratings_path, "--movies_path", cfg.movies_path, "--output_path", work,
+                "--split_method", "random", "--resume"])
+    assert before == {p: read_ratings(spark, f"{work}/{p}").inputFiles() for p in before}
+    test_users = read_ratings(spark, f"{work}/splits/split=test").select("userId").distinct()
+    assert feature_keys(read_store(spark, f"{work}/store")).count() == test_users.count()
