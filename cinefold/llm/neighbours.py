@@ -40,7 +40,6 @@ DEGREE = 20
 ROUNDS = 3
 RANDOM = 48
 BEAM, STEP = 640, 96
-HOPS = 60
 NEAREST, EVERY = 20, 20
 
 _LOCAL = 20  # bits of a node's place in its block; the bits above are the block
@@ -450,9 +449,8 @@ def search(graph: DataFrame, queries: DataFrame, degree: int = DEGREE, nearest:
 
     beams = stored(queries.groupBy("block").cogroup(graph.groupBy("block")).applyInArrow(
         begin, _SEARCH), "beams")
-    for _ in range(HOPS):
-        if not beams.agg(F.coalesce(F.sum("waiting"), F.lit(0))).first()[0]:
-            break
+    # Each hop expands nodes never expanded before, so the hops end by themselves.
+    while beams.agg(F.coalesce(F.sum("waiting"), F.lit(0))).first()[0]:
         beams = stored(_hop(beams, graph, degree, step), "beams")
     return beams.mapInArrow(result, "asking bigint, asking_block int, block int, place bigint, "
                                     "score double")
