@@ -56,6 +56,21 @@ def quality(text):
             len(w) < 20 or 100 * len(covered) > 30 * len(w))
 
 
+def mix_targets(sizes, weights=(5, 2, 1), most=3):
+    """Each source's target by its definition: a level so that the capped shares add up to all.
+    `sizes` maps sources to words."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weigh = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    low, high = 0.0, float(most * sum(sizes.values()) + 1)
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(most * sizes[s], level * weigh[s]) for s in names) < sum(sizes.values()):
+            low = level
+        else:
+            high = level
+    return {s: min(most * sizes[s], high * weigh[s]) for s in names}
+
+
 def toxic(rows, labels):
     """Ids of the rows (id, text) that the words of labelled texts tell to be toxic."""
     def lower(t):

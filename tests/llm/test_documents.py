@@ -7,9 +7,11 @@ import pytest
 from helpers import (
     katz as plain_katz,
     licenses,
+    mix_targets,
     near_duplicates,
     odd_documents,
     quality as plain_quality,
+    say,
     toxic,
     words,
     without_repeats,
@@ -102,6 +104,16 @@ def test_quality_filter_keeps_columns(odd, nobody):
     assert quality.assess(nobody).count() == 0
 
 
+def test_rows_without_ids_or_texts(unnamed, nobody):
+    assert sorted((r.doc_id, r.n_words, r.kept) for r in quality.assess(unnamed).collect()) == [
+        (None, 0, False), (None, 3, False)]
+    assert sorted((r.doc_id, r.n_words, r.labels) for r in license_scan.scan(unnamed).collect()) == [
+        (None, 0, ""), (None, 3, "")]
+    pieced = pieces.encode_documents(unnamed).collect()
+    assert sorted((r.doc_id, r.n_pieces > 0, r.exact) for r in pieced) == [(None, False, True), (None, True, True)]
+    assert pieces.encode_documents(nobody).count() == 0
+
+
 @pytest.mark.parametrize("region", [256, 2])
 def test_near_duplicates(odd, odd_texts, region, monkeypatch):
     monkeypatch.setattr(minhash_forest, "REGION_ROWS", region)
@@ -203,6 +215,14 @@ def test_mix(odd, odd_texts):
     assert sum(goal.values()) == pytest.approx(total)
     for key, taken in per.items():
         assert abs(taken - goal[key]) < 8 * 4
+    source = {r.doc_id: r.source for r in odd.collect()}
+    words_of = {}
+    for r in rows:
+        words_of[source[r.doc_id]] = words_of.get(source[r.doc_id], 0) + r["size"]
+    want = mix_targets(words_of)
+    for r in rows:
+        assert r.source_size == words_of[source[r.doc_id]]
+        assert r.target == pytest.approx(want[source[r.doc_id]])
     again = mixing.Mix(odd, block_words=8).taken().collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
@@ -213,6 +233,19 @@ def test_mix_targets():
     assert sum(mixing.targets([7, 1, 1, 40], [5, 2, 1, 5])) == pytest.approx(49)
 
 
+@pytest.mark.parametrize("sizes", [
+    {"a": 10, "b": 100, "c": 5, None: 7}, {"Z": 1, "a": 1000, "\u00e9": 1, "\U0001d4b3": 1},
+    {"a": 3}, {None: 9}, {"a": 1, "b": 1, "c": 30, "d": 0}])
+def test_mix_targets_of_a_table(spark, sizes):
+    rows = [(i, say(n, i), s) for i, (s, n) in enumerate(sizes.items())]
+    found = mixing.Mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).taken().collect()
+    want = mix_targets(sizes)
+    source = {i: s for i, _, s in rows}
+    for r in found:
+        assert r.target == pytest.approx(want[source[r.doc_id]], abs=1e-6)
+        assert r.taken <= 3 * r["size"]
+
+
 def test_mix_permutation():
     import numpy as np
     for n in (1, 2, 3, 37, 64, 1000):

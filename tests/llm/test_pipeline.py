@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from helpers import near_duplicates, without_repeats, words
+from helpers import near_duplicates, say, without_repeats, words
 
 import corpus_pipeline
 from cinefold.llm import mixing, pieces, quality
@@ -101,3 +101,27 @@ def test_the_last_stage_encodes_whole_texts(spark, folder, stages):
     assert all(r.exact for r in rows)
     again = corpus_pipeline.run(spark, folder).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def run_on(spark, path, docs, labels):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, t, "en", "a", len(t) if t is not None else None) for i, t in docs]
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return corpus_pipeline.run(spark, path)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    result = run_on(spark, str(tmp_path), [], [])
+    assert result.columns == ["doc_id", "n_pieces", "pieces", "exact"]
+    assert result.collect() == []
+
+
+def test_pipeline_of_null_and_repeated_rows(spark, tmp_path):
+    docs = [(None, say(60, 31)), (None, None), (4, None), (5, say(60, 32)), (5, say(60, 32)), (6, say(60, 32)),
+            (7, ""), (8, say(60, 33))]
+    result = run_on(spark, str(tmp_path), docs, [(None, 1, 1), (5, None, None), (99, 0, 1)])
+    rows = result.collect()
+    # One source is mixed from itself, so whatever the earlier stages keep is taken whole.
+    assert {r.doc_id for r in rows} == {None, 5, 8}
+    assert all(r.exact and r.n_pieces > 60 for r in rows)
