@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import (
@@ -82,6 +83,19 @@ def test_quality_order_does_not_matter(odd):
     assert forward == back
 
 
+def test_quality_is_ordered_in_little_memory():
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"w{(i * j) % 977}" for j in range(500)) for i in range(2_000)])
+    rules = [*quality.RULES, quality.ToxicRule(np.arange(9, dtype=np.uint64))]
+    tracemalloc.start()
+    try:
+        assert {r.name for r in quality.order(quality.Block(texts), rules)} == {r.name for r in rules}
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality_puts_cheap_rejections_first():
     def slow(n):
         import time
