@@ -7,9 +7,11 @@ word's probability times its history's weight, which is such that all words afte
 to one exactly. Where nothing of a history is discounted, its total counts one more. A word's own
 probability is discounted the same way, and what is left goes to the unknown word.
 
-The model's vocabulary is closed: words with a count of at least a threshold, the least one that
-leaves no more than `VOCABULARY` of them, have a number; all others are the unknown word. So the
-vocabulary, and what is known of each history, have a bound and go to every task. Pairs have none:
+Every word of the training documents is in the model. Words with a count of at least a threshold, the
+least one that leaves no more than `VOCABULARY` of them, have a number; they, and what is known of each
+of them as a history, have a bound and go to every task. Pairs with a word without a number, the rare
+pairs, are counted and scored by joins on the words' hashes. A caller may close the vocabulary at a size;
+words beyond it are then the unknown word. Pairs of numbered words have no bound either:
 they are counted in buckets, by history or, for the `SPREAD` most frequent histories, by pair, and
 stay in a table that is partitioned like that. To score, each pair of a text goes to its bucket,
 except for the most frequent pairs, at most `HOT_PAIRS`, which are known to every task: no pair's
@@ -46,6 +48,7 @@ _BITS = np.uint64(21)
 _LOW = np.uint64((1 << 21) - 1)
 UNKNOWN, START = 0, 1  # numbers of the vocabulary begin at 2
 END = np.uint64(0xE5D0F7EC77)
+BEGIN = np.uint64(0xBE6150F7EC77)
 _STEPS = 16  # histogram bins per doubling of a count
 
 
@@ -93,6 +96,9 @@ class Vocabulary:
     chance: np.ndarray  # probability by number; START has none
     tokens: int
     words: int
+    factor: np.ndarray  # discounts of small counts
+    total: int  # what discounted counts are divided by
+    open: bool  # whether words without a number are words of the model
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -119,6 +125,10 @@ def _pairs(numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (before.astype(np.uint64) << _BITS) | numbers.astype(np.uint64)
 
 
+def _numbered(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs >> _BITS) != UNKNOWN) & ((pairs & _LOW) != UNKNOWN)
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     history = keys >> _BITS
     # Numbers follow frequency, so the first ones are the most frequent histories.
@@ -153,7 +163,7 @@ def _threshold(bins: dict[int, int], most: int) -> int:
                 if c > 0 and int(np.log2(c) * _STEPS) >= least)
 
 
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> Vocabulary:
+def vocabulary(counts: DataFrame, most: int = VOCABULARY, closed: bool = True) -> Vocabulary:
     bins = counts.groupBy(F.floor(F.log2("n") * _STEPS).alias("bin")).agg(
         F.count("*").alias("words"), F.sum("n").alias("tokens"),
         *(F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, DISCOUNTED + 2))).collect()
@@ -170,10 +180,16 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> Vocabulary:
     by_hash = np.argsort(hashes)
     factor = discounts(np.array(seen))
     kept = np.where(by_number <= DISCOUNTED, factor[np.minimum(by_number, DISCOUNTED)], 1.0) * by_number
-    total = tokens if kept.sum() < tokens else tokens + 1
-    chance = kept / max(total, 1)
-    chance[UNKNOWN] = 1 - chance.sum()
-    return Vocabulary(hashes[by_hash], numbers[by_hash], by_number, chance, tokens, words)
+    more = not closed and len(n) < words
+    if more:
+        small = np.array(seen[:DISCOUNTED]) * np.arange(1, DISCOUNTED + 1)
+        everything = tokens - small.sum() + (factor[1:] * small).sum()
+    else:
+        everything = kept.sum()
+    total = max(tokens if everything < tokens else tokens + 1, 1)
+    chance = kept / total
+    chance[UNKNOWN] = 1 - (everything / total if more else chance.sum())
+    return Vocabulary(hashes[by_hash], numbers[by_hash], by_number, chance, tokens, words, factor, total, more)
 
 
 def pair_counts(docs: DataFrame, known, buckets: int) -> DataFrame:
@@ -183,7 +199,8 @@ def pair_counts(docs: DataFrame, known, buckets: int) -> DataFrame:
         held: list[np.ndarray] = []
         for batch in blocks(batches, block_bytes=BLOCK):
             hashes, bounds = _tokens(batch.column("text"))
-            held.append(_pairs(known.value.number(hashes), bounds))
+            pairs = _pairs(known.value.number(hashes), bounds)
+            held.append(pairs[_numbered(pairs)] if known.value.open else pairs)
             if sum(map(len, held)) >= FLUSH_PAIRS:
                 yield _dealt(*np.unique(np.concatenate(held), return_counts=True), buckets)
                 held = []
@@ -244,8 +261,9 @@ class Histories:
         return np.log10(self.weight[(keys >> _BITS).astype(np.int64)] * chance)
 
 
-def histories(table: DataFrame, known) -> Histories:
-    """What the pair table says of each history, partly summed in its buckets."""
+def histories(table: DataFrame, known, rare: DataFrame | None = None) -> Histories:
+    """What the pair table, partly summed in its buckets, and the rare pairs say of each history; those
+    without a number together, of which only the numbers of counts are used."""
     seen = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +278,13 @@ def histories(table: DataFrame, known) -> Histories:
                     names=["history", *seen, "total", "chance"])
 
     kind = "history bigint, " + ", ".join(f"{c} double" for c in [*seen, "total", "chance"])
-    rows = table.mapInArrow(run, kind).groupBy("history").agg(
+    parts = table.mapInArrow(run, kind)
+    if rare is not None:
+        parts = parts.union(rare.select(
+            F.col("before").alias("history"),
+            *((F.col("n") == r).cast("double").alias(f"n{r}") for r in range(1, DISCOUNTED + 2)),
+            F.col("n").cast("double").alias("total"), "chance"))
+    rows = parts.groupBy("history").agg(
         *(F.sum(c).alias(c) for c in [*seen, "total", "chance"])).toArrow()
     history = np.asarray(rows.column("history"))
     factor = discounts(np.array([np.asarray(rows.column(c)).sum() for c in seen]))
@@ -367,6 +391,9 @@ def _by_bucket(docs: DataFrame, table: DataFrame, known, hot, of, buckets: int)
                 at = np.minimum(np.searchsorted(common, pairs), len(common) - 1)
                 other = common[at] != pairs
                 pairs, text = pairs[other], text[other]
+            if known.value.open:
+                numbered = _numbered(pairs)
+                pairs, text = pairs[numbered], text[numbered]
             if not len(pairs):
                 continue
             bucket = _bucket(pairs, buckets)
@@ -423,25 +450,115 @@ def _by_bucket(docs: DataFrame, table: DataFrame, known, hot, of, buckets: int)
         "row", F.lit(0).cast("bigint").alias("n_known"), F.lit(0.0).alias("base_score"), "score")
 
 
-def score_documents(docs: DataFrame, vocabulary_size: int = VOCABULARY,
-                    hot: int = HOT_PAIRS) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+_PAIR = ["history", "before", "word", "number"]
+
+
+def _rare_pairs(docs: DataFrame, known) -> DataFrame:
+    """Every pair with a word that has no number: row, both hashes, both numbers, and the probability
+    of its word where that has a number, else 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, block_bytes=BLOCK):
+            hashes, bounds = _tokens(batch.column("text"))
+            numbers = known.value.number(hashes)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            before, history = np.roll(numbers, 1), np.roll(hashes, 1)
+            before[bounds[:-1]], history[bounds[:-1]] = START, BEGIN
+            rare = (numbers == UNKNOWN) | (before == UNKNOWN)
+            numbers = numbers[rare]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(text[rare])), pa.array(history[rare].view(np.int64)),
+                 pa.array(before[rare]), pa.array(hashes[rare].view(np.int64)), pa.array(numbers),
+                 pa.array(np.where(numbers == UNKNOWN, 0.0, known.value.chance[numbers]))],
+                names=["row", *_PAIR, "chance"])
+
+    return docs.select("row", "text").mapInArrow(
+        run, "row bigint, history bigint, before bigint, word bigint, number bigint, chance double")
+
+
+def _cut(n: F.Column, factor: np.ndarray) -> F.Column:
+    """A discounted count."""
+    factors = F.array(*(F.lit(float(x)) for x in factor))
+    return n * F.when(n <= DISCOUNTED, F.get(factors, n.cast("int"))).otherwise(1.0)
+
+
+def _with_chance(pairs: DataFrame, words: Vocabulary, rare: DataFrame) -> DataFrame:
+    """The pairs with the probability of their word, from `rare` counts where it has no number."""
+    listed = rare.select("word", (_cut(F.col("n"), words.factor) / words.total).alias("of_rare"))
+    found = pairs.filter(F.col("number") == UNKNOWN).join(listed, "word", "left").withColumn(
+        "chance", F.coalesce("of_rare", F.lit(float(words.chance[UNKNOWN])))).select(*pairs.columns)
+    return pairs.filter(F.col("number") != UNKNOWN).union(found)
+
+
+def rare_pair_counts(train: DataFrame, known, rare: DataFrame) -> DataFrame:
+    """The rare pairs of the training documents with their number `n`."""
+    pairs = _rare_pairs(train, known).groupBy(*_PAIR).agg(
+        F.count("*").alias("n"), F.max("chance").alias("chance"))
+    return _with_chance(pairs, known.value, rare)
+
+
+def _by_rare_pair(docs: DataFrame, known, of, rare: DataFrame, counted: DataFrame) -> DataFrame:
+    """Per row: the score of its rare pairs. Histories with a number are known to every task; the
+    others are summed from `counted` and joined, none with more rows than a rare word has."""
+    factor = of.value.factor
+    off = F.sum(F.col("n") - _cut(F.col("n"), factor))
+    plus = (F.col("off") <= 0).cast("int")
+    seldom = counted.filter(F.col("before") == UNKNOWN).groupBy("history").agg(
+        F.sum("n").alias("total"), off.alias("off"), F.sum("chance").alias("seen"))
+    seldom = seldom.select("history", (F.col("total") + plus).alias("total"), (
+        (F.col("off") + plus) / (F.col("total") + plus) / F.greatest(1 - F.col("seen"), F.lit(1e-300))
+    ).alias("weight"))
+    pairs = _rare_pairs(docs, known).groupBy("row", *_PAIR).agg(
+        F.count("*").alias("times"), F.max("chance").alias("chance"))
+    pairs = _with_chance(pairs, known.value, rare).join(
+        counted.select("history", "word", "n"), ["history", "word"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = np.asarray(batch.column("before"))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "times", "chance", "n")),
+                 pa.array(of.value.total[before]), pa.array(of.value.weight[before])],
+                names=["row", "times", "chance", "n", "total", "weight"])
+
+    common = pairs.filter(F.col("before") != UNKNOWN).select("row", "before", "times", "chance", "n").mapInArrow(
+        run, "row bigint, times bigint, chance double, n bigint, total double, weight double")
+    others = pairs.filter(F.col("before") == UNKNOWN).join(seldom, "history", "left").select(
+        "row", "times", "chance", "n", F.coalesce("total", F.lit(1)).cast("double").alias("total"),
+        F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    chance = F.coalesce(_cut(F.col("n"), factor) / F.col("total"), F.col("weight") * F.col("chance"))
+    return common.union(others).groupBy("row").agg(
+        F.lit(0).cast("bigint").alias("n_known"), F.lit(0.0).alias("base_score"),
+        F.sum(F.col("times") * F.log10(chance)).alias("score"))
+
+
+def score_documents(docs: DataFrame, vocabulary_size: int | None = None, hot: int = HOT_PAIRS,
+                    numbered: int = VOCABULARY) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    All words of the training documents are in the model, at most `numbered` of them in the memory of
+    every task; a `vocabulary_size` closes the model's vocabulary at that many words.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = documents(docs).withColumns({
         "held_out": held, "row": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))})
     train = rows.filter("NOT held_out")
     spark = docs.sparkSession.sparkContext
     counts = stored(word_counts(train), "words")
-    words = vocabulary(counts, vocabulary_size)
+    closed = vocabulary_size is not None
+    words = vocabulary(counts, vocabulary_size if closed else numbered, closed)
     known = spark.broadcast(words)
     buckets = 1 + words.tokens // BUCKET_TOKENS
     table = stored(pair_counts(train, known, buckets), "pairs")
-    of = spark.broadcast(histories(table, known))
+    rare = counts.filter(F.col("n") < int(words.counts[2:].min(initial=1 << 62)))
+    counted = stored(rare_pair_counts(train, known, rare), "rare-pairs") if words.open else None
+    of = spark.broadcast(histories(table, known, counted))
     common = spark.broadcast(hot_pairs(table, of, hot))
 
-    rare = counts.filter(F.col("n") < int(words.counts[2:].min(initial=1 << 62)))
     parts = _rare_words(rows, known, rare).select("row", "n_known", "base_score", "score").union(
         _by_bucket(rows, table, known, common, of, buckets))
+    if words.open:
+        parts = parts.union(_by_rare_pair(rows, known, of, rare, counted))
     direct = _direct(rows, known, common)
     nothing = {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint"}
     parts = parts.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})

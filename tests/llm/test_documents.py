@@ -302,6 +302,18 @@ def test_katz(odd, odd_texts, size, hot):
         assert r.base_score == pytest.approx(x[4]) and r.score == pytest.approx(x[5])
 
 
+@pytest.mark.parametrize("numbered", [300, 3, 0])
+def test_katz_knows_words_beyond_those_held_in_memory(odd, numbered):
+    rows = odd_documents()
+    want, _ = plain_katz([r[:2] for r in rows], katz.discounts, katz._threshold, 1 << 20)
+    found = katz.score_documents(odd, hot=20, numbered=numbered).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        x = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == x[:4]
+        assert r.base_score == pytest.approx(x[4]) and r.score == pytest.approx(x[5])
+
+
 def test_katz_without_rows_or_training(spark, nobody, unnamed):
     assert katz.score_documents(nobody).count() == 0
     assert katz.score_documents(unnamed).count() == 2
