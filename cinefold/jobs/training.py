@@ -14,9 +14,12 @@ from cinefold.operators.training import (
     fit_logistic,
     model_inputs,
     model_params,
-    skipped_rows,
+    skipped_of,
+    sums_examples,
+    user_sums,
 )
 from cinefold.operators.validation import METRICS, confusion, metrics_of, validate, validation_pairs
+from cinefold.session import cut_lineage
 from cinefold.sources.registry import log_run, register_model
 from cinefold.sources.store import read_store
 from cinefold.sources.tables import read_features
@@ -44,9 +47,13 @@ def train_and_register(train: DataFrame, test: DataFrame, store: DataFrame, mode
     """
     spark = train.sparkSession
     run_id = run_id or uuid.uuid4().hex
-    ratings = "avg_rating" not in train.columns
-    skipped = skipped_rows(train) if ratings else train.filter("avg_rating IS NULL").count()
-    model, reached = fit_logistic(train if ratings else model_inputs(train))
+    if "avg_rating" in train.columns:
+        skipped, inputs = train.filter("avg_rating IS NULL").count(), model_inputs(train)
+    else:
+        # Read once: the fit and the count of what it leaves out both need sums per user only.
+        sums = cut_lineage(user_sums(train))
+        skipped, inputs = skipped_of(sums), sums_examples(sums)
+    model, reached = fit_logistic(inputs)
     checked = validate(model, validation_pairs(test), store)
     # One pass: the four confusion counts, and the pairs that could not be scored.
     absent = ~F.col("found")

@@ -41,10 +41,18 @@ def weighted_examples(df: DataFrame) -> DataFrame:
 
 
 def user_examples(ratings: DataFrame) -> DataFrame:
-    """The same weighted rows from labelled ratings alone, without joining features to them: a
-    user's inputs and numbers of positive and negative ratings are sums over the user."""
-    sums = ratings.groupBy("userId").agg(
+    """The same weighted rows from labelled ratings alone, without joining features to them."""
+    return sums_examples(user_sums(ratings))
+
+
+def user_sums(ratings: DataFrame) -> DataFrame:
+    """A user's inputs, `positive` ratings and `rows`, from one pass over labelled ratings."""
+    return ratings.groupBy("userId").agg(
         *user_inputs(), F.sum("target").alias("positive"), F.count("*").alias("rows"))
+
+
+def sums_examples(sums: DataFrame) -> DataFrame:
+    """The weighted rows of `user_sums`: of each user one for the positive ratings and one for the others."""
     kept = sums.filter("avg_rating IS NOT NULL").select(*FEATURES, F.inline(F.array(
         F.struct(F.lit(1).alias("target"), F.col("positive").cast("double").alias("weight")),
         F.struct(F.lit(0).alias("target"),
@@ -52,17 +60,16 @@ def user_examples(ratings: DataFrame) -> DataFrame:
     return kept.filter("weight > 0").groupBy(*FEATURES, "target").agg(F.sum("weight").alias("weight"))
 
 
+def skipped_of(sums: DataFrame) -> int:
+    """Ratings of `user_sums` that training leaves out, their user having no rating value."""
+    return sums.filter("avg_rating IS NULL").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
 def user_inputs() -> list[Column]:
     return [F.try_divide(F.sum("rating"), F.count("rating")).alias("avg_rating"),
             F.count("movieId").alias("num_movies")]
 
 
-def skipped_rows(ratings: DataFrame) -> int:
-    """Ratings that training leaves out, their user having no rating value."""
-    users = ratings.groupBy("userId").agg(F.count("rating").alias("rated"), F.count("*").alias("rows"))
-    return users.filter("rated = 0").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-
-
 def examples_of(df: DataFrame) -> DataFrame:
     """Weighted rows of a training table, or of labelled ratings."""
     if "weight" in df.columns:
