@@ -17,6 +17,7 @@ from helpers import (
     words,
     without_repeats,
 )
+from support import plan_of
 
 from cinefold.llm import katz, license_scan, minhash_forest, mixing, pieces, quality, substring_dedup
 from cinefold.llm.automaton import SuffixAutomaton
@@ -314,6 +315,28 @@ def test_katz_knows_words_beyond_those_held_in_memory(odd, numbered):
         assert r.base_score == pytest.approx(x[4]) and r.score == pytest.approx(x[5])
 
 
+@pytest.mark.parametrize("numbered", [300, 3])
+def test_katz_with_many_buckets(odd, numbered, monkeypatch):
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 90)
+    monkeypatch.setattr(katz, "RARE_TOKENS", 40)
+    rows = odd_documents()
+    want, _ = plain_katz([r[:2] for r in rows], katz.discounts, katz._threshold, 1 << 20)
+    # Equal rows among those held out, which do not change the model.
+    again = odd.filter("crc32(binary(string(doc_id))) % 5 = 1")
+    found = katz.score_documents(odd.unionAll(again), hot=20, numbered=numbered).collect()
+    assert len(found) == len(rows) + again.count() > len(rows)
+    for r in found:
+        x = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == x[:4]
+        assert r.base_score == pytest.approx(x[4]) and r.score == pytest.approx(x[5])
+
+
+def test_katz_reads_texts_once_to_score(odd):
+    plan = plan_of(katz.score_documents(odd, hot=20, numbered=3))
+    # One of texts and one of the pairs that were counted.
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
 def test_katz_without_rows_or_training(spark, nobody, unnamed):
     assert katz.score_documents(nobody).count() == 0
     assert katz.score_documents(unnamed).count() == 2
