@@ -5,12 +5,15 @@ about `BLOCK_NODES`; a block is one row with the ids, vectors and neighbour list
 all steps are joins of messages with blocks by block number, so a vector is sent once to each block
 that holds a candidate for it, never once per candidate.
 
-The graph starts with each node's best neighbours in its own block and random nodes of all blocks.
-A round of NN-descent gives each node its reverse neighbours, then proposes to any two neighbours
-of a node each other, scores what is new against the node's worst neighbour, and keeps the best
-`degree`. Lists of neighbours have a fixed length by the method, reverse ones too (the best are
-kept), so a hub's list is bounded. For vectors of unequal length the graph is that of the vectors
-extended to equal length, whose neighbours are also those by inner product.
+The graph starts from `TREES` random trees: planes between two nodes of a bounded sample deal all
+nodes into cells, a cell is halved by further planes into leaves of at most `LEAF_NODES`, and each
+node gets its best neighbours in its leaves. A round of NN-descent gives each node its reverse
+neighbours and scores any two nodes around it of which one is new there; a block fetches the vectors
+around its nodes once, and sends on only what beats a node's worst neighbour, the best `degree` of
+each. Rounds end when less than the share `SETTLED` of all entries changed. Lists of neighbours have
+a fixed length by the method, reverse ones too (the best are kept), so a hub's list is bounded. For
+vectors of unequal length the graph is that of the vectors extended to equal length, whose
+neighbours are also those by inner product.
 
 A query starts at its own node and repeatedly expands the `step` best nodes of its beam that were
 not expanded, until the `beam` best are; the search is on all nodes, and scores are double
@@ -35,18 +38,21 @@ from cinefold.llm.katz import pack, unpack
 from cinefold.llm.tables import read, stored
 
 BLOCK_NODES = 8_192
-LEAST_BLOCKS = 8
-DEGREE = 20
-ROUNDS = 3
-RANDOM = 48
-BEAM, STEP = 640, 96
+LEAST_BLOCKS = 16
+DEGREE = 32
+TREES, LEAF_NODES = 4, 1_024
+MOST_CELLS, CELL_SAMPLE = 2_048, 32
+SETTLED = 0.1
+BEAM, STEP = 256, 128
 NEAREST, EVERY = 20, 20
 
 _LOCAL = 20  # bits of a node's place in its block; the bits above are the block
 _PLACES = np.int64((1 << _LOCAL) - 1)
 _CHUNK = 1 << 17
 _MESSAGE = "block int, sender int, kind string, body binary"
-_STATE = "block int, ids binary, vectors binary, near binary, sims binary, around binary"
+_STATE = ("block int, ids binary, vectors binary, near binary, sims binary, fresh binary, "
+          "around binary, changed bigint")
+_PAIRS = 1 << 22
 
 
 def _write(arrays: list[np.ndarray]) -> bytes:
@@ -84,23 +90,36 @@ class Nodes:
         self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, -1)
         self.near = np.frombuffer(row["near"], np.int64).reshape(n, degree)
         self.sims = np.frombuffer(row["sims"], np.float32).reshape(n, degree)
+        # Marks of what is new in `around` or, without it, in `near`.
+        self.fresh = np.frombuffer(row["fresh"], bool).reshape(n, -1)
         self.around = np.frombuffer(row["around"], np.int64).reshape(n, -1) if row["around"] else None
+        self.changed = row["changed"]
+
+    @classmethod
+    def begin(cls, block: int, ids: np.ndarray, vectors: np.ndarray, degree: int) -> Nodes:
+        near = np.full((len(ids), degree), -1, np.int64)
+        sims = np.full(near.shape, -np.inf, np.float32)
+        return cls({"block": block, "ids": ids.tobytes(), "vectors": vectors.tobytes(),
+                    "near": near.tobytes(), "sims": sims.tobytes(),
+                    "fresh": np.zeros(near.shape, bool).tobytes(), "around": b"", "changed": 0},
+                   degree)
 
     def table(self) -> pa.Table:
         around = b"" if self.around is None else self.around.tobytes()
         return pa.table({
             "block": pa.array([self.block], pa.int32()), "ids": [self.ids.tobytes()],
             "vectors": [self.vectors.tobytes()], "near": [self.near.tobytes()],
-            "sims": [self.sims.astype(np.float32).tobytes()], "around": [around]})
+            "sims": [self.sims.astype(np.float32).tobytes()], "fresh": [self.fresh.tobytes()],
+            "around": [around], "changed": pa.array([self.changed], pa.int64())})
 
     @property
     def codes(self) -> np.ndarray:
         return (np.int64(self.block) << _LOCAL) | np.arange(len(self.ids), dtype=np.int64)
 
 
-def _best(owner: np.ndarray, codes: np.ndarray, sims: np.ndarray, count: int,
-          most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `most` best different codes of each owner, as rows filled up with -1 and -inf."""
+def _top(owner: np.ndarray, codes: np.ndarray, sims: np.ndarray,
+         most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` best different codes of each owner: owner, place, code, similarity."""
     order = np.lexsort((-sims, codes, owner))
     owner, codes, sims = owner[order], codes[order], sims[order]
     fresh = np.ones(len(owner), bool)
@@ -110,10 +129,17 @@ def _best(owner: np.ndarray, codes: np.ndarray, sims: np.ndarray, count: int,
     owner, codes, sims = owner[order], codes[order], sims[order]
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
     kept = place < most
+    return owner[kept], place[kept], codes[kept], sims[kept]
+
+
+def _best(owner: np.ndarray, codes: np.ndarray, sims: np.ndarray, count: int,
+          most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` best different codes of each owner, as rows filled up with -1 and -inf."""
+    owner, place, codes, sims = _top(owner, codes, sims, most)
     near = np.full((count, most), -1, np.int64)
     found = np.full((count, most), -np.inf, sims.dtype)
-    near[owner[kept], place[kept]] = codes[kept]
-    found[owner[kept], place[kept]] = sims[kept]
+    near[owner, place] = codes
+    found[owner, place] = sims
     return near, found
 
 
@@ -163,148 +189,206 @@ def _meet(messages: DataFrame, state: DataFrame, parse: Callable[[dict], object]
 
 
 def _start(nodes: DataFrame, degree: int) -> DataFrame:
-    """Blocks with each node's best neighbours in its own block."""
+    """Blocks without neighbours."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         ids = np.asarray(rows.column("id").combine_chunks())
-        vectors = np.array(rows.column("vector").to_pylist(), np.float64)
-        n, block = len(ids), key[0].as_py()
-        near = np.full((n, degree), -1, np.int64)
-        sims = np.full((n, degree), -np.inf, np.float32)
-        most = min(degree, n - 1)
-        small = vectors.astype(np.float32)
-        for low in range(0, n if most else 0, 512):
-            grid = small[low:low + 512] @ small.T
-            grid[np.arange(len(grid)), np.arange(low, low + len(grid))] = -np.inf
-            top = np.argpartition(-grid, most - 1, axis=1)[:, :most]
-            found = np.take_along_axis(grid, top, axis=1)
-            order = np.argsort(-found, axis=1)
-            near[low:low + 512, :most] = np.take_along_axis(top, order, axis=1)
-            sims[low:low + 512, :most] = np.take_along_axis(found, order, axis=1)
-        near[near >= 0] |= np.int64(block) << _LOCAL
-        made = Nodes.__new__(Nodes)
-        made.block, made.ids, made.vectors, made.near, made.sims, made.around = (
-            block, ids, vectors, near, sims, None)
-        return made.table()
+        vectors = np.asarray(rows.column("vector").combine_chunks().flatten()).reshape(len(ids), -1)
+        return Nodes.begin(key[0].as_py(), ids, vectors, degree).table()
 
     return nodes.groupBy("block").applyInArrow(run, _STATE)
 
 
+def _merged(state: DataFrame, better: DataFrame, degree: int) -> DataFrame:
+    """Blocks with the best of their neighbours and of those in messages."""
+
+    def merge(own: Nodes, received: list) -> pa.Table:
+        row, column = np.nonzero(own.near >= 0)
+        parts = [(row, own.near[row, column], own.sims[row, column]), *(m for _, m in received)]
+        before = own.near
+        own.near, own.sims = _best(*(np.concatenate(x) for x in zip(*parts)), len(own.ids), degree)
+        own.fresh = own.near >= 0
+        for column in before.T:
+            own.fresh &= own.near != column[:, None]
+        own.around, own.changed = None, int(own.fresh.sum())
+        return own.table()
+
+    return _meet(better, state, lambda row: Nodes(row, degree), merge, _STATE)
+
+
+def _planes(sample: np.ndarray, levels: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and thresholds that halve the sample `levels` times, as a heap."""
+    directions = np.zeros((2 ** levels - 1, sample.shape[1]), np.float32)
+    limits = np.zeros(len(directions), np.float32)
+    groups = [np.arange(len(sample))]
+    for at in range(len(directions)):
+        group = groups[at]
+        if len(group) > 1:
+            a, b = draw.choice(group, 2, replace=False)
+            directions[at] = sample[a] - sample[b]
+            along = sample[group] @ directions[at]
+            limits[at] = np.median(along)
+            groups += [group[along <= limits[at]], group[along > limits[at]]]
+        else:
+            groups += [group, group[:0]]
+    return directions, limits
+
+
+def _cells(vectors: np.ndarray, directions: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The cell of each vector."""
+    at = np.zeros(len(vectors), np.int64)
+    while len(directions) and at[0] < len(directions):
+        along = np.einsum("ij,ij->i", vectors, directions[at])
+        at = 2 * at + 1 + (along > limits[at])
+    return at - len(directions)
+
+
+def _leaves(vectors: np.ndarray, draw: np.random.Generator) -> Iterator[np.ndarray]:
+    waiting = [np.arange(len(vectors))]
+    while waiting:
+        group = waiting.pop()
+        if len(group) <= LEAF_NODES:
+            yield group
+            continue
+        a, b = draw.choice(group, 2, replace=False)
+        half = len(group) // 2
+        order = np.argpartition(vectors[group] @ (vectors[a] - vectors[b]), half)
+        waiting += [group[order[:half]], group[order[half:]]]
+
+
+def _in_leaves(state: DataFrame, number: int, blocks: int, degree: int) -> DataFrame:
+    """Each node's best neighbours in its leaf of each tree, as messages to its block."""
+    most = min(MOST_CELLS, 2 * blocks, max(1, number // LEAF_NODES))
+    levels = most.bit_length() - 1
+    share = -(-CELL_SAMPLE * 2 ** levels // blocks)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Nodes(row, degree)
+                rows = np.random.default_rng(own.block).permutation(len(own.ids))[:share]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own.block], pa.int32()), pa.array([len(rows)], pa.int32()),
+                     pa.array([own.vectors[rows].astype(np.float32).tobytes()])],
+                    names=["block", "rows", "sample"])
+
+    def deal(own: Nodes) -> list[tuple]:
+        small = own.vectors.astype(np.float32)
+        out = []
+        for tree, (directions, limits) in enumerate(trees):
+            to = tree * 2 ** levels + _cells(small, directions, limits)
+            out += _outgoing(own.block, "deal", to, lambda p: [own.codes[p], small[p]])
+        return out
+
+    def pairs(key: tuple, rows: pa.Table) -> pa.Table:
+        cell = key[0].as_py()
+        received = sorted(((r["sender"], r["body"]) for r in rows.to_pylist()), key=lambda x: x[0])
+        codes, small = (np.concatenate(x) for x in zip(*(_read(b) for _, b in received)))
+        parts = []
+        for leaf in _leaves(small, np.random.default_rng(cell)):
+            near = min(degree, len(leaf) - 1)
+            if near:
+                grid = small[leaf] @ small[leaf].T
+                np.fill_diagonal(grid, -np.inf)
+                top = np.argpartition(-grid, near - 1, axis=1)[:, :near]
+                parts.append((np.repeat(codes[leaf], near), codes[leaf][top].reshape(-1),
+                              np.take_along_axis(grid, top, axis=1).reshape(-1)))
+        if not parts:
+            return _messages([])
+        node, code, sims = (np.concatenate(x) for x in zip(*parts))
+        return _messages(_outgoing(cell, "better", node >> _LOCAL, lambda p: [
+            node[p] & _PLACES, code[p], sims[p]]))
+
+    found = [np.frombuffer(r["sample"], np.float32).reshape(r["rows"], -1) for r in state.mapInArrow(
+        some, "block int, rows int, sample binary").orderBy("block").collect()]
+    sample = np.concatenate(found) if found else np.zeros((0, 1), np.float32)
+    draw = np.random.default_rng(number)
+    trees = [_planes(sample, levels, draw) for _ in range(TREES)]
+    return _send(state, degree, deal).groupBy("block").applyInArrow(pairs, _MESSAGE)
+
+
 def _with_reverse(state: DataFrame, degree: int) -> DataFrame:
     """Blocks with `around`: each node's neighbours and the best nodes it is a neighbour of."""
 
     def reverse(own: Nodes) -> list[tuple]:
         row, column = np.nonzero(own.near >= 0)
-        to, sims = own.near[row, column], own.sims[row, column]
+        to, sims, fresh = own.near[row, column], own.sims[row, column], own.fresh[row, column]
         return _outgoing(own.block, "reverse", to >> _LOCAL, lambda p: [
-            to[p] & _PLACES, own.codes[row[p]], sims[p]])
+            to[p] & _PLACES, own.codes[row[p]] * 2 + fresh[p], sims[p]])
 
     def keep(own: Nodes, received: list) -> pa.Table:
         if received:
-            place, codes, sims = (np.concatenate(x) for x in zip(*(m for _, m in received)))
-            known = (own.near[place] == codes[:, None]).any(axis=1)
-            back, _ = _best(place[~known], codes[~known], sims[~known], len(own.ids), degree)
+            place, marked, sims = (np.concatenate(x) for x in zip(*(m for _, m in received)))
+            known = (own.near[place] == (marked >> 1)[:, None]).any(axis=1)
+            back, _ = _best(place[~known], marked[~known], sims[~known], len(own.ids), degree)
         else:
             back = np.full((len(own.ids), degree), -1, np.int64)
-        own.around = np.concatenate([own.near, back], axis=1)
+        own.around = np.concatenate([own.near, back >> 1], axis=1)
+        own.fresh = np.concatenate([own.fresh, (back >= 0) & (back % 2 == 1)], axis=1)
         return own.table()
 
     nodes = lambda row: Nodes(row, degree)
     return _meet(_send(state, degree, reverse), state, nodes, keep, _STATE)
 
 
-def _improved(state: DataFrame, proposals: DataFrame, degree: int) -> DataFrame:
-    """Scores proposed neighbours and keeps the best: proposals are keys place, code."""
+def _improved(state: DataFrame, degree: int) -> DataFrame:
+    """Blocks after a round: nodes around a node that are new to each other, scored there."""
 
-    def ask(own: Nodes, received: list) -> pa.Table:
-        place, codes = _proposed(own, received)
-        worst = own.sims[:, -1]
-
-        def body(p: np.ndarray) -> list[np.ndarray]:
-            used, at = np.unique(place[p], return_inverse=True)
-            return [used, own.vectors[used].astype(np.float32), worst[used], at.astype(np.int32),
-                    (codes[p] & _PLACES).astype(np.int32)]
-
-        return _messages(_outgoing(own.block, "score", codes >> _LOCAL, body))
+    def ask(own: Nodes) -> list[tuple]:
+        wanted = np.unique(own.around[own.fresh.any(axis=1)])
+        wanted = wanted[wanted >= 0]
+        return _outgoing(own.block, "ask", wanted >> _LOCAL, lambda p: [wanted[p] & _PLACES])
 
     def answer(own: Nodes, received: list) -> pa.Table:
-        out, small = [], own.vectors.astype(np.float32)
-        for sender, (used, vectors, worst, at, local) in received:
-            sims = _dots(vectors, at, small, local)
-            good = sims > worst[at]
-            near, found = _best(at[good], own.codes[local[good]], sims[good], len(used), degree)
-            row, column = np.nonzero(near >= 0)
-            out.append((sender, own.block, "better", _write(
-                [used[row], near[row, column], found[row, column]])))
-        return _messages(out)
-
-    def merge(own: Nodes, received: list) -> pa.Table:
-        row, column = np.nonzero(own.near >= 0)
-        parts = [(row, own.near[row, column], own.sims[row, column]), *(m for _, m in received)]
-        own.near, own.sims = _best(*(np.concatenate(x) for x in zip(*parts)), len(own.ids), degree)
-        own.around = None
-        return own.table()
+        small, worst = own.vectors.astype(np.float32), own.sims[:, -1]
+        return _messages([(sender, own.block, "vectors", _write(
+            [own.codes[place], small[place], worst[place]])) for sender, (place,) in received])
+
+    def join(own: Nodes, received: list) -> pa.Table:
+        if not received:
+            return _messages([])
+        # Senders come in order, so the codes ascend.
+        codes, small, worst = (np.concatenate(x) for x in zip(*(m for _, m in received)))
+        active = np.flatnonzero(own.fresh.any(axis=1))
+        wide = own.around.shape[1]
+        parts, held = [], 0
+        for low in range(0, len(active), max(1, _PAIRS // wide ** 2)):
+            rows = active[low:low + max(1, _PAIRS // wide ** 2)]
+            there, fresh = own.around[rows] >= 0, own.fresh[rows]
+            at = np.where(there, np.searchsorted(codes, own.around[rows]), 0)
+            vectors = small[at]
+            sims = vectors @ vectors.transpose(0, 2, 1)
+            good = sims > np.where(there, worst[at], np.inf)[:, :, None]
+            good &= there[:, None, :] & (fresh[:, :, None] | fresh[:, None, :])
+            good[:, np.arange(wide), np.arange(wide)] = False
+            node, x, y = np.nonzero(good)
+            parts.append((at[node, x], at[node, y], sims[node, x, y]))
+            held += len(node)
+            if held > _PAIRS:
+                x, _, y, sims = _top(*(np.concatenate(c) for c in zip(*parts)), degree)
+                parts, held = [(x, y, sims)], 0
+        x, _, y, sims = _top(*(np.concatenate(c) for c in zip(*parts)), degree)
+        return _messages(_outgoing(own.block, "better", codes[x] >> _LOCAL, lambda p: [
+            codes[x[p]] & _PLACES, codes[y[p]], sims[p]]))
 
     nodes = lambda row: Nodes(row, degree)
-    asked = _meet(proposals, state, nodes, ask, _MESSAGE)
-    answers = _meet(asked, state, nodes, answer, _MESSAGE)
-    return _meet(answers, state, nodes, merge, _STATE)
-
-
-def _proposed(own: Nodes, received: list) -> tuple[np.ndarray, np.ndarray]:
-    """Proposals that are new: not the node itself and not among its neighbours."""
-    if not received:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, codes = (np.concatenate(x) for x in zip(*(m for _, m in received)))
-    order = np.lexsort((codes, place))
-    place, codes = place[order], codes[order]
-    fresh = codes != own.codes[place]
-    fresh[1:] &= (place[1:] != place[:-1]) | (codes[1:] != codes[:-1])
-    place, codes = place[fresh], codes[fresh]
-    known = np.zeros(len(place), bool)
-    for column in own.near.T:
-        known |= column[place] == codes
-    return place[~known], codes[~known]
-
-
-def _any_nodes(own: Nodes, sizes: np.ndarray, count: int) -> list[tuple]:
-    """Random nodes as a block's first proposals to itself."""
-    draw = np.random.default_rng(own.block)
-    block = draw.choice(len(sizes), (len(own.ids), count), p=sizes / sizes.sum())
-    codes = (block.astype(np.int64) << _LOCAL) | (draw.random(block.shape) * sizes[block]).astype(np.int64)
-    place = np.repeat(np.arange(len(own.ids)), count)
-    return [(own.block, own.block, "random", _write([place, codes.reshape(-1)]))]
-
-
-def _neighbours_of_neighbours(own: Nodes) -> list[tuple]:
-    """Proposes to the nodes around each node each other."""
-    wide = own.around.shape[1]
-    keys = []
-    for low in range(0, len(own.ids), 1024):
-        part = own.around[low:low + 1024]
-        x, y = np.repeat(part, wide, axis=1).reshape(-1), np.tile(part, (1, wide)).reshape(-1)
-        good = (x >= 0) & (y >= 0) & (x != y)
-        pair = np.stack([x[good], y[good]], axis=1)
-        keys.append(np.unique(pair.view([("x", np.int64), ("y", np.int64)]).reshape(-1)))
-    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, [("x", np.int64), ("y", np.int64)])
-    x, y = pairs["x"], pairs["y"]
-    return _outgoing(own.block, "propose", x >> _LOCAL, lambda p: [x[p] & _PLACES, y[p]])
-
-
-def build(nodes: DataFrame, blocks: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+    answers = _meet(_send(state, degree, ask), state, nodes, answer, _MESSAGE)
+    return _merged(state, _meet(answers, state, nodes, join, _MESSAGE), degree)
+
+
+def build(nodes: DataFrame, blocks: int, degree: int = DEGREE,
+          settled: float = SETTLED) -> DataFrame:
     """The neighbour graph of (id, vector, block), as blocks with `around`."""
     state = stored(_start(nodes, degree), "graph")
-    counts = {r["block"]: r["n"] for r in state.select(
-        "block", (F.octet_length("ids") / 8).cast("bigint").alias("n")).collect()}
-    sizes = np.array([counts.get(b, 0) for b in range(blocks)])
-    first = _send(state, degree, lambda own: _any_nodes(own, sizes, RANDOM))
-    state = stored(_improved(state, first, degree), "graph")
-    for _ in range(rounds):
+    number = state.agg(F.coalesce(F.sum(F.octet_length("ids") / 8), F.lit(0)).cast("bigint")).first()[0]
+    state = stored(_merged(state, _in_leaves(state, number, blocks, degree), degree), "graph")
+    while True:
         state = stored(_with_reverse(state, degree), "graph")
-        proposals = _send(state, degree, _neighbours_of_neighbours)
-        state = stored(_improved(state, proposals, degree), "graph")
-    return stored(_with_reverse(state, degree), "graph")
+        changed = state.agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0]
+        if changed <= settled * number * degree:
+            return state
+        state = stored(_improved(state, degree), "graph")
 
 
 _SEARCH = "block int, search binary, waiting bigint"
@@ -487,8 +571,8 @@ def _usable(embeddings: DataFrame) -> DataFrame:
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = EVERY, nearest: int = NEAREST,
-                       degree: int = DEGREE, rounds: int = ROUNDS, beam: int = BEAM,
-                       step: int = STEP) -> DataFrame:
+                       degree: int = DEGREE, settled: float = SETTLED,
+                       beam: int = BEAM, step: int = STEP) -> DataFrame:
     """For each usable row whose vec_id is divisible by `every`: its `nearest` nearest other rows
     found, as query_id, rank, vec_id, score; ties go to the smaller vec_id."""
     rows = stored(_usable(embeddings), "vectors")
@@ -506,7 +590,7 @@ def nearest_neighbours(embeddings: DataFrame, every: int = EVERY, nearest: int =
                         "left_semi").dropDuplicates(["vec_id", "first", "second"])
     vectors = vectors.select(F.col("vec_id").alias("id"),
                              F.concat("vector", F.array(spare)).alias("vector"))
-    graph = build(vectors.withColumn("block", block), blocks, degree, rounds)
+    graph = build(vectors.withColumn("block", block), blocks, degree, settled)
 
     asking = ids.filter(F.col("vec_id") % every == 0).join(nodes, ["first", "second"])
     found = search(graph, asking.select("id", block.alias("block")).distinct(), degree, nearest,

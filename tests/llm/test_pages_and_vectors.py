@@ -129,6 +129,35 @@ def test_recall(spark, scale):
         assert np.allclose([s for _, s, _ in got], exact, rtol=0, atol=1e-12)
 
 
+def test_a_small_beam_finds_neighbours_in_64_dimensions(spark):
+    """The graph itself has to be good: a search of few nodes does not mend a poor one."""
+    x, ids = vectors(4000, dims=64), np.arange(4000)
+    table = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)],
+                                  "vec_id bigint, embedding array<float>, rank int")
+    found = {}
+    for r in neighbours.nearest_neighbours(table, beam=40).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain_neighbours(ids, x)
+    recall = np.mean([len(found[q] & set(want[q][0])) / 20 for q in want])
+    assert recall >= 0.9
+
+
+def test_leaves_halve_what_is_too_large():
+    near = np.ones((5000, 4), np.float32)  # no plane parts these
+    leaves = list(neighbours._leaves(near, np.random.default_rng(1)))
+    assert max(map(len, leaves)) <= neighbours.LEAF_NODES
+    assert sorted(np.concatenate(leaves)) == list(range(5000))
+
+
+def test_rounds_end_when_lists_are_settled(spark):
+    x = vectors(3000, dims=32)
+    nodes = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)],
+                                  "id bigint, vector array<double>, block int")
+    changed = [neighbours.build(nodes, 3, settled=share).agg({"changed": "sum"}).first()[0]
+               for share in (0.1, 0.0)]
+    assert 0 < changed[0] <= 0.1 * 3000 * neighbours.DEGREE and changed[1] == 0
+
+
 def test_odd_vectors(spark):
     x = vectors(30, dims=4)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
